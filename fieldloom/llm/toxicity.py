@@ -105,64 +105,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return _train([[set(s.split("\t")) - {""} for s in bag] for bag in got["bag"]], got["label"].to_numpy(bool), max_words, min_docs, steps, ridge)
 
 
-def score(self, text: str | None) -> float:
-        """The noisy-or of the sentences; those without a known word are counted, not looked at one by one."""
-        weights, bias, plain, kept = self.weights, self.bias, 0, 0.0
-        for s in _SENTENCE.split((text or "").lower()):
-            found = weights.keys() & set(_WORD.findall(s))
-            if found:
-                kept += np.logaddexp(0, bias + sum(map(weights.__getitem__, sorted(found))))
-            elif s and not s.isspace():
-                plain += 1
-        return float(-np.expm1(-kept - plain * np.logaddexp(0, bias)))
-
-
-def _train(bags: list[list[set[str]]], labels: np.ndarray, max_words: int, min_docs: int, steps: int, ridge: float) -> ToxicityModel:
-    if not bags or not labels.any() or labels.all():
-        return ToxicityModel()
-    seen = Counter(w for bag in bags for w in set().union(*bag))
-    vocabulary = [w for w, n in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:max_words] if n >= min_docs]
-    number = {w: i for i, w in enumerate(vocabulary)}
-    per_sentence = [[number[w] for w in sorted(s) if w in number] for bag in bags for s in bag]
-    of_doc = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    col = np.array([i for s in per_sentence for i in s], np.int64)
-    row = np.repeat(np.arange(len(per_sentence)), [len(s) for s in per_sentence])
-    # Start from each word's smoothed log odds between the classes, so that the likelihood's ascent needs few steps.
-    n1, n0 = labels.sum(), (~labels).sum()
-    hit = np.unique(np.stack([of_doc[row], col]), axis=1)
-    c1 = np.bincount(hit[1], labels[hit[0]].astype(float), len(vocabulary))
-    c0 = np.bincount(hit[1], minlength=len(vocabulary)) - c1
-    w = np.log((c1 + 1) / (n1 + 2)) - np.log((c0 + 1) / (n0 + 2))
-    w[np.abs(w) < 1] = 0
-    bias, m, v = -5.0, np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    for t in range(1, steps + 1):
-        z = bias + np.bincount(row, w[col], len(per_sentence))
-        p = 1 / (1 + np.exp(-z))
-        safe = np.bincount(of_doc, np.logaddexp(0, z), len(bags))  # -log of the chance that no sentence offends
-        share = np.where(labels, 1 / np.maximum(np.expm1(np.minimum(safe, 50)), 1e-9), -1.0)
-        g = p * share[of_doc]
-        grad = np.append(np.bincount(col, g[row], len(w)) - ridge * w, g.sum()) / len(bags)
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, bias = w + step[:-1], bias + step[-1]
-    return ToxicityModel(float(bias), {x: float(y) for x, y in zip(vocabulary, w, strict=True) if abs(y) > 1e-3})
-
-
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = 4_000, max_words: int = 50_000, min_docs: int = 8, steps: int = 150, ridge: float = 0.05) -> ToxicityModel:
-    """Learns from document labels (0 or 1). The rows sent to the driver are bounded by max_docs."""
-    rows = (
-        labelled.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-        .select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), (F.col(label_col) == 1).alias("_label"))
-        .orderBy(F.xxhash64("_id"), "_id", "_text", "_label").limit(max_docs)
-    )
-    def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"label": b["_label"], "bag": [["\t".join(sorted(words(s))) for s in sentences(t or "")] for t in b["_text"]]})
-
-    got = rows.mapInPandas(bags, "label boolean, bag array<string>").toPandas()
-    return _train([[set(s.split("\t")) - {""} for s in bag] for bag in got["bag"]], got["label"].to_numpy(bool), max_words, min_docs, steps, ridge)
-
-
 def score(df: DataFrame, model: ToxicityModel, text_col: str = "text", out: str = "score") -> DataFrame:
     """Adds each document's noisy-or score."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # at most max_words words
