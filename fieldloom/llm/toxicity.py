@@ -1,17 +1,20 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. Each sentence gets p = sigmoid(bias + sum of the weights of its distinct words); the
+A document is a bag of sentences. Each sentence gets p = sigmoid(bias + sum of the weights of its distinct words), where a
+word weighs what it and its stems (first 4 to 6 letters) weigh, so that inflected forms share what is learnt; the
 document's score is the noisy-or 1 - prod(1 - p). Weights are learned from document labels only, by gradient ascent on
-the bags' likelihood, and then locate the sentences that offend.
+the bags' likelihood, and then locate the sentences that offend. Weights are 0 or
+more: words make a sentence offend, they don't excuse it.
 
 `fit` learns from at most `max_docs` label rows, those with the smallest hash of their id, and from at most
-`max_words` distinct words of them, the ones in most of these documents. Rows with a null label or id don't count;
+`max_words` distinct words and stems of them, the ones in most of these documents. Rows with a null label or id don't count;
 a null or empty text is a bag without sentences, and scores 0. With no labelled rows the model has no words, and every
 sentence scores sigmoid(bias). Scores read the text column alone; other columns pass through.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -24,6 +27,9 @@ from pyspark.sql import functions as F
 
 _SENTENCE, _WORD = re.compile(r"[.!?\n\r]+"), re.compile(r"\w+")
 _NO_LABEL_BIAS = -6.0
+_STEMS = range(4, 7)
+#: Words whose weight a worker remembers.
+_CACHED = 400_000
 
 
 def sentences(text: str) -> Iterator[str]:
@@ -34,46 +40,56 @@ def words(sentence: str) -> set[str]:
     return set(_WORD.findall(sentence.lower()))
 
 
+def features(word: str) -> list[str]:
+    return [word, *(word[:k] + "*" for k in _STEMS if len(word) >= k)]
+
+
 @dataclass
 class ToxicityModel:
     bias: float = _NO_LABEL_BIAS
     weights: dict[str, float] = field(default_factory=dict)
+    _known: dict[str, float] = field(default_factory=dict, repr=False)
+
+    def _weight(self, word: str) -> float:
+        if len(self._known) >= _CACHED:
+            self._known.clear()
+        self._known[word] = w = sum(self.weights.get(f, 0.0) for f in features(word))
+        return w
+
+    def _total(self, found: set[str]) -> float:
+        known = self._known
+        return math.fsum([known[w] if w in known else self._weight(w) for w in found])
 
     def sentence_scores(self, text: str | None) -> np.ndarray:
         """One probability for each sentence, in order."""
-        weights, bias = self.weights, self.bias
-        z = np.array([bias + sum(weights[w] for w in words(s) if w in weights) for s in sentences(text or "")])
+        z = np.array([self.bias + self._total(words(s)) for s in sentences(text or "")])
         return 1 / (1 + np.exp(-z))
 
     def score(self, text: str | None) -> float:
-        """The noisy-or of the sentences; those without a known word are counted, not looked at one by one."""
-        weights, bias, plain, kept = self.weights, self.bias, 0, 0.0
-        for s in _SENTENCE.split((text or "").lower()):
-            found = weights.keys() & set(_WORD.findall(s))
-            if found:
-                kept += np.logaddexp(0, bias + sum(map(weights.__getitem__, sorted(found))))
-            elif s and not s.isspace():
-                plain += 1
-        return float(-np.expm1(-kept - plain * np.logaddexp(0, bias)))
-
-
-def _train(bags: list[list[set[str]]], labels: np.ndarray, max_words: int, min_docs: int, steps: int, ridge: float) -> ToxicityModel:
+        """The noisy-or of the sentences."""
+        z = np.array([self.bias + self._total(words(s)) for s in sentences(text or "")])
+        return float(-np.expm1(-np.logaddexp(0, z).sum()))
+
+
+def _train(bags: list[list[set[str]]], labels: np.ndarray, max_words: int, min_docs: int, steps: int, ridge: float, lasso: float) -> ToxicityModel:
     if not bags or not labels.any() or labels.all():
         return ToxicityModel()
-    seen = Counter(w for bag in bags for w in set().union(*bag))
+    bags = [[[f for w in sorted(s) for f in features(w)] for s in bag] for bag in bags]
+    seen = Counter(f for bag in bags for f in set().union(*bag))
     vocabulary = [w for w, n in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:max_words] if n >= min_docs]
     number = {w: i for i, w in enumerate(vocabulary)}
-    per_sentence = [[number[w] for w in sorted(s) if w in number] for bag in bags for s in bag]
+    per_sentence = [[number[f] for f in s if f in number] for bag in bags for s in bag]
     of_doc = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    col = np.array([i for s in per_sentence for i in s], np.int64)
-    row = np.repeat(np.arange(len(per_sentence)), [len(s) for s in per_sentence])
+    col = np.fromiter((i for s in per_sentence for i in s), np.int32)
+    row = np.repeat(np.arange(len(per_sentence), dtype=np.int32), [len(s) for s in per_sentence])
     # Start from each word's smoothed log odds between the classes, so that the likelihood's ascent needs few steps.
     n1, n0 = labels.sum(), (~labels).sum()
-    hit = np.unique(np.stack([of_doc[row], col]), axis=1)
-    c1 = np.bincount(hit[1], labels[hit[0]].astype(float), len(vocabulary))
-    c0 = np.bincount(hit[1], minlength=len(vocabulary)) - c1
+    hit = np.unique(of_doc[row] * len(vocabulary) + col)
+    c1 = np.bincount(hit % len(vocabulary), labels[hit // len(vocabulary)].astype(float), len(vocabulary))
+    c0 = np.bincount(hit % len(vocabulary), minlength=len(vocabulary)) - c1
+    del hit
     w = np.log((c1 + 1) / (n1 + 2)) - np.log((c0 + 1) / (n0 + 2))
-    w[np.abs(w) < 1] = 0
+    w = np.maximum(0, w - 1)
     bias, m, v = -5.0, np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, steps + 1):
         z = bias + np.bincount(row, w[col], len(per_sentence))
@@ -84,11 +100,11 @@ def _train(bags: list[list[set[str]]], labels: np.ndarray, max_words: int, min_d
         grad = np.append(np.bincount(col, g[row], len(w)) - ridge * w, g.sum()) / len(bags)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, bias = w + step[:-1], bias + step[-1]
+        w, bias = np.maximum(0, w + step[:-1] - lasso), bias + step[-1]
     return ToxicityModel(float(bias), {x: float(y) for x, y in zip(vocabulary, w, strict=True) if abs(y) > 1e-3})
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = 4_000, max_words: int = 50_000, min_docs: int = 8, steps: int = 150, ridge: float = 0.05) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = 6_000, max_words: int = 50_000, min_docs: int = 8, steps: int = 150, ridge: float = 0.05, lasso: float = 0.005) -> ToxicityModel:
     """Learns from labels (0 or 1) of documents. max_docs bounds the ids that are broadcast and the words that reach the driver."""
     chosen = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
@@ -102,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pd.DataFrame({"id": b["_id"].astype(str), "label": b["_label"], "bag": [["\t".join(sorted(words(s))) for s in sentences(t or "")] for t in b["_text"]]})
 
     got = rows.mapInPandas(bags, "id string, label boolean, bag array<string>").toPandas().sort_values(["id", "label"], kind="stable")
-    return _train([[set(s.split("\t")) - {""} for s in bag] for bag in got["bag"]], got["label"].to_numpy(bool), max_words, min_docs, steps, ridge)
+    return _train([[set(s.split("\t")) - {""} for s in bag] for bag in got["bag"]], got["label"].to_numpy(bool), max_words, min_docs, steps, ridge, lasso)
 
 
 def score(df: DataFrame, model: ToxicityModel, text_col: str = "text", out: str = "score") -> DataFrame:
