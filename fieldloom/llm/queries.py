@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, mpegts, toxicity, url_filter
+from . import bpe, cover_tree, mixing, mpegts, toxicity, url_filter
 from .common import bytes_of, residue, table, tuned
 
 
@@ -31,6 +31,24 @@ def op1_mpegts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cover_tree.vectors(table(tuned(spark), sf_dir, "embeddings"), "vec_id", "embedding")
+    return cover_tree.top_k(rows, rows.where(F.col("vec_id") % 100 == 0), k=10)
+
+
+OP3_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as e from embeddings
+  where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+), s as (
+  select q.vec_id as query_id, v.vec_id, list_dot_product(q.e, v.e)::bigint as score
+  from v q join v on q.vec_id % 100 = 0 and q.vec_id <> v.vec_id
+)
+select query_id, row_number() over (partition by query_id order by score desc, vec_id)::integer as rank, vec_id, score
+from s qualify rank <= 10
+"""
+
+
 def op4_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = mixing.with_size(table(tuned(spark), sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "source", "size")
     return mixing.mix(docs)
@@ -59,5 +77,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (residue(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mpegts, op4_entropy_balancing, op5_url_gbt, op7_bpe, op10_toxicity)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mpegts, op3_cover_tree, op4_entropy_balancing, op5_url_gbt, op7_bpe, op10_toxicity)}
+ORACLES: dict[str, str] = {"op3_cover_tree": OP3_SQL}

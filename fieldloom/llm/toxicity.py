@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -71,40 +71,76 @@ class ToxicityModel:
         return float(-np.expm1(-np.logaddexp(0, z).sum()))
 
 
-def _train(bags: list[list[set[str]]], labels: np.ndarray, max_words: int, min_docs: int, steps: int, ridge: float, lasso: float) -> ToxicityModel:
-    if not bags or not labels.any() or labels.all():
+@dataclass
+class _Bags:
+    """Training documents as numbers: `of_doc` the document of each sentence, `row` and `word` the words of sentences."""
+
+    words: list[str]
+    of_doc: np.ndarray
+    row: np.ndarray
+    word: np.ndarray
+    labels: np.ndarray
+
+    @classmethod
+    def of(cls, bags: Iterator[tuple[bool, list[str]]]) -> _Bags:
+        number: dict[str, int] = {}
+        of_doc, row, word, labels = array("i"), array("i"), array("i"), []
+        for doc, (label, bag) in enumerate(bags):
+            labels.append(label)
+            for sentence in bag:
+                found = [number.setdefault(w, len(number)) for w in sentence.split("\t") if w]
+                row.extend([len(of_doc)] * len(found))
+                word.extend(found)
+                of_doc.append(doc)
+        return cls(list(number), *(np.frombuffer(x, np.int32) if x else np.zeros(0, np.int32) for x in (of_doc, row, word)), np.array(labels, bool))
+
+
+def _train(bags: _Bags, max_words: int, min_docs: int, steps: int, ridge: float, lasso: float) -> ToxicityModel:
+    labels, n_docs, n_sentences = bags.labels, len(bags.labels), len(bags.of_doc)
+    if not n_docs or not labels.any() or labels.all() or not bags.words:
         return ToxicityModel()
-    bags = [[[f for w in sorted(s) for f in features(w)] for s in bag] for bag in bags]
-    seen = Counter(f for bag in bags for f in set().union(*bag))
-    vocabulary = [w for w, n in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:max_words] if n >= min_docs]
-    number = {w: i for i, w in enumerate(vocabulary)}
-    per_sentence = [[number[f] for f in s if f in number] for bag in bags for s in bag]
-    of_doc = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    col = np.fromiter((i for s in per_sentence for i in s), np.int32)
-    row = np.repeat(np.arange(len(per_sentence), dtype=np.int32), [len(s) for s in per_sentence])
-    # Start from each word's smoothed log odds between the classes, so that the likelihood's ascent needs few steps.
-    n1, n0 = labels.sum(), (~labels).sum()
-    hit = np.unique(of_doc[row] * len(vocabulary) + col)
-    c1 = np.bincount(hit % len(vocabulary), labels[hit // len(vocabulary)].astype(float), len(vocabulary))
-    c0 = np.bincount(hit % len(vocabulary), minlength=len(vocabulary)) - c1
-    del hit
-    w = np.log((c1 + 1) / (n1 + 2)) - np.log((c0 + 1) / (n0 + 2))
-    w = np.maximum(0, w - 1)
+    number: dict[str, int] = {}
+    parts = [[number.setdefault(f, len(number)) for f in features(w)] for w in bags.words]
+    word_of, part = np.repeat(np.arange(len(parts)), [len(p) for p in parts]), np.fromiter((f for p in parts for f in p), np.int64)
+    starts = np.searchsorted(word_of, np.arange(len(parts) + 1))
+    # In how many documents of each class a feature is, a few hundred documents at a time.
+    doc = bags.of_doc[bags.row]
+    count = np.zeros((2, len(number)))
+    for lo in range(0, n_docs, 256):
+        a, b = np.searchsorted(doc, [lo, lo + 256])
+        pairs = np.unique(doc[a:b].astype(np.int64) * len(parts) + bags.word[a:b])
+        w = pairs % len(parts)
+        sizes = starts[w + 1] - starts[w]
+        at = np.repeat(starts[w] - np.append(0, np.cumsum(sizes)[:-1]), sizes) + np.arange(sizes.sum())
+        pairs = np.unique(np.repeat(pairs // len(parts), sizes) * len(number) + part[at])
+        for k in (0, 1):
+            count[k] += np.bincount(pairs[labels[pairs // len(number)] == k] % len(number), minlength=len(number))
+    names = np.array(list(number), object)
+    usable = np.flatnonzero(count.sum(0) >= min_docs)
+    usable = usable[np.lexsort((names[usable].astype(str), -count.sum(0)[usable]))][:max_words]
+    column = np.full(len(number), -1)
+    column[usable] = np.arange(len(usable))
+    known = column[part] >= 0
+    word_of, part, count = word_of[known], column[part[known]], count[:, usable]
+    # Start from each feature's smoothed log odds between the classes; the likelihood's ascent then needs few steps.
+    w = np.maximum(0, np.log((count[1] + 1) / (labels.sum() + 2)) - np.log((count[0] + 1) / ((~labels).sum() + 2)) - 1)
     bias, m, v = -5.0, np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, steps + 1):
-        z = bias + np.bincount(row, w[col], len(per_sentence))
+        of_word = np.bincount(word_of, w[part], len(bags.words))
+        z = bias + np.bincount(bags.row, of_word[bags.word], n_sentences)
         p = 1 / (1 + np.exp(-z))
-        safe = np.bincount(of_doc, np.logaddexp(0, z), len(bags))  # -log of the chance that no sentence offends
+        safe = np.bincount(bags.of_doc, np.logaddexp(0, z), n_docs)  # -log of the chance that no sentence offends
         share = np.where(labels, 1 / np.maximum(np.expm1(np.minimum(safe, 50)), 1e-9), -1.0)
-        g = p * share[of_doc]
-        grad = np.append(np.bincount(col, g[row], len(w)) - ridge * w, g.sum()) / len(bags)
+        g = p * share[bags.of_doc]
+        of_word = np.bincount(bags.word, g[bags.row], len(bags.words))
+        grad = np.append(np.bincount(part, of_word[word_of], len(w)) - ridge * w, g.sum()) / n_docs
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, bias = np.maximum(0, w + step[:-1] - lasso), bias + step[-1]
-    return ToxicityModel(float(bias), {x: float(y) for x, y in zip(vocabulary, w, strict=True) if abs(y) > 1e-3})
+    return ToxicityModel(float(bias), {x: float(y) for x, y in zip(names[usable], w, strict=True) if y > 1e-3})
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = 6_000, max_words: int = 50_000, min_docs: int = 8, steps: int = 150, ridge: float = 0.05, lasso: float = 0.005) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = 5_000, max_words: int = 50_000, min_docs: int = 8, steps: int = 150, ridge: float = 0.05, lasso: float = 0.005) -> ToxicityModel:
     """Learns from labels (0 or 1) of documents. max_docs bounds the ids that are broadcast and the words that reach the driver."""
     chosen = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
@@ -117,8 +153,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for b in batches:
             yield pd.DataFrame({"id": b["_id"].astype(str), "label": b["_label"], "bag": [["\t".join(sorted(words(s))) for s in sentences(t or "")] for t in b["_text"]]})
 
-    got = rows.mapInPandas(bags, "id string, label boolean, bag array<string>").toPandas().sort_values(["id", "label"], kind="stable")
-    return _train([[set(s.split("\t")) - {""} for s in bag] for bag in got["bag"]], got["label"].to_numpy(bool), max_words, min_docs, steps, ridge, lasso)
+    got = rows.mapInPandas(bags, "id string, label boolean, bag array<string>").orderBy("id", "label").toPandas()
+    return _train(_Bags.of(zip(got.pop("label"), got.pop("bag"), strict=True)), max_words, min_docs, steps, ridge, lasso)
 
 
 def score(df: DataFrame, model: ToxicityModel, text_col: str = "text", out: str = "score") -> DataFrame:
