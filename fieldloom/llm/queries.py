@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cover_tree, line_dedup, mixing, mpegts, toxicity, url_filter
+from . import bpe, cover_tree, line_dedup, mixing, mpegts, suffix_tree_lm, toxicity, url_filter
 from .common import bytes_of, residue, table, tuned
 
 
@@ -70,6 +70,11 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(tuned(spark), sf_dir, "documents").select("doc_id", "text")
+    return suffix_tree_lm.score(docs, residue(F.col("doc_id"), 7) != 2)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(bytes_of("text"), 256).alias("kept_sha256"))
@@ -82,5 +87,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (residue(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mpegts, op3_cover_tree, op4_entropy_balancing, op5_url_gbt, op7_bpe, op9_line_dedup, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mpegts, op3_cover_tree, op4_entropy_balancing, op5_url_gbt, op7_bpe, op8_suffix_tree, op9_line_dedup, op10_toxicity)}
 ORACLES: dict[str, str] = {"op3_cover_tree": OP3_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL}
