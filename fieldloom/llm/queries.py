@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cover_tree, line_dedup, mixing, mpegts, suffix_tree_lm, toxicity, url_filter
+from . import bpe, cover_tree, jaccard_join, line_dedup, mixing, mpegts, suffix_tree_lm, toxicity, url_filter
 from .common import bytes_of, residue, table, tuned
 
 
@@ -62,6 +62,11 @@ def op5_url_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", F.coalesce("by_rule", "by_model").alias("verdict"), "by_model")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(tuned(spark), sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join.classes(docs, words=3, percent=90).drop("row")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(tuned(spark), sf_dir, "documents").select("doc_id", "text")
     ranks = bpe.ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -87,5 +92,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (residue(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mpegts, op3_cover_tree, op4_entropy_balancing, op5_url_gbt, op7_bpe, op8_suffix_tree, op9_line_dedup, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mpegts, op3_cover_tree, op4_entropy_balancing, op5_url_gbt, op6_jaccard_join, op7_bpe, op8_suffix_tree, op9_line_dedup, op10_toxicity)}
 ORACLES: dict[str, str] = {"op3_cover_tree": OP3_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL}
