@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cover_tree, jaccard_join, line_dedup, mixing, mpegts, suffix_tree_lm, toxicity, url_filter
+from . import bpe, cover_tree, jaccard_join, line_dedup, mixing, mpegts, suffix_dedup, suffix_tree_lm, toxicity, url_filter
 from .common import bytes_of, residue, table, tuned
 
 
@@ -31,6 +31,11 @@ def op1_mpegts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(tuned(spark), sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.dedup_bytes(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cover_tree.vectors(table(tuned(spark), sf_dir, "embeddings"), "vec_id", "embedding")
     return cover_tree.top_k(rows, rows.where(F.col("vec_id") % 100 == 0), k=10)
@@ -92,5 +97,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (residue(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mpegts, op3_cover_tree, op4_entropy_balancing, op5_url_gbt, op6_jaccard_join, op7_bpe, op8_suffix_tree, op9_line_dedup, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mpegts, op2_suffix_dedup, op3_cover_tree, op4_entropy_balancing, op5_url_gbt, op6_jaccard_join, op7_bpe, op8_suffix_tree, op9_line_dedup, op10_toxicity)}
 ORACLES: dict[str, str] = {"op3_cover_tree": OP3_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL}
