@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 CENTERS, SAMPLE_ROWS = 48, 4_096
-BLOCK_ROWS, QUERY_ROWS, LEAF = 4_096, 512, 48
+BLOCK_ROWS, QUERY_ROWS, LEAF = 4_096, 512, 256
 SHRINK = 0.7
 
 
@@ -168,10 +168,10 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, centers: int =
     sample = candidates.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).toPandas()
     top = _top_level(_matrix(sample["v"], dim).astype(np.float64), centers)
     packed = stored(_blocks(candidates, top, dim, block_rows))
-    groups = _blocks(queries.groupBy("vec_id").agg(F.min("v").alias("v")), top, dim, query_rows)
-    asked_blocks = stored(groups.select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("points").alias("q_points"), F.col("center").alias("q_center")))
+    groups = _blocks(queries.groupBy("vec_id").agg(F.min("v").alias("v")), top[:1], dim, query_rows)
+    asked_blocks = stored(groups.select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("points").alias("q_points")))
     # Each candidate block meets each query block once, in one of `lanes` tasks of that query block.
-    names = [r["q_block"] for r in asked_blocks.select("q_block").collect()]  # asked / query_rows names and one per centre at most
+    names = [r["q_block"] for r in asked_blocks.select("q_block").collect()]  # asked / query_rows names
     lanes = max(1, min(64, 4 * spark.sparkContext.defaultParallelism // max(1, len(names))))
     sent = packed.withColumn("lane", F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int")).withColumn("q_block", F.explode(F.lit(names)))
     left = asked_blocks.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
@@ -180,8 +180,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, centers: int =
         if q.empty or c.empty:
             return pd.DataFrame(columns=["query_id", "vec_id", "score"])
         search = Search(np.frombuffer(q["q_ids"].iat[0], np.int64), np.frombuffer(q["q_points"].iat[0], np.int32).reshape(-1, dim), k)
-        own = q["q_center"].iat[0]
-        for i in np.argsort(c["center"].to_numpy() != own, kind="stable"):  # the queries' own centre first
+        for i in range(len(c)):
             search.meet(np.frombuffer(c["ids"].iat[i], np.int64), np.frombuffer(c["points"].iat[i], np.int32).reshape(-1, dim))
         return search.results()
 
