@@ -169,7 +169,7 @@ def count_pieces(df: DataFrame, text_col: str, split: Splitter) -> DataFrame:
 
 def encode_words(words: DataFrame, table: dict[bytes, int], word_col: str = "piece", out: str = "ids") -> DataFrame:
     """Adds the ids of each distinct word, by the fold."""
-    return words.withColumn("_ranks", rank_map(table)).withColumn(out, fold(F.col(word_col).cast("binary"), F.col("_ranks"))).drop("_ranks")
+    return words.withColumn(out, let(rank_map(table), lambda ranks: fold(F.col(word_col).cast("binary"), ranks)))
 
 
 class _Encoder:
@@ -219,4 +219,5 @@ def decode(df: DataFrame, table: dict[bytes, int], ids_col: str = "ids", out: st
     for piece, rank in table.items():
         pieces[rank] = piece
     literal = F.split(F.lit(",".join(p.hex() for p in pieces)), ",")
-    return df.withColumn(out, F.unhex(F.array_join(F.transform(ids_col, lambda i: F.element_at(literal, i + 1)), "")))
+    digits = let(literal, lambda hexes: F.transform(ids_col, lambda i: F.element_at(hexes, i + 1)))
+    return df.withColumn(out, F.unhex(F.array_join(digits, "")))

@@ -16,9 +16,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def tuned(spark: SparkSession) -> SparkSession:
-    """Bounds what one Arrow batch of whole texts can hold in a Python worker."""
+    """Bounds what one Arrow batch of whole texts can hold in a Python worker, and what a plan's text takes in a log."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.maxPlanStringLength", "16384")
     return spark
 
 
