@@ -1,0 +1,60 @@
+"""Reconstruction of a parcel's feature panel, its errors, and boosted trees on interpretable features.
+
+A neural encoder isn't trained here: a low-rank reconstruction (principal components of the standardised panel) takes
+its place behind the same inputs and outputs, and two such models on halves of the parcels select for each other by
+small loss. Its numbers are its own.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml.classification import GBTClassifier, OneVsRest
+from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .scoring import small_loss
+
+
+def fit_low_rank(vectors: DataFrame, rank: int):
+    """vectors: (parcel_id, v), standardised."""
+    return PCA(k=rank, inputCol="x", outputCol="z").fit(vectors.select(array_to_vector("v").alias("x")))
+
+
+def errors(vectors: DataFrame, model, zeroed: tuple[int, ...] = ()) -> DataFrame:
+    """(parcel_id, e): squared errors by component. Components in `zeroed` are 0 in the input, and still count."""
+    pc = model.pc.toArray()  # components by rank: the model's size
+    hide = F.transform("v", lambda x, i: F.when(i.isin(*zeroed), 0.0).otherwise(x)) if zeroed else F.col("v")
+    z = model.transform(vectors.withColumn("x", array_to_vector(hide))).withColumn("z", vector_to_array("z"))
+    rows = F.array(*(F.array(*map(F.lit, map(float, r))) for r in pc))
+    back = F.transform(rows, lambda r: F.aggregate(F.zip_with(r, "z", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x))
+    return z.withColumn("r", back).select("parcel_id", F.zip_with("v", "r", lambda a, b: (a - b) * (a - b)).alias("e"))
+
+
+def co_taught(vectors: DataFrame, rank: int, forget: float, rounds: int = 2):
+    """Two models, each fitted again on what the other one reconstructs best."""
+    half = F.pmod(F.xxhash64("parcel_id"), F.lit(2))
+    a, b = (fit_low_rank(vectors.where(half == k), rank) for k in (0, 1))
+    for _ in range(rounds):
+        easy = []
+        for m in (a, b):
+            loss = errors(vectors, m).select("parcel_id", F.aggregate("e", F.lit(0.0), lambda s, x: s + x).alias("loss"))
+            easy.append(vectors.join(small_loss(loss, "loss", forget).select("parcel_id"), "parcel_id", "left_semi"))
+        a, b = fit_low_rank(easy[1], rank), fit_low_rank(easy[0], rank)
+    return a, b
+
+
+def fit_trees(rows: DataFrame, features: list[str], label: str = "label", weight: str = "weight", rounds: int = 20, depth: int = 3):
+    """Weighted boosted trees, one against the rest for each class."""
+    data = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(rows)
+    trees = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.05, seed=7)
+    return OneVsRest(classifier=trees, labelCol=label, weightCol=weight).fit(data.withColumn(label, F.col(label).cast("double")))
+
+
+def class_chances(rows: DataFrame, model, features: list[str]) -> DataFrame:
+    """(parcel_id, p0, p1, ...): softmax of the classes' margins."""
+    data = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(rows)
+    raw = model.transform(data).withColumn("m", vector_to_array("rawPrediction"))
+    soft = raw.withColumn("e", F.transform("m", lambda x: F.exp(x - F.array_max("m"))))
+    total = F.aggregate("e", F.lit(0.0), lambda s, x: s + x)
+    return soft.select("parcel_id", *((F.col("e")[i] / total).alias(f"p{i}") for i in range(len(model.models))))

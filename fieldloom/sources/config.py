@@ -1,0 +1,37 @@
+"""Project settings from a TOML file; the file's folder is the root of its relative paths."""
+
+from __future__ import annotations
+
+import os
+import tomllib
+from dataclasses import dataclass
+from pathlib import Path
+
+ENVIRONMENT = "FIELDLOOM_CONFIG"
+
+
+@dataclass(frozen=True)
+class Config:
+    root: Path
+    values: dict
+
+    @classmethod
+    def load(cls, path: str | None = None) -> Config:
+        """From path, else the file that FIELDLOOM_CONFIG names, else config.toml here."""
+        found = Path(path or os.environ.get(ENVIRONMENT, "config.toml")).resolve()
+        return cls(found.parent, tomllib.loads(found.read_text(encoding="utf-8")))
+
+    def get(self, section: str, key: str, default=None):
+        return self.values.get(section, {}).get(key, default)
+
+    def path(self, section: str, key: str) -> Path:
+        """A path setting; KeyError if it's missing."""
+        return self.root / self.values[section][key]
+
+    @property
+    def months(self) -> list[int]:
+        return list(self.get("processing", "full_months", []))
+
+    @property
+    def month_weights(self) -> dict[int, float]:
+        return {int(k): float(v) for k, v in self.values.get("quality", {}).get("month_weights", {}).items()}
