@@ -16,7 +16,7 @@ match are sorted:
    `HOT` distinct contexts (the edges of a passage that very many documents share) isn't gathered: its strings are
    compared by hash, which are the suffix array's classes of common prefix `length`, counted where they are.
 
-Hashes have 64 bits, contexts' and strings' 128. Null texts are empty; texts shorter than `length` lose nothing. Rows
+Hashes have 64 bits; contexts and strings are told apart by theirs together with their anchor's. Null texts are empty; texts shorter than `length` lose nothing. Rows
 that agree in id and text are one document. What remains is binary, since a cut may fall within a character.
 """
 
@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import bytes_of, stored
 
-LENGTH, ANCHOR, HOT = 200, 80, 1_024
+LENGTH, ANCHOR, HOT = 200, 80, 256
 #: Bytes that go into one suffix array, besides a last group.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _SEGMENT = 1 << 22
 
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
@@ -87,27 +87,29 @@ def anchors(data: np.ndarray, length: int, size: int) -> tuple[np.ndarray, np.nd
     return p, np.concatenate(hashes)[first].view(np.int64)
 
 
-def suffix_ranks(text: np.ndarray, most: int) -> list[np.ndarray]:
-    """By level k, ranks of the first 2**k symbols of each suffix, up to `most` symbols; past the end ranks lowest."""
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64) + 1
-    levels, size = [rank], 1
-    while size * 2 <= most:
-        ahead = np.zeros(len(rank), np.int64)
-        ahead[: len(rank) - size] = rank[size:] if size < len(rank) else []
-        rank = np.unique(rank << 32 | ahead, return_inverse=True)[1] + 1
-        levels, size = [*levels, rank], size * 2
+def suffix_ranks(text: np.ndarray, most: int) -> list[tuple[int, np.ndarray]]:
+    """(size, ranks of the first `size` symbols of each suffix): single symbols, then four, doubling while size is at most
+    `most`. Symbols are 0 to 510; past the end is lowest."""
+    n = len(text)
+    ahead = lambda a, k: np.concatenate([a[k:], np.zeros(min(k, n), np.int64)])
+    symbols = text.astype(np.int64) + 1
+    levels, size, key = [(1, symbols)], 4, ((symbols << 9 | ahead(symbols, 1)) << 9 | ahead(symbols, 2)) << 9 | ahead(symbols, 3)
+    while size <= most:
+        rank = np.unique(key, return_inverse=True)[1].astype(np.int64) + 1
+        levels.append((size, rank))
+        key, size = rank << 32 | ahead(rank, size), size * 2
     return levels
 
 
-def _common(levels: list[np.ndarray], a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+def _common(levels: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     """Length of the common prefix of suffixes a and b, up to `most`."""
-    got, n = np.zeros(len(a), np.int64), len(levels[0])
+    got, n = np.zeros(len(a), np.int64), len(levels[0][1])
     while True:
         before = got.copy()
-        for k in range(len(levels) - 1, -1, -1):
+        for size, rank in reversed(levels):
             x, y = a + got, b + got
-            inside = (np.maximum(x, y) < n) & (got < most)
-            got = got + np.where(inside & (levels[k][np.minimum(x, n - 1)] == levels[k][np.minimum(y, n - 1)]), 1 << k, 0)
+            inside = (np.maximum(x, y) + size <= n) & (got < most)
+            got = got + np.where(inside & (rank[np.minimum(x, n - 1)] == rank[np.minimum(y, n - 1)]), size, 0)
         if (got == before).all() or (got >= most).all():
             return np.minimum(got, most)
 
@@ -134,11 +136,17 @@ def longest_factors(text: np.ndarray, starts: np.ndarray, order: np.ndarray, mos
     if not len(starts):
         return previous, following
     levels = suffix_ranks(text, most)
-    top = 1 << (len(levels) - 1)
-    tail = np.where(starts + (most - top) < len(text), levels[-1][np.minimum(starts + (most - top), len(text) - 1)], 0)
-    suffix = np.lexsort((tail, levels[-1][starts]))
+    top, ranks = levels[-1]
+    # The first `most` symbols are two overlapping strings of `top`; a smaller top means that most is below 4.
+    tail = starts + (most - top) if top * 2 > most else starts
+    second = np.where(tail < len(text), ranks[np.minimum(tail, len(text) - 1)], 0)
+    suffix = np.lexsort((second, ranks[starts]))
     sa = starts[suffix]
-    lcp = np.concatenate([[0], _common(levels, sa[:-1], sa[1:], most)])
+    if at_least >= most:  # only whole strings count, and these are told apart by their ranks
+        first, second = ranks[sa], second[suffix]
+        lcp = np.append(0, np.where((first[1:] == first[:-1]) & (second[1:] == second[:-1]), most, 0))
+    else:
+        lcp = np.append(0, _common(levels, sa[:-1], sa[1:], most))
     back = np.concatenate([[0], lcp[:0:-1]])
     for out, where in ((previous, order[suffix]), (following, -order[suffix])):
         out[suffix] = np.maximum(_towards(where, lcp, at_least), _towards(where[::-1], back, at_least)[::-1])
@@ -156,8 +164,8 @@ def _sort_chunk(rows: list[tuple], length: int, first_stays: bool) -> Iterator[t
     rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] if r[0] is not None else 0, r[1], r[2]))
     sizes = np.array([len(r[3]) + 1 for r in rows])
     base = np.cumsum(sizes) - sizes
-    text = np.frombuffer(b"\0".join(r[3] for r in rows) + b"\0", np.uint8).astype(np.int64) + 1
-    text[base + sizes - 1] = 0  # the end of a context is in no string that counts
+    text = np.frombuffer(b"\0".join(r[3] for r in rows) + b"\0", np.uint8).astype(np.int64)
+    text[base + sizes - 1] = 256  # the end of a context is in no string that counts
     number = {row: k for k, row in enumerate(dict.fromkeys(r[1] for r in rows))}
     doc = np.repeat([number[r[1]] for r in rows], sizes)
     place = np.arange(len(text)) - np.repeat(base, sizes) + np.repeat([r[2] for r in rows], sizes)
@@ -168,9 +176,9 @@ def _sort_chunk(rows: list[tuple], length: int, first_stays: bool) -> Iterator[t
     previous, following = longest_factors(text, starts[one], np.arange(len(one)), length, length)
     hit = key[(previous if first_stays else np.maximum(previous, following)) >= length]
     names = list(number)
-    for k in np.unique(hit >> 40):
-        for a, b in _runs(hit[hit >> 40 == k] & (1 << 40) - 1, length):
-            yield names[k], a, b
+    for part in np.split(hit, np.flatnonzero(np.diff(hit >> 40)) + 1) if len(hit) else ():
+        for a, b in _runs(part & (1 << 40) - 1, length):
+            yield names[part[0] >> 40], a, b
 
 
 def _columns(rows: list[tuple], names: str, kinds: list[pa.DataType]) -> pa.RecordBatch:
@@ -245,16 +253,14 @@ def repeats(docs: DataFrame, length: int = LENGTH, keep: str = "none", anchor: i
         for b in batches:
             for one in range(0, b.num_rows, 256):
                 out = []
-                for id_, row, start, context in zip(*(b.column(c).slice(one, 256).to_pylist() for c in ("id", "row", "start", "context")), strict=True):
-                    for i in range(len(context) - length + 1):
-                        h = xxhash.xxh3_128_intdigest(context[i : i + length])
-                        out.append(((h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), id_, row, start + i))
-                yield _columns(out, "h1 h2 id row start", [pa.int64()] * 5)
+                for id_, row, start, context, print_ in zip(*(b.column(c).slice(one, 256).to_pylist() for c in ("id", "row", "start", "context", "print")), strict=True):
+                    out += [(print_, xxhash.xxh3_64_intdigest(context[i : i + length]) - (1 << 63), id_ if first_stays else None, row, start + i) for i in range(len(context) - length + 1)]
+                yield _columns(out, "print string id row start", [pa.int64()] * 5)
 
-    each = contexts.where("hot").mapInArrow(strings, "h1 long, h2 long, id long, row long, start long")
+    each = contexts.where("hot").mapInArrow(strings, "print long, string long, id long, row long, start long")
     place = F.struct("id", "row", "start")
-    classes = each.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last")
-    hits = each.join(classes, ["h1", "h2"])
+    classes = each.groupBy("print", "string").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last")
+    hits = each.join(classes, ["print", "string"])
     if first_stays:
         hits = hits.where(place != F.col("first"))
     hits = hits.select("row", "start", (F.col("start") + length).alias("end"))
