@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import round4
+from ..functions.quantiles import cut_at_rank, quantile
 
 
 @dataclass(frozen=True)
@@ -31,7 +32,7 @@ def kernel_density(scores: DataFrame, points: int = 500, bins: int = 20_000) ->
 
     Up to `bins` distinct values meet the grid as they are; more are first counted in `bins` equal cells, whose centres
     stand for them, so that the pairs don't grow with the input."""
-    top = scores.agg(F.percentile("mse", F.lit(0.98)).alias("p98"))
+    top = quantile(scores, "mse", 0.98, "p98")
     below = scores.crossJoin(F.broadcast(top)).where("mse < p98").select("mse")
     stats = below.agg(F.min("mse").alias("lo"), F.max("mse").alias("hi"), F.stddev_samp("mse").alias("sd"), F.count("*").alias("n"), F.approx_count_distinct("mse").alias("d")).where("n > 0")
     cells = below.crossJoin(F.broadcast(stats))
@@ -112,9 +113,11 @@ def review_batch(classified: DataFrame, known: DataFrame, size: int = 20) -> Dat
 
 def small_loss(losses: DataFrame, loss: str, forget: float) -> DataFrame:
     """The int((1 - forget) * n) rows of least loss."""
-    n = losses.agg(F.floor(F.count("*") * (1 - forget)).alias("_keep"))
-    ranked = losses.select("parcel_id", loss, F.row_number().over(W.orderBy(loss, "parcel_id")).alias("_r"))
-    return ranked.crossJoin(F.broadcast(n)).where("_r <= _keep").drop("_r", "_keep")
+    one = losses.select("parcel_id", loss).crossJoin(F.broadcast(cut_at_rank(losses, loss, 1 - forget)))
+    below = one.where(F.col(loss) < F.col("cut"))
+    # Rows of exactly the last loss: the first by id. The window holds these ties alone.
+    ties = one.where(F.col(loss) == F.col("cut")).withColumn("_r", F.row_number().over(W.partitionBy(loss).orderBy("parcel_id"))).where("_r <= rest").drop("_r")
+    return below.unionByName(ties).select("parcel_id", loss)
 
 
 def forget_rate(epoch: int, most: float = 0.35, ramp: int = 30) -> float:
