@@ -32,14 +32,35 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Folders that `stored` made and `release` hasn't deleted.
+_made: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """Cuts lineage: writes df as Parquet in the shared folder and reads it again."""
+    """Cuts lineage: writes df as Parquet in the shared folder and reads it again. The write's shuffle files go with it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
+    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(clean, "false")
+    spark.conf.set(clean, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(clean, before)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, *keep: DataFrame) -> None:
+    """Deletes what `stored` has written, but for the files of `keep`. Frames that were built on the rest are lost, so this
+    is for callers that have written their results, such as the stages of a pipeline."""
+    kept = {f.rpartition("/")[0].rpartition("/")[2] for df in keep for f in df.inputFiles()}
+    for path in [p for p in _made if p.rpartition("/")[2] not in kept]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _made.remove(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

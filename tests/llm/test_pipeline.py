@@ -5,16 +5,21 @@ import tiktoken
 
 import corpus_pipeline as P
 from fieldloom.llm import bpe
-from fieldloom.llm.common import stored
 
 from .test_operators import SF, jaccard_classes
 
 
-def test_stages(spark):
-    docs, seen = spark.read.parquet(f"{SF}/documents.parquet"), []
-    for _, stage in P.STAGES:
-        docs = stored(stage(spark, docs, SF))
+def through(spark, docs, folder):
+    seen = []
+    for k, (_, stage) in enumerate(P.STAGES):
+        stage(spark, docs, SF).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
         seen.append(docs)
+    return seen
+
+
+def test_stages(spark, tmp_path):
+    seen = through(spark, spark.read.parquet(f"{SF}/documents.parquet"), tmp_path)
     for df in seen[:-1]:
         assert tuple(df.columns) == P.COLUMNS
     clean, lines, single, mixed, tokens = seen
@@ -30,8 +35,9 @@ def test_stages(spark):
         assert list(r["ids"]) == own.encode_ordinary(rows[r["doc_id"]]) and r["round_trip"]
 
 
-def test_empty_table(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").where("false")
-    for _, stage in P.STAGES:
-        docs = stored(stage(spark, docs, SF))
-    assert docs.count() == 0
+def test_empty_table(spark, tmp_path):
+    assert through(spark, spark.read.parquet(f"{SF}/documents.parquet").where("false"), tmp_path)[-1].count() == 0
+
+
+def test_run(spark):
+    assert P.run(spark, SF).where("round_trip").count() > 100
