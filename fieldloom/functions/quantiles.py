@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-ACCURACY, MARGIN = 100_000, 5e-5
+#: The bracket reaches MARGIN of all rows and RANKS rows to both sides, more than the approximation can miss.
+ACCURACY, MARGIN, RANKS = 100_000, 5e-5, 4
 
 
 def _band(df: DataFrame, value: str, q: float) -> DataFrame:
     """(v, n, upto, total): distinct values around quantile q, their rows, and the rows up to and with them."""
     x = F.col(value)
-    edges = df.agg(*(F.percentile_approx(x, F.lit(min(1.0, max(0.0, q + s * MARGIN))), F.lit(ACCURACY)).alias(n) for s, n in ((-1, "lo"), (1, "hi"))))
+    margin = MARGIN + RANKS / max(1, df.where(x.isNotNull()).count())
+    edges = df.agg(*(F.percentile_approx(x, F.lit(min(1.0, max(0.0, q + s * margin))), F.lit(ACCURACY)).alias(n) for s, n in ((-1, "lo"), (1, "hi"))))
     one = df.where(x.isNotNull()).select(x.alias("v")).crossJoin(F.broadcast(edges))  # a single row
     at = F.when(F.col("v") < F.col("lo"), None).when(F.col("v") > F.col("hi"), None).otherwise(F.col("v"))
     # The nearest values outside are kept too, since a rank may fall between two values.
