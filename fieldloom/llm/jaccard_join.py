@@ -8,7 +8,7 @@ hash; two sets that link share one of their first n - ceil(percent * n / 100) +
 * Groups that share a prefix n-gram and fit in size and position are candidates: all that comes before the first n-gram
   that two sets share is in one of them only, so the two positions bound their difference from below. First each
   n-gram's pivot group meets all of its groups; each document is verified with one of those it met, then with the
-  others whose classes still differ. After that only pairs whose classes differ are left, so a group of thousands
+  others whose classes still differ. After that only pairs of one n-gram or one group whose classes differ are left, so a group of thousands
   of near copies costs a multiple of its size, and not its square. The classes are exact either way: every pair that
   can link either shares a class already or is looked at.
 * Group pairs are expanded into members. A fixed share of both sets, the hashes divisible by `part`, rules out pairs
@@ -194,14 +194,21 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     links = _verified(stored(once), rows, shingler, percent)
     others = stored(_divided(alike.join(once.select("a", "b"), ["a", "b"], "left_anti"), components(links)))
     links = stored(links.unionByName(_verified(others, rows, shingler, percent)))
-    # What is left: pairs of one n-gram whose classes differ.
+    # What is left: pairs of one n-gram or of one group whose classes differ.
     so_far = components(links)
-    placed = stored(firsts.join(so_far, firsts["row"] == so_far["node"], "left").select("row", "group", F.coalesce("label", "row").alias("class")))
+    placed = stored(firsts.join(so_far, firsts["row"] == so_far["node"], "left").select("row", "n", "group", F.coalesce("label", "row").alias("class")))
     kinds = shared.join(placed.select("group", "class").distinct(), "group").select("gram", "group", "n", "pos", "class")
     mixed = kinds.groupBy("gram").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("gram")
     kinds = stored(kinds.join(mixed, "gram"))
     x, y = (kinds.select("gram", *(F.col(c).alias(f"{c}_{s}") for c in ("group", "n", "pos", "class"))) for s in "xy")
-    apart = x.join(y, "gram").where((F.col("class_x") < F.col("class_y")) & _near("x", "y", percent)).select("group_x", "class_x", "group_y", "class_y").distinct()
+    apart = x.join(y, "gram").where((F.col("class_x") < F.col("class_y")) & (F.col("group_x") != F.col("group_y")) & _near("x", "y", percent)).select("group_x", "class_x", "group_y", "class_y").distinct()
+    # Members of one group need no shared n-gram. Sets of one size that aren't equal differ in two n-grams at least.
+    own = placed.where(F.col("n") * (100 - percent) >= 100 + percent).select("group", "class").distinct()
+    split = own.groupBy("group").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("group")
+    own = stored(own.join(split, "group"))
+    u, v = (own.select("group", F.col("class").alias(f"class_{s}")) for s in "xy")
+    inside = u.join(v, "group").where("class_x < class_y").select(F.col("group").alias("group_x"), "class_x", F.col("group").alias("group_y"), "class_y")
+    apart = apart.unionByName(inside)
     who = lambda s, out: placed.select(F.col("group").alias(f"group_{s}"), F.col("class").alias(f"class_{s}"), F.col("row").alias(out))
     rest = ordered(apart.join(who("x", "a"), ["group_x", "class_x"]).join(who("y", "b"), ["group_y", "class_y"]).select("a", "b"))
     more = _verified(_alike(rest.join(tried, ["a", "b"], "left_anti"), signs, percent), rows, shingler, percent)

@@ -236,6 +236,15 @@ def test_jaccard(spark, n, percent):
     assert kept == {i for i, (_, c) in want.items() if i == c}
 
 
+def test_jaccard_within_group(spark):
+    """Equal prefixes of n-grams that no other group has, equal sizes, and two kinds of bodies: one misses the head."""
+    rare, common = [f"r{i}" for i in range(7)], [f"c{i}" for i in range(68)]
+    bodies = [half[:k] + half[k + 1 :] for half in (common[:34], common[34:]) for k in range(3)]
+    texts = [" ".join(rare + b) for b in bodies] + [" ".join(common)] * 10
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.classes(docs(spark, texts), words=1, percent=90).collect()}
+    assert got == jaccard_classes(texts, 1, 90) and {got[i][1] for i in range(6)} == {0, 3}
+
+
 def test_jaccard_empty(spark):
     assert jaccard_join.classes(docs(spark, ["a"]).where("false")).count() == 0
 
