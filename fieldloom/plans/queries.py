@@ -311,7 +311,7 @@ query("m16_w06_cluster_names", f"""{_NAMED}, m as (select cluster, max(case when
   l as (select cluster, case when peak < 0.55 then '撂荒与裸地' when spring >= 0.18 and sd < 0.2 and tex > a then '果树与林地' when peak >= 0.6 and tex < a then '经济作物' else '长势衰弱主粮' end as name from m, g), r as (select *, row_number() over (partition by name order by cluster) - 1 as n from l)
   select cluster, case when n = 0 then name else name || '_亚种' || n end as label from r""")(lambda s, d: (lambda p: clusters.name_clusters(p, p.agg(F.avg("glcm").alias("all_tex"))))(_profile(s, d)))
 query("m01_standardise", "with v as (select vec_id, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as i from embeddings), s as (select i, avg(x) as m, stddev_pop(x) as sd from v group by i) select vec_id, sum(((x - m) / sd) * i) as weighted from v join s using (i) group by vec_id", "weighted")(lambda s, d: clusters.standardised(fx.vectors(s, d), "vec_id", "v").select("vec_id", F.posexplode("v").alias("i", "x")).groupBy("vec_id").agg(F.sum(F.col("x") * (F.col("i") + 1)).alias("weighted")))
-query("m02_kmeans")(lambda s, d: clusters.kmeans(fx.vectors(s, d), "v", starts=3).select("vec_id", "cluster"))
+query("m02_kmeans")(lambda s, d: clusters.kmeans(fx.vectors(s, d), "v").select("vec_id", "cluster"))
 query("m15_mixture")(lambda s, d: clusters.mixture(fx.vectors(s, d).withColumn("v", F.slice("v", 1, 4)), "v", range(3, 5)).select("vec_id", "cluster", "confidence"))
 
 # --- space and texture ------------------------------------------------------------------------------------------------

@@ -1,5 +1,6 @@
 """Hand-made cases of the parcel operators, and every registered query against its SQL on the smallest tables."""
 
+import inspect
 import math
 
 import duckdb
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions import columns as C
 from fieldloom.functions.indices import with_indices
-from fieldloom.operators import labels, quality, scoring, spatial, texture, zonal
+from fieldloom.operators import clusters, labels, quality, scoring, spatial, texture, zonal
 from fieldloom.plans import queries as Q
 from fieldloom.sources import files
 from fieldloom.sources.config import Config
@@ -43,6 +44,22 @@ def test_query_equals_sql(spark, duck, name):
     assert got == sorted(str(tuple(map(_norm, r))) for r in duck.sql(f"select {cells} from ({Q.oracles()[name]})").fetchall())
 
 
+def test_kmeans_takes_all_starts(spark, monkeypatch):
+    """The registered query fits as often as the operator and the reference do, on all rows and whole vectors."""
+    seen, own = [], inspect.signature(clusters.kmeans)
+
+    def recorded(*args, **named):
+        seen.append(own.bind(*args, **named))
+        seen[0].apply_defaults()
+        return seen[0].arguments["points"].withColumn("cluster", F.lit(0))
+
+    monkeypatch.setattr(clusters, "kmeans", recorded)
+    Q.queries()["m02_kmeans"](spark, SF)
+    got = seen[0].arguments
+    assert (got["k"], got["starts"]) == (4, 10)
+    assert tuple(got["points"].agg(F.count("*"), F.min(F.size(got["vector"]))).head()) == (500, 64)
+
+
 def pixels(spark, rows):
     return with_indices(spark.createDataFrame(rows, "parcel_id string, month int, blue double, green double, red double, nir double"))
 
