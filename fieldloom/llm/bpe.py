@@ -1,47 +1,47 @@
 """Byte-level BPE encoding and decoding.
 
-The ranks of a public tokenizer file merge byte pairs, lowest rank first. Texts are cut by the tokenizer's pattern, and
-each distinct piece is encoded once: `encode_words` folds the ranked merges over the array of a word's bytes with
-Spark's higher-order functions, looking pairs up in a literal rank map. A map's lookup is a scan, so the literal is an
-array of small maps, and a pair's hash says which one.
-
-`encode` counts the pieces of all texts, folds the `common` ones of them that occur most (each of `word_bytes` bytes at
-most, so what is broadcast to the tasks has a fixed bound), and then assembles each text in one pass. Pieces beyond the
-bound are merged where they occur, by the same ranks, so no text is shuffled and none depends on the bound.
-
-Null and empty texts have no ids. Special tokens are ordinary text. A vocabulary must hold all single bytes; `ranks`
-raises ValueError otherwise. Decoding concatenates the ids' bytes; null ids give null, unknown ids raise KeyError.
+The ranks of a public tokenizer file merge byte pairs, lowest rank first. `encode` cuts texts by the tokenizer's pattern
+(in the JVM: Java's classes are written out where the public library's differ) and works through the documents of a
+partition in blocks of about `BLOCK` pieces. The distinct words that are no token as a whole are encoded once in a
+task: `fold` merges over the array of a word's bytes with Spark's higher-order functions and looks pairs up in a rank map
+that comes with the plan as one literal. The block's documents are then put together from its words' ids. Nothing is
+shuffled, collected or broadcast, memory depends on the block and on `REMEMBERED` words alone, and a lost task repeats its own blocks only.
+
+A map's lookup is a scan, so the rank map is an array of small maps, and a pair's checksum says which one. A fold costs
+the square of a word's length, so words above `LONG` bytes (runs without a break, not words of a language) are merged
+over a heap instead; ids are the same.
+
+Null and empty texts have no ids. Special tokens are ordinary text. Rows are encoded one by one, so repeated rows, null
+ids and ties are no matter, and an empty table stays empty. Columns besides the text pass through, whatever their names.
+A vocabulary must hold all single bytes; `ranks` raises ValueError otherwise. Decoding concatenates the ids' bytes; null
+ids give null, unknown ids fail.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
-import re
 import zlib
-from array import array
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import regex
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import stored
-
-#: Pieces that are folded and broadcast, and the longest of them.
-COMMON, WORD_BYTES = 200_000, 48
+#: Pieces of one block of documents, beyond its last one, and the longest word that is folded.
+BLOCK, LONG = 2_000_000, 1_024
 #: Small maps that the literal rank map is made of.
-BUCKETS = 8_192
-#: Rare pieces that a worker remembers.
-CACHED = 200_000
-
-#: Letters of these ranges and ASCII are told apart by the faster module alike.
-_SIMPLE = re.compile("[\x00-\x7eÀ-ÖØ-öø-ſ‘-‟¡¿]*")
+BUCKETS = 32_768
+#: Bits of a pair's place beside its rank.
+PLACE = 16
+#: Words that a task remembers before it starts anew.
+REMEMBERED = 1_000_000
+#: The characters of the Unicode property White_Space, in Java's notation.
+SPACES = r"\t-\r \x85\xa0  -     　"
 
 
 def ranks(path: str) -> dict[bytes, int]:
@@ -52,52 +52,17 @@ def ranks(path: str) -> dict[bytes, int]:
     return found
 
 
-class Splitter:
-    """Cuts texts by a pattern; texts of simple letters go through `re`, where \\p{L} and \\p{N} have equals."""
-
-    def __init__(self, pattern: str):
-        self.pattern = pattern
-        self.any = regex.compile(pattern)
-        simple = pattern.replace(r"[^\s\p{L}\p{N}]", r"(?:[^\s\w]|_)").replace(r"\p{L}", r"[^\W\d_]").replace(r"\p{N}", r"[0-9]")
-        self.simple = None if r"\p" in simple or "(?:[^\\s\\w]|_)+" not in simple else re.compile(simple)
-
-    def __getstate__(self):
-        return self.pattern
-
-    def __setstate__(self, pattern):
-        self.__init__(pattern)
-
-    def __call__(self, text: str) -> list[str]:
-        plain = self.simple is not None and _SIMPLE.fullmatch(text) and not _SEPARATORS.search(text)
-        return (self.simple if plain else self.any).findall(text)
-
-
-#: `re` takes these for white space, the pattern's \s doesn't.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
+def pieces(text: Column, pattern: str) -> Column:
+    """A text's pieces in order. Java's \\s knows ASCII alone, so white space is written out."""
+    java = pattern.replace(r"[^\s", f"[^{SPACES}").replace(r"\s", f"[{SPACES}]").replace(r"\S", f"[^{SPACES}]")
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(java), F.lit(0))
 
 
 def merged(word: bytes, table: dict[bytes, int]) -> list[int]:
-    """The ids of one piece."""
+    """The ids of one word, with a heap over linked parts: a word may be as long as its text."""
     if word in table:
         return [table[word]]
     parts = [word[i : i + 1] for i in range(len(word))]
-    if len(word) > 64:
-        return _merged_long(parts, table)
-    while len(parts) > 1:
-        pairs = [table.get(a + b, _NEVER) for a, b in zip(parts, parts[1:])]  # noqa: B905
-        best = min(pairs)
-        if best == _NEVER:
-            break
-        i = pairs.index(best)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-    return [table[p] for p in parts]
-
-
-_NEVER = 1 << 60
-
-
-def _merged_long(parts: list[bytes], table: dict[bytes, int]) -> list[int]:
-    """The same with a heap over linked parts: a piece may be as long as its text."""
     n = len(parts)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     heap = [(table[p], i, p) for i in range(n - 1) if (p := parts[i] + parts[i + 1]) in table]
@@ -116,108 +81,131 @@ def _merged_long(parts: list[bytes], table: dict[bytes, int]) -> list[int]:
     return [table[p] for p in parts if p]
 
 
-def rank_map(table: dict[bytes, int]) -> Column:
-    """The ranks as one literal, an array of maps from a piece's hex digits; its checksum says in which map it is."""
-    rows: list[list[str]] = [[] for _ in range(BUCKETS)]
-    for piece, rank in table.items():
-        rows[zlib.crc32(piece) % BUCKETS].append(f"{piece.hex().upper()}:{rank}")
-    return F.expr(f"array({','.join(f"str_to_map('{','.join(r)}')" for r in rows)})")
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of value, which is computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def fold(word: Column, table: Column) -> Column:
-    """The ids of a word (binary): each step of the fold joins the first neighbours of lowest rank, if any has one."""
-    def rank(piece: Column) -> Column:
-        return F.try_element_at(F.element_at(table, (F.pmod(F.crc32(piece), F.lit(BUCKETS)) + 1).cast("int")), F.hex(piece)).cast("int")
-
-    def joined(parts: Column, ranks: Column, best: Column) -> Column:
-        at = F.array_position(ranks, best).cast("int")
-        pair = F.array(F.concat(F.element_at(parts, at), F.element_at(parts, at + 1)))
-        return F.concat(F.slice(parts, 1, at - 1), pair, F.slice(parts, at + 2, F.size(parts)))
-
-    def step(state: Column, _: Column) -> Column:
-        parts = state["parts"]
-        pairs = lambda: F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: rank(F.concat(F.element_at(parts, i), F.element_at(parts, i + 1))))
-        merge = lambda ranks: let(F.array_min(ranks), lambda best: F.when(best.isNull(), F.struct(parts.alias("parts"), F.lit(True).alias("done"))).otherwise(F.struct(joined(parts, ranks, best).alias("parts"), F.lit(False).alias("done"))))
-        return F.when(state["done"] | (F.size(parts) < 2), state).otherwise(let(pairs(), merge))
+def let(name: str, value: str, body: str) -> str:
+    """SQL: body, in which `name` is the value, computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
-    single = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.substring(word, i, F.lit(1)))
-    start = F.struct(single.alias("parts"), F.lit(False).alias("done"))
-    ids = lambda parts: F.transform(parts, rank)
-    whole = rank(word)
-    return F.when(whole.isNotNull(), F.array(whole)).otherwise(ids(F.aggregate(F.sequence(F.lit(1), F.length(word)), start, step)["parts"]))
 
+def with_rank_map(table: dict[bytes, int], body: str) -> Column:
+    """body (SQL) with `ranks`, the ranks as an array of maps from bytes to rank. The map is made
+    of one literal, once a row; a piece's checksum says in which of the small maps it is."""
+    rows: list[list[str]] = [[] for _ in range(BUCKETS)]
+    for piece, rank in table.items():
+        rows[zlib.crc32(piece) % BUCKETS].append(f"{piece.hex()}:{rank}")
+    literal = ";".join(",".join(r) for r in rows)
+    cells = "map_from_arrays(transform(cells, c -> unhex(substring_index(c, ':', 1))), transform(cells, c -> try_cast(substring_index(c, ':', -1) as int)))"
+    maps = f"transform(split(text, ';'), b -> {let('cells', "split(b, ',')", cells)})"
+    return F.expr(let("text", f"'{literal}'", let("ranks", maps, body)))
+
+
+def fold(word: str) -> str:
+    """SQL for the ids of a word (binary) over `ranks`: a fold over the array of its bytes, each step of which joins the
+    first neighbours of lowest rank, if any has one. Rank and place of a pair make one number, the least of which wins."""
+    rank = lambda piece: f"element_at(element_at(ranks, cast(crc32({piece}) % {BUCKETS} as int) + 1), {piece})"
+    pair = let("p", "concat(parts[i - 1], parts[i])", f"shiftleft(cast({rank('p')} as bigint), {PLACE}) | i")
+    best = f"array_min(transform(sequence(1, size(parts) - 1), i -> {pair}))"
+    joined = "transform(sequence(1, size(parts) - 1), i -> if(i < at, parts[i - 1], if(i > at, parts[i], concat(parts[i - 1], parts[i]))))"
+    step = f"if(size(parts) < 2, parts, {let('best', best, f'if(best is null, parts, {let("at", f"cast(best & {(1 << PLACE) - 1} as int)", joined)})')})"
+    single = "transform(sequence(1, length(w)), i -> substring(w, i, 1))"
+    merges = f"if(length(w) < 2, array(w), aggregate(sequence(2, length(w)), {single}, (parts, i) -> {step}))"
+    ids = let("parts", merges, f"transform(parts, p -> {rank('p')})")
+    return let("w", word, f"if(length(w) = 0, array(), {let('whole', rank('w'), f'if(whole is not null, array(whole), {ids})')})")
 
-def count_pieces(df: DataFrame, text_col: str, split: Splitter) -> DataFrame:
-    """(piece, n) over all texts; counts are summed within tasks before they are shuffled."""
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter[str] = Counter()
-        for b in batches:
-            for text in b["_text"]:
-                seen.update(split(text))
-                if len(seen) > 300_000:
-                    yield pd.DataFrame(seen.items(), columns=["piece", "n"])
-                    seen.clear()
-        yield pd.DataFrame(seen.items(), columns=["piece", "n"])
 
-    return df.select(F.coalesce(text_col, F.lit("")).alias("_text")).mapInPandas(counted, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+def encode_words(words: DataFrame, table: dict[bytes, int], word_col: str = "piece", out: str = "ids") -> DataFrame:
+    """Adds the ids of each word, by the fold."""
+    return words.withColumn(out, with_rank_map(table, fold(f"cast(`{word_col}` as binary)")))
 
 
-def encode_words(words: DataFrame, table: dict[bytes, int], word_col: str = "piece", out: str = "ids") -> DataFrame:
-    """Adds the ids of each distinct word, by the fold."""
-    return words.withColumn(out, let(rank_map(table), lambda ranks: fold(F.col(word_col).cast("binary"), ranks)))
+class _Slots(dict):
+    """A piece's id, or -1 - k for the k-th distinct word of a block that is no token as a whole."""
 
+    def __init__(self, tokens: dict[str, int]):
+        self.tokens, self.words = tokens, []
 
-class _Encoder:
-    """One per worker: the ids of common pieces, and a bounded memory of rare ones."""
+    def __missing__(self, piece: str) -> int:
+        slot = self.tokens.get(piece)
+        if slot is None:
+            self.words.append(piece)
+            slot = -len(self.words)
+        self[piece] = slot
+        return slot
 
-    def __init__(self, split: Splitter, common: dict[str, list[int]], table: dict[bytes, int]):
-        self.split, self.known, self.table, self.most = split, common, table, len(common) + CACHED
 
-    def missing(self, piece: str) -> list[int]:
-        ids = merged(piece.encode(), self.table)
-        if len(piece) <= WORD_BYTES:
-            if len(self.known) >= self.most:
-                for _ in range(CACHED // 2):
-                    self.known.popitem()
-            self.known[piece] = ids
-        return ids
+def _lists(offsets: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
-    def batch(self, texts: pa.Array) -> pa.Array:
-        flat, ends, known = array("i"), [0], self.known
-        for text in texts.to_pylist():
-            for piece in self.split(text or ""):
-                flat.extend(known[piece] if piece in known else self.missing(piece))
-            ends.append(len(flat))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else [], pa.int32()))
 
+def encode(df: DataFrame, table: dict[bytes, int], pattern: str, text_col: str = "text", out: str = "ids", block: int = BLOCK) -> DataFrame:
+    """df's columns besides the text, and array<int> of token ids, as the public library's ordinary encoding gives them."""
+    others = [f for f in df.schema.fields if f.name not in (text_col, out)]
+    doc = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(others)] + [T.StructField("partial", T.ArrayType(T.IntegerType()))])
+    cut = df.select(*(F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(others)), pieces(F.col(f"`{text_col}`"), pattern).alias("pieces"))
+    shared = df.sparkSession.sparkContext.broadcast(table)  # the vocabulary
 
-def encode(df: DataFrame, table: dict[bytes, int], pattern: str, text_col: str = "text", out: str = "ids", common: int = COMMON) -> DataFrame:
-    """Adds array<int> of token ids, as the public library's ordinary encoding gives them."""
-    split = Splitter(pattern)
-    # Kept as Parquet, so that a lost executor doesn't cost the whole count again.
-    top = stored(count_pieces(df, text_col, split).where(F.octet_length("piece") <= WORD_BYTES).orderBy(F.desc("n"), "piece").limit(common))
-    folded = encode_words(top.repartition(64), table).select("piece", "ids").toPandas()  # at most `common` short words
-    shared = df.sparkSession.sparkContext.broadcast((dict(zip(folded["piece"], (array("i", x) for x in folded["ids"]), strict=True)), table))
-    made: list[_Encoder] = []
+    def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = {}
+        for piece, rank in shared.value.items():
+            try:
+                tokens[piece.decode()] = rank
+            except UnicodeDecodeError:
+                continue
+        slots, told, docs, held = _Slots(tokens), 0, [], 0
 
-    def encoded(texts: pa.Array) -> pa.Array:
-        if not made:
-            made.append(_Encoder(split, *shared.value))
-        return made[0].batch(texts)
+        def row() -> pa.RecordBatch:
+            every, new = pa.concat_arrays(docs), slots.words[told:]
+            short = [w if len(w) <= LONG // 4 or len(w.encode()) <= LONG else None for w in new]
+            long = [merged(w.encode(), shared.value) if s is None else None for w, s in zip(new, short, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array([told], pa.int32()), _lists([0, len(every)], every), pa.array([short], pa.list_(pa.string())), pa.array([long], pa.list_(pa.list_(pa.int32())))], ["told", "docs", "words", "long"])
 
-    return df.withColumn(out, F.arrow_udf(encoded, "array<int>")(F.coalesce(text_col, F.lit(""))))
+        for b in batches:
+            lists = b.column("pieces")
+            flat = lists.flatten().dictionary_encode()
+            slot = np.fromiter(map(slots.__getitem__, flat.dictionary.to_pylist()), np.int32, len(flat.dictionary))
+            ends = np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
+            partial = _lists(ends, pa.array(slot[flat.indices.to_numpy()] if len(flat) else slot))
+            docs.append(pa.StructArray.from_arrays([*(b.column(f"c{i}") for i in range(len(others))), partial], [f.name for f in doc.fields]))
+            held += len(flat)
+            if held >= block:
+                yield row()
+                told, docs, held = len(slots.words), [], 0
+                if told > REMEMBERED:
+                    slots, told = _Slots(tokens), 0
+        if docs:
+            yield row()
+
+    def resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, known = np.zeros(1, np.int64), np.zeros(0, np.int32)  # ends and ids of the task's words so far
+        for b in batches:
+            for k in range(b.num_rows):
+                docs, words = b.column("docs").slice(k, 1).flatten(), b.column("ids").slice(k, 1).flatten()
+                if not b.column("told")[k].as_py():
+                    of, known = of[:1], known[:0]
+                of = np.append(of, of[-1] + np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False)))
+                known = np.append(known, words.flatten().to_numpy())
+                partial = docs.field(len(others))
+                ends = np.append(0, np.cumsum(partial.value_lengths().to_numpy(zero_copy_only=False)))
+                flat = partial.flatten().to_numpy()
+                word = np.maximum(-1 - flat.astype(np.int64), 0)
+                n = np.where(flat < 0, np.diff(of)[word], 1) if len(of) > 1 else np.ones(len(flat), np.int64)
+                to = np.append(0, np.cumsum(n))
+                first = np.where(flat < 0, of[word], len(known) + np.arange(len(flat)))
+                ids = np.concatenate([known, flat]).astype(np.int32)[np.repeat(first - to[:-1], n) + np.arange(to[-1])]
+                rows = pa.RecordBatch.from_arrays([*(docs.field(i) for i in range(len(others))), _lists(to[ends], pa.array(ids))], [*(f"c{i}" for i in range(len(others))), "ids"])
+                for lo in range(0, len(docs), 1024):
+                    yield rows.slice(lo, 1024)
+
+    blocks = cut.mapInArrow(blocked, T.StructType([T.StructField("told", T.IntegerType()), T.StructField("docs", T.ArrayType(doc)), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("long", T.ArrayType(T.ArrayType(T.IntegerType())))]))
+    folded = with_rank_map(table, f"transform(words, (s, k) -> if(s is null, long[k], {fold('cast(s as binary)')}))")
+    put = blocks.select("told", "docs", folded.alias("ids")).mapInArrow(resolved, T.StructType([*doc.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return put.select(*(F.col(f"c{i}").alias(f.name) for i, f in enumerate(others)), F.col("ids").alias(out))
 
 
 def decode(df: DataFrame, table: dict[bytes, int], ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """Adds the binary that the ids' pieces make together. The pieces are a literal, in order of id."""
-    pieces = [b""] * (max(table.values()) + 1)
+    found = [b""] * (max(table.values()) + 1)
     for piece, rank in table.items():
-        pieces[rank] = piece
-    literal = F.split(F.lit(",".join(p.hex() for p in pieces)), ",")
-    digits = let(literal, lambda hexes: F.transform(ids_col, lambda i: F.element_at(hexes, i + 1)))
+        found[rank] = piece
+    literal = F.split(F.lit(",".join(p.hex() for p in found)), ",")
+    digits = F.transform(ids_col, lambda i: F.element_at(literal, i + 1))
     return df.withColumn(out, F.unhex(F.array_join(digits, "")))

@@ -262,7 +262,7 @@ def test_bpe(spark):
     rng = random.Random(2)
     letters = "abcXYZ éàß12½²_-'’“”…¡¿ \t\n\r\x1c\x1f\x85\u00a0\u3000漢字кип'sll'd\x00\u0301😀ª<|endoftext|>"
     texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(150)] + [None, "", "a" * 3_000, "日本語" * 300, " " * 200, words(rng, 3_000)]
-    df = bpe.decode(bpe.encode(docs(spark, texts), table, public_tokenizers.PATTERN, common=100), table)
+    df = bpe.decode(bpe.encode(docs(spark, texts), table, public_tokenizers.PATTERN, block=500), table)
     for r in df.collect():
         t = texts[r["doc_id"]] or ""
         assert list(r["ids"]) == own.encode_ordinary(t) and bytes(r["decoded"]) == t.encode()
