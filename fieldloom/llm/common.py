@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,16 +27,35 @@ def tuned(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set, as in tests."""
+    """The cluster's checkpoint folder. Only a local master, as in tests, gets a temporary one where none is set; elsewhere
+    that is an error, since other machines wouldn't see it."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         path = tempfile.mkdtemp(prefix="fieldloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
-#: Folders that `stored` made and `release` hasn't deleted.
-_made: list[str] = []
+_folders: ContextVar[list[str] | None] = ContextVar("folders", default=None)
+
+
+@contextmanager
+def scratch() -> Iterator[list[str]]:
+    """The folders that `stored` writes in the block. Whoever has written what is built on them may `release` them; frames
+    made elsewhere are never touched. What nobody releases goes when the application ends."""
+    made: list[str] = []
+    before = _folders.set(made)
+    try:
+        yield made
+    finally:
+        _folders.reset(before)
+
+
+def _at(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -47,18 +69,18 @@ def stored(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(clean, before)
-    _made.append(path)
+    system, where = _at(spark, path)
+    system.deleteOnExit(where)
+    if (made := _folders.get()) is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, *keep: DataFrame) -> None:
-    """Deletes what `stored` has written, but for the files of `keep`. Frames that were built on the rest are lost, so this
-    is for callers that have written their results, such as the stages of a pipeline."""
-    kept = {f.rpartition("/")[0].rpartition("/")[2] for df in keep for f in df.inputFiles()}
-    for path in [p for p in _made if p.rpartition("/")[2] not in kept]:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        _made.remove(path)
+def release(spark: SparkSession, made: list[str]) -> None:
+    """Deletes folders that a `scratch` block has listed. Frames that are built on them are lost."""
+    while made:
+        system, where = _at(spark, made.pop())
+        system.delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from fieldloom.llm import bpe, components, cover_tree, jaccard_join, line_dedup, mixing, mpegts, queries, suffix_dedup, suffix_tree_lm, toxicity, url_filter
+from fieldloom.llm import bpe, common, components, cover_tree, jaccard_join, line_dedup, mixing, mpegts, queries, suffix_dedup, suffix_tree_lm, toxicity, url_filter
 from fieldloom.llm.common import bytes_of
 
 SF = "/root/testdata/sf0.001"
@@ -327,6 +327,28 @@ def test_line_dedup(spark):
     assert set(got[0].asDict()) == {c.split()[0] for c in DOCS.split(", ")} | {"n_lines", "n_removed"}
 
 
+def test_line_dedup_takes_the_whole_run(spark):
+    """Short lines at the end of a repeated run, on which no full window begins, go with it; a shorter run stays."""
+    rng = random.Random(17)
+    run = "\n".join(words(rng, n) for n in (7, 25, 25, 3, 4))
+    rows = [(1, run + "\nleft one", 1), (2, "before two\n" + run + "\nafter two", 2), (3, words(rng, 49), 3), (None, "\n".join(run.split("\n")[3:]), 4), (2, "before two\n" + run + "\nafter two", 5)]
+    df = spark.createDataFrame(rows, "id long, text_hash string, n_removed int").withColumnRenamed("text_hash", "gone").withColumn("doc", F.lit(1)).withColumn("_id", F.lit(2))
+    got = line_dedup.dedup_lines(df, "id", "gone").collect()
+    assert sorted((r["id"] or 0, r["gone"]) for r in got) == sorted([(1, rows[0][1]), (2, "before two\nafter two"), (2, "before two\nafter two"), (3, rows[2][1]), (0, rows[3][1])])
+    assert set(got[0].asDict()) == {"id", "gone", "doc", "_id", "n_lines", "n_removed"}
+    assert line_dedup.dedup_lines(df.where("false"), "id", "gone").count() == 0
+
+
+def test_scratch_spares_other_frames(spark):
+    one = common.stored(spark.range(3))
+    with common.scratch() as made:
+        two = common.stored(spark.range(4))
+    common.release(spark, made)
+    assert one.count() == 3 and made == []
+    with pytest.raises(Exception, match="."):
+        two.count()
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracles(spark, name):
     con = duckdb.connect()
