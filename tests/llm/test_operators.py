@@ -175,6 +175,39 @@ def test_mix(spark):
     assert mixing.mix(df.where("false")).count() == 0
 
 
+def test_rates_solve_the_dual(spark):
+    """Against a plain solution over all documents: each source's tokens, the mean log size, one tilt for all."""
+    rng = np.random.default_rng(3)
+    key, size = rng.integers(0, 4, 800), rng.integers(1, 300, 800)
+    size[key == 1] = rng.integers(1, 9, (key == 1).sum())
+    tokens = np.bincount(key, size)
+    target = tokens * np.array([0.5, 3.0, 1.2, 0.0])
+    target[3] = tokens.sum() - target.sum()
+    assert 0 < target[3] < 3 * tokens[3]
+    g = np.log(size) - (size * np.log(size)).sum() / size.sum()
+    lam, mu = np.zeros(4), 0.0
+    for _ in range(4_000):  # coordinate-wise bisection steps, slow and plain
+        r = np.minimum(3, np.exp(lam[key] + mu * g))
+        lam += 0.2 * np.clip(np.log(target / np.bincount(key, size * r)), -1, 1)
+        lam[1] = 60
+        mu -= 0.05 * ((size * r * g).sum() / size.sum() + 0.1 * mu)
+    classes = spark.createDataFrame([(int(k), int(z), 1) for k, z in zip(key, size)], "key int, size long, n long")
+    aims = spark.createDataFrame([(k, int(tokens[k]), float(target[k])) for k in range(4)], "key int, tokens long, target double")
+    got = {(r["key"], r["size"]): r["rate"] for r in mixing.rates(classes, aims).collect()}
+    want = np.minimum(3, np.exp(lam[key] + mu * g))
+    assert abs(mu) > 0.001 and np.allclose([got[int(k), int(z)] for k, z in zip(key, size)], want, rtol=1e-3)
+    assert np.allclose(np.bincount(key, size * np.array([got[int(k), int(z)] for k, z in zip(key, size)])), target, rtol=1e-6)
+
+
+def test_mix_counts_rows(spark):
+    """Null and repeated ids are documents of their own; carried columns may have any name."""
+    rows = [(None, "a", 5, i) for i in range(40)] + [(7, "a", 5, 100 + i) for i in range(40)] + [(8, None, 9, 200)] * 3 + [(9, "b", 0, 300)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long, rank int")
+    plain, carried = mixing.mix(df).collect(), mixing.mix(df, carry=["rank", "doc_id"]).collect()
+    assert len(plain) == len(carried) == len(rows) and sum(r["copies"] for r in plain) == sum(r["copies"] for r in carried)
+    assert sorted(r["rank"] for r in carried) == sorted(r[3] for r in rows)
+
+
 def test_size_counts_words(spark):
     assert [r["size"] for r in mixing.with_size(docs(spark, ["a b\tc\n", None, "", " x y"]).drop("size")).orderBy("doc_id").collect()] == [3, 0, 0, 1 + 1]
 
