@@ -1,21 +1,25 @@
 """N-gram Jaccard join: a grouped prefix join that gives each document its class of linked documents.
 
 Documents link when the Jaccard similarity of their sets of word n-grams reaches `percent` / 100. Sets are of 64-bit
-hashes. Each set is ordered by rarity (the least count of an n-gram's words bounds the n-gram's own count), then by
-hash; two sets that link share one of their first n - ceil(percent * n / 100) + 1 n-grams, the prefix.
+hashes. Each set is ordered by how many documents have an n-gram, rare ones first, then by hash; two sets that link share
+one of their first n - ceil(percent * n / 100) + 1 n-grams, the prefix. The counts come from a table of `counters` sums by
+hash, whose size follows the number of documents and has a bound; n-grams that fall together share a count. Any order that
+all sets agree on gives the same links, so the table decides cost alone: n-grams of a passage that many documents share
+stand last and don't make candidates of all of these.
 
 * Documents with equal sets are linked at once. Documents with equal prefixes and sizes collapse into one group.
 * Groups that share a prefix n-gram and fit in size and position are candidates: all that comes before the first n-gram
   that two sets share is in one of them only, so the two positions bound their difference from below. First each
-  n-gram's pivot group meets all of its groups; each document is verified with one of those it met, then with the
-  others whose classes still differ. After that only pairs of one n-gram or one group whose classes differ are left, so a group of thousands
-  of near copies costs a multiple of its size, and not its square. The classes are exact either way: every pair that
-  can link either shares a class already or is looked at.
+  n-gram's pivot group meets all of its groups; each document is verified with the most alike of those it met, then with
+  the others whose classes still differ. After that only pairs of one n-gram or one group whose classes differ are left, so
+  a group of thousands of near copies costs a multiple of its size, and not its square. The classes are exact either way:
+  every pair that can link either shares a class already or is looked at.
 * Group pairs are expanded into members. A fixed share of both sets, the hashes divisible by `part`, rules out pairs
   whose symmetric difference in this share alone is too large; the rest is verified on whole sets.
 
 Null and empty texts, and texts without words, have no set and link with nothing. Texts of fewer than n words have one
-n-gram, all their words. Rows that agree in id and text are one document. Other columns pass through.
+n-gram, all their words. Rows that agree in id and text are one document, told apart from others by two 64-bit hashes.
+A null id is the greatest. An empty table gives an empty result. Other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,10 +34,10 @@ from pyspark.sql import functions as F
 
 from .common import bytes_of, stored
 from .components import components
-from .suffix_tree_lm import tokens, word_counts
+from .suffix_tree_lm import tokens
 
-#: Words with this share of all words or more are told apart by their counts when n-grams are ordered.
-COUNTED_SHARE = 2e-6
+#: Bounds of the table of counts, which has about 16 counters for each document.
+COUNTERS = (1 << 16, 1 << 26)
 _CACHED = 500_000
 
 
@@ -43,37 +47,75 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Shingler:
-    """Sets of hashed word n-grams, with a bound on each one's count. counts: of the frequent words."""
+class _Words(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= _CACHED:
+            self.clear()
+        self[word] = found = xxhash.xxh3_64_intdigest(word)
+        return found
 
-    def __init__(self, n: int, counts: dict[bytes, int] | None = None):
-        self.n, self.counts, self.known = n, counts or {}, {}
 
-    def _word(self, word: bytes) -> tuple[int, int]:
-        if len(self.known) >= _CACHED:
-            self.known.clear()
-        self.known[word] = found = (xxhash.xxh3_64_intdigest(word), self.counts.get(word, 0))
-        return found
+class Shingler:
+    """Sets of hashed word n-grams. counts: of documents, by hash modulo their number."""
+
+    def __init__(self, n: int, counts: np.ndarray | None = None):
+        self.n, self.counts, self.known = n, counts, _Words()
 
-    def __call__(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct hashes in order of hash, and the bounds."""
-        words, known = tokens(text), self.known
+    def __call__(self, text: bytes) -> np.ndarray:
+        """Distinct hashes in order of hash."""
+        words = tokens(text)
         if not words:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        pairs = [known[w] if w in known else self._word(w) for w in words]
-        h, c = np.array([p[0] for p in pairs], np.uint64), np.array([p[1] for p in pairs], np.int64)
+            return np.zeros(0, np.uint64)
+        h = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
         n = self.n if len(words) >= self.n else len(words)
         many = len(words) - n + 1
-        out, least = np.full(many, n, np.uint64), c[:many].copy()
+        out = np.full(many, n, np.uint64)
         for i in range(n):
             out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + many])
-            np.minimum(least, c[i : i + many], out=least)
-        out, at = np.unique(out, return_index=True)
-        return out, least[at]
+        return np.unique(out)
+
+    def ordered(self, hashes: np.ndarray, first: int) -> np.ndarray:
+        """The `first` rarest hashes, by count, then by hash."""
+        count = self.counts[hashes % np.uint64(len(self.counts))]
+        if first < len(hashes):
+            near = np.flatnonzero(count <= np.partition(count, first - 1)[first - 1])
+            hashes, count = hashes[near], count[near]
+        return hashes[np.argsort(count, kind="stable")[:first]]
+
+
+def _counts(rows: DataFrame, n: int, counters: int) -> np.ndarray:
+    """How many documents have n-grams of each place in the table. Tasks add up before they send, in cells of 4,096 places."""
+    cell = 4_096
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make, found = Shingler(n), np.zeros(counters, np.int32)
+        for b in batches:
+            places = np.concatenate([np.zeros(0, np.uint64), *map(make, b.column("text").to_pylist())]) % np.uint64(counters)
+            np.add.at(found, places.astype(np.int64), 1)
+        for lo in range(0, counters, 64 * cell):
+            part = found[lo : lo + 64 * cell].reshape(-1, cell)
+            some = np.flatnonzero(part.any(1))
+            yield pa.RecordBatch.from_arrays([pa.array(some + lo // cell, pa.int32()), pa.array([part[i].tobytes() for i in some], pa.binary())], ["cell", "n"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for at, raw in zip(b.column("cell").to_pylist(), b.column("n").to_pylist(), strict=True):
+                sums[at] = sums.get(at, 0) + np.frombuffer(raw, np.int32)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["cell", "n"])
+
+    schema = "cell int, n binary"
+    table = np.zeros((counters // cell, cell), np.int32)
+    for r in rows.select("text").mapInArrow(counted, schema).repartition("cell").mapInArrow(added, schema).toLocalIterator():
+        table[r["cell"]] = np.frombuffer(r["n"], np.int32)
+    return table.reshape(-1)
 
 
-def _row_id(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(id_col, text_col)
+def _key(*columns: str) -> Column:
+    """16 bytes that tell the columns' values apart."""
+    half = lambda *c: F.lpad(F.hex(F.xxhash64(*c)), 16, "0")
+    return F.unhex(F.concat(half(*columns), half(F.lit(1), *columns)))
 
 
 def _signatures(rows: DataFrame, shingler, percent: int, part: int) -> DataFrame:
@@ -83,18 +125,18 @@ def _signatures(rows: DataFrame, shingler, percent: int, part: int) -> DataFrame
         for b in batches:
             n, keys, prefixes, sketches = [], [], [], []
             for text in b.column("text").to_pylist():
-                h, least = make(text)
+                h = make(text)
                 n.append(len(h))
                 digest = xxhash.xxh3_128_intdigest(h.tobytes())
                 keys.append((digest >> 64) - (1 << 63))
                 keys.append((digest & (1 << 64) - 1) - (1 << 63))
                 first = len(h) - (percent * len(h) + 99) // 100 + 1 if len(h) else 0
-                prefixes.append(h[np.lexsort((h, least))[:first]])
+                prefixes.append(make.ordered(h, first) if first else h)
                 sketches.append(h[h % np.uint64(part) == 0])
             lists = lambda xs: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in xs])), pa.int32()), pa.array(np.concatenate([*xs, np.zeros(0, np.uint64)]).view(np.int64)))
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(n, pa.int64()), pa.array(keys[::2], pa.int64()), pa.array(keys[1::2], pa.int64()), lists(prefixes), lists(sketches)], ["row", "n", "set1", "set2", "prefix", "sketch"])
 
-    return rows.mapInArrow(signed, "row long, n long, set1 long, set2 long, prefix array<long>, sketch array<long>")
+    return rows.mapInArrow(signed, "row binary, n long, set1 long, set2 long, prefix array<long>, sketch array<long>")
 
 
 #: Bits of the map of rows whose sets are wanted: eight for each, within these bounds.
@@ -107,7 +149,7 @@ def _sets(rows: DataFrame, wanted: DataFrame, shingler) -> DataFrame:
     sc = rows.sparkSession.sparkContext
     n = wanted.count()
     bits = min(max(1 << (8 * n).bit_length(), _BITS[0]), _BITS[1])
-    place = F.pmod("row", F.lit(bits))
+    place = F.pmod(F.xxhash64("row"), F.lit(bits))
     words = wanted.groupBy(F.floor(place / 32).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (place % 32).cast("int"))).alias("mask")).toPandas()
     bitmap = np.zeros(bits // 32, np.int64)
     bitmap[words["word"].to_numpy(np.int64)] = words["mask"].to_numpy(np.int64)
@@ -115,13 +157,13 @@ def _sets(rows: DataFrame, wanted: DataFrame, shingler) -> DataFrame:
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = b.column("row").to_numpy() % bits
+            at = b.column("place").to_numpy()
             b = b.filter(pa.array((known.value[at // 32] >> (at % 32).astype(np.uint32) & 1) == 1))
-            sets = [shingler.value(t)[0].view(np.int64) for t in b.column("text").to_pylist()]
+            sets = [shingler.value(t).view(np.int64) for t in b.column("text").to_pylist()]
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in sets])), pa.int32()), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))
             yield pa.RecordBatch.from_arrays([b.column("row"), lists], ["row", "hashes"])
 
-    return rows.mapInArrow(made, "row long, hashes array<long>")
+    return rows.withColumn("place", place).mapInArrow(made, "row binary, hashes array<long>")
 
 
 def _fits(a: Column, b: Column, percent: int) -> Column:
@@ -136,16 +178,16 @@ def _near(x: str, y: str, percent: int) -> Column:
 
 
 def _alike(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
-    """(a, b, total) of distinct pairs (a, b), without those that sizes or sketches rule out."""
+    """(a, b, total, apart) of distinct pairs (a, b), without those that sizes or sketches rule out."""
     side = lambda x: signs.select(F.col("row").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     apart = F.size("s_a") + F.size("s_b") - 2 * F.size(F.array_intersect("s_a", "s_b"))
     total = F.col("n_a") + F.col("n_b")
-    return stored(both.where(_fits(F.col("n_a"), F.col("n_b"), percent) & (apart * (100 + percent) <= total * (100 - percent))).select("a", "b", total.alias("total")))
+    return stored(both.where(_fits(F.col("n_a"), F.col("n_b"), percent) & (apart * (100 + percent) <= total * (100 - percent))).select("a", "b", total.alias("total"), (apart / total).alias("apart")))
 
 
 def _verified(left: DataFrame, rows: DataFrame, shingler, percent: int) -> DataFrame:
-    """Of pairs (a, b, total), those that link."""
+    """Of pairs (a, b, total, apart), those that link."""
     involved = stored(left.select(F.explode(F.array("a", "b")).alias("row")).distinct())
     sets = stored(_sets(rows, involved, shingler).join(involved, "row", "left_semi"))
     whole = left.join(sets.select(F.col("row").alias("a"), F.col("hashes").alias("h_a")), "a").join(sets.select(F.col("row").alias("b"), F.col("hashes").alias("h_b")), "b")
@@ -162,16 +204,14 @@ def _divided(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """df's id and row id (see `_row_id`) with n_shingles and component_id, the least id that links lead to."""
+    """df's id and row key with n_shingles, component_id, the least id that links lead to, and whether the row is that one."""
     part = 8 if percent >= 90 else 4
-    docs = df.select(F.col(id_col).alias("id"), _row_id(id_col, text_col).alias("row"), bytes_of(text_col).alias("text"))
+    docs = df.select(F.col(f"`{id_col}`").alias("id"), _key(f"`{id_col}`", f"`{text_col}`").alias("row"), bytes_of(F.col(f"`{text_col}`")).alias("text"))
     rows = docs.select("row", "text")
-    counts = stored(word_counts(rows.select("text")))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
-    usual = counts.where(F.col("n") >= max(2, int(COUNTED_SHARE * total))).toPandas()  # at most 1 / COUNTED_SHARE words
-    shingler = df.sparkSession.sparkContext.broadcast(Shingler(words, dict(zip(map(bytes, usual["word"]), usual["n"].tolist(), strict=True))))
+    counters = min(max(1 << (16 * df.count()).bit_length(), COUNTERS[0]), COUNTERS[1])
+    shingler = df.sparkSession.sparkContext.broadcast(Shingler(words, _counts(rows, words, counters)))
     signs = stored(_signatures(rows, shingler, percent, part))
-    light = signs.where("n > 0").select("row", "n", "set1", "set2", F.xxhash64("n", "prefix").alias("group"))
+    light = signs.where("n > 0").select("row", "n", "set1", "set2", _key("n", "prefix").alias("group"))
     copies = stored(light.groupBy("set1", "set2", "n", "group").agg(F.min("row").alias("row")))
     equal = light.join(copies.select("set1", "set2", "n", F.col("row").alias("a")), ["set1", "set2", "n"]).select("a", F.col("row").alias("b")).where("a != b")
     firsts = copies.select("row", "n", "group")
@@ -190,7 +230,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     tried = stored(ordered(across.unionByName(within)))
     alike = _alike(tried, signs, percent)
     # One pair of each document; the others of it only if that leaves their classes apart.
-    once = alike.groupBy("b").agg(F.min(F.struct("a", "total")).alias("p")).select("p.a", "b", "p.total")
+    once = alike.groupBy("b").agg(F.min(F.struct("apart", "a", "total")).alias("p")).select("p.a", "b", "p.total")
     links = _verified(stored(once), rows, shingler, percent)
     others = stored(_divided(alike.join(once.select("a", "b"), ["a", "b"], "left_anti"), components(links)))
     links = stored(links.unionByName(_verified(others, rows, shingler, percent)))
@@ -214,12 +254,12 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     more = _verified(_alike(rest.join(tried, ["a", "b"], "left_anti"), signs, percent), rows, shingler, percent)
     final = components(links.unionByName(more).unionByName(equal))
     ids = docs.select("id", "row").join(signs.select("row", "n").distinct(), "row").join(final, F.col("row") == F.col("node"), "left").select("id", "row", "n", F.coalesce("label", "row").alias("label"))
-    least = ids.groupBy("label").agg(F.min("id").alias("component_id"))
-    return ids.join(least, "label").select(F.col("id").alias(id_col), "row", F.col("n").alias("n_shingles"), "component_id")
+    first = ids.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
+    return ids.join(first, "label").select(F.col("id").alias(id_col), "row", F.col("n").alias("n_shingles"), F.col("first.id").alias("component_id"), (F.col("row") == F.col("first.row")).alias("is_first"))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """df's rows with the least id of their class; rows without a set are classes of their own."""
-    found = classes(df, id_col, text_col, words, percent)
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col("row").alias("_kept_row")).distinct()
-    return df.withColumn("_row", _row_id(id_col, text_col)).join(kept, F.col("_row") == F.col("_kept_row"), "left_semi").drop("_row")
+    """df's rows with the least id of their class, one of each class; rows without a set are classes of their own."""
+    kept = classes(df, id_col, text_col, words, percent).where("is_first").select("row").distinct()
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("doc"), _key(f"`{id_col}`", f"`{text_col}`").alias("row"))
+    return rows.join(kept, "row", "left_semi").dropDuplicates(["row"]).select("doc.*")

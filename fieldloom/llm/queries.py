@@ -69,7 +69,7 @@ def op5_url_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(tuned(spark), sf_dir, "documents").select("doc_id", "text")
-    return jaccard_join.classes(docs, words=3, percent=90).drop("row")
+    return jaccard_join.classes(docs, words=3, percent=90).drop("row", "is_first")
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -278,6 +278,13 @@ def test_jaccard_within_group(spark):
     assert got == jaccard_classes(texts, 1, 90) and {got[i][1] for i in range(6)} == {0, 3}
 
 
+def test_jaccard_odd_rows(spark):
+    rows = [(None, "a b c d e f", 1), (None, "a b c d e f", 2), (5, "a b c d e f", 3), (5, "a b c d e f", 4), (6, None, 5), (None, "x y z", 6), (None, "x y z", 7)]
+    df = spark.createDataFrame(rows, "id long, row string, place int")
+    got = jaccard_join.keep_one(df, "id", "row").collect()
+    assert sorted((str(r["id"]), r["row"]) for r in got) == [("5", "a b c d e f"), ("6", None), ("None", "x y z")] and set(got[0].asDict()) == {"id", "row", "place"}
+
+
 def test_jaccard_empty(spark):
     assert jaccard_join.classes(docs(spark, ["a"]).where("false")).count() == 0
 
