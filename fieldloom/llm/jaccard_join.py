@@ -2,9 +2,9 @@
 
 Documents link when the Jaccard similarity of their sets of word n-grams reaches `percent` / 100. Sets are of 64-bit
 hashes. Each set is ordered by how many documents have an n-gram, rare ones first, then by hash; two sets that link share
-one of their first n - ceil(percent * n / 100) + 1 n-grams, the prefix. The counts come from a table of `counters` sums by
-hash, whose size follows the number of documents and has a bound; n-grams that fall together share a count. Any order that
-all sets agree on gives the same links, so the table decides cost alone: n-grams of a passage that many documents share
+one of their first n - ceil(percent * n / 100) + 1 n-grams, the prefix. The counts come from a table of `COUNTERS` sums by
+hash, of fixed size; n-grams that fall together share a count. Any order that all sets agree on gives the same links, so
+the table decides cost alone: n-grams of a passage that many documents share
 stand last and don't make candidates of all of these.
 
 * Documents with equal sets are linked at once. Documents with equal prefixes and sizes collapse into one group.
@@ -30,14 +30,18 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import bytes_of, stored
 from .components import components
 from .suffix_tree_lm import tokens
 
-#: Bounds of the table of counts, which has about 16 counters for each document.
-COUNTERS = (1 << 16, 1 << 26)
+#: Places of the table of counts. What falls together by chance varies by the root of its sum, so n-grams of very many
+#: documents stand out at any size of the corpus.
+COUNTERS = 1 << 20
+#: Places of a set's parity: two sets differ in as many hashes at least as their parities do in places.
+PARITY = 256
 _CACHED = 500_000
 
 
@@ -119,11 +123,12 @@ def _key(*columns: str) -> Column:
 
 
 def _signatures(rows: DataFrame, shingler, percent: int, part: int) -> DataFrame:
-    """(row, n, set1, set2, prefix, sketch) of (row, text binary)."""
+    """(row, n, set1, set2, prefix, sketch, parity) of (row, text binary). Parity: for each of PARITY places, whether an odd
+    number of the set's hashes fall there."""
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = shingler.value
         for b in batches:
-            n, keys, prefixes, sketches = [], [], [], []
+            n, keys, prefixes, sketches, parities = [], [], [], [], []
             for text in b.column("text").to_pylist():
                 h = make(text)
                 n.append(len(h))
@@ -133,10 +138,11 @@ def _signatures(rows: DataFrame, shingler, percent: int, part: int) -> DataFrame
                 first = len(h) - (percent * len(h) + 99) // 100 + 1 if len(h) else 0
                 prefixes.append(make.ordered(h, first) if first else h)
                 sketches.append(h[h % np.uint64(part) == 0])
+                parities.append(np.packbits(np.bincount((h >> np.uint64(32)) % np.uint64(PARITY), minlength=PARITY) & 1).view(np.uint64))
             lists = lambda xs: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in xs])), pa.int32()), pa.array(np.concatenate([*xs, np.zeros(0, np.uint64)]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(n, pa.int64()), pa.array(keys[::2], pa.int64()), pa.array(keys[1::2], pa.int64()), lists(prefixes), lists(sketches)], ["row", "n", "set1", "set2", "prefix", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(n, pa.int64()), pa.array(keys[::2], pa.int64()), pa.array(keys[1::2], pa.int64()), lists(prefixes), lists(sketches), lists(parities)], ["row", "n", "set1", "set2", "prefix", "sketch", "parity"])
 
-    return rows.mapInArrow(signed, "row binary, n long, set1 long, set2 long, prefix array<long>, sketch array<long>")
+    return rows.mapInArrow(signed, "row binary, n long, set1 long, set2 long, prefix array<long>, sketch array<long>, parity array<long>")
 
 
 #: Bits of the map of rows whose sets are wanted: eight for each, within these bounds.
@@ -177,6 +183,12 @@ def _near(x: str, y: str, percent: int) -> Column:
     return apart * (100 + percent) <= (n_x + n_y) * (100 - percent)
 
 
+def _even(x: str, y: str, percent: int) -> Column:
+    """Whether sets of the parities parity_* can link; true where one isn't known."""
+    apart = sum((F.bit_count(F.get(f"parity_{x}", F.lit(i)).bitwiseXOR(F.get(f"parity_{y}", F.lit(i)))) for i in range(PARITY // 64)), F.lit(0))
+    return F.coalesce(apart * (100 + percent) <= (F.col(f"n_{x}") + F.col(f"n_{y}")) * (100 - percent), F.lit(True))
+
+
 def _alike(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
     """(a, b, total, apart) of distinct pairs (a, b), without those that sizes or sketches rule out."""
     side = lambda x: signs.select(F.col("row").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
@@ -208,19 +220,21 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     part = 8 if percent >= 90 else 4
     docs = df.select(F.col(f"`{id_col}`").alias("id"), _key(f"`{id_col}`", f"`{text_col}`").alias("row"), bytes_of(F.col(f"`{text_col}`")).alias("text"))
     rows = docs.select("row", "text")
-    counters = min(max(1 << (16 * df.count()).bit_length(), COUNTERS[0]), COUNTERS[1])
-    shingler = df.sparkSession.sparkContext.broadcast(Shingler(words, _counts(rows, words, counters)))
+    shingler = df.sparkSession.sparkContext.broadcast(Shingler(words, _counts(rows, words, COUNTERS)))
     signs = stored(_signatures(rows, shingler, percent, part))
-    light = signs.where("n > 0").select("row", "n", "set1", "set2", _key("n", "prefix").alias("group"))
-    copies = stored(light.groupBy("set1", "set2", "n", "group").agg(F.min("row").alias("row")))
+    light = signs.where("n > 0").select("row", "n", "set1", "set2", "parity", F.xxhash64("n", "prefix").alias("group"))
+    copies = stored(light.groupBy("set1", "set2", "n", "group").agg(F.min("row").alias("row"), F.first("parity").alias("parity")))
     equal = light.join(copies.select("set1", "set2", "n", F.col("row").alias("a")), ["set1", "set2", "n"]).select("a", F.col("row").alias("b")).where("a != b")
-    firsts = copies.select("row", "n", "group")
+    firsts = copies.select("row", "n", "group", "parity")
     heads = stored(firsts.groupBy("group").agg(F.min("row").alias("row")))
     prefixes = stored(signs.select("row", "n", "prefix").join(heads, "row").select("group", "n", "prefix"))
     grams = prefixes.select("group", "n", F.posexplode("prefix").alias("pos", "gram"))
     # N-grams that several groups share; the least group of each is its pivot.
-    pivots = grams.groupBy("gram").agg(F.min(F.struct("group", "n", "pos")).alias("p"), F.max("group").alias("last")).where("p.group != last").select("gram", "p")
-    shared = stored(grams.join(pivots, "gram").select("gram", "group", "n", "pos", F.col("p.group").alias("pivot"), F.col("p.n").alias("n_p"), F.col("p.pos").alias("pos_p")))
+    by_gram = W.partitionBy("gram")
+    shared = stored(
+        grams.withColumns({"p": F.min(F.struct("group", "n", "pos")).over(by_gram), "last": F.max("group").over(by_gram)})
+        .where("p.group != last").select("gram", "group", "n", "pos", F.col("p.group").alias("pivot"), F.col("p.n").alias("n_p"), F.col("p.pos").alias("pos_p"))
+    )
     met = shared.where("group != pivot").withColumnsRenamed({"n": "n_g", "pos": "pos_g"}).where(_near("g", "p", percent)).select("group", "pivot").distinct()
     first_of = heads.select(F.col("group").alias("pivot"), F.col("row").alias("a"))
     member = firsts.select("group", F.col("row").alias("b"))
@@ -236,18 +250,20 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     links = stored(links.unionByName(_verified(others, rows, shingler, percent)))
     # What is left: pairs of one n-gram or of one group whose classes differ.
     so_far = components(links)
-    placed = stored(firsts.join(so_far, firsts["row"] == so_far["node"], "left").select("row", "n", "group", F.coalesce("label", "row").alias("class")))
-    kinds = shared.join(placed.select("group", "class").distinct(), "group").select("gram", "group", "n", "pos", "class")
+    placed = stored(firsts.join(so_far, firsts["row"] == so_far["node"], "left").select("row", "n", "group", "parity", F.coalesce("label", "row").alias("class")))
+    # The parity of a group's members of one class, if they all have the same.
+    alike_in = placed.groupBy("group", "class").agg(F.min("parity").alias("parity"), F.max("parity").alias("other")).select("group", "class", F.when(F.col("parity") == F.col("other"), F.col("parity")).alias("parity"))
+    kinds = shared.join(alike_in, "group").select("gram", "group", "n", "pos", "class", "parity")
     mixed = kinds.groupBy("gram").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("gram")
     kinds = stored(kinds.join(mixed, "gram"))
-    x, y = (kinds.select("gram", *(F.col(c).alias(f"{c}_{s}") for c in ("group", "n", "pos", "class"))) for s in "xy")
-    apart = x.join(y, "gram").where((F.col("class_x") < F.col("class_y")) & (F.col("group_x") != F.col("group_y")) & _near("x", "y", percent)).select("group_x", "class_x", "group_y", "class_y").distinct()
+    x, y = (kinds.select("gram", *(F.col(c).alias(f"{c}_{s}") for c in ("group", "n", "pos", "class", "parity"))) for s in "xy")
+    apart = x.join(y, "gram").where((F.col("class_x") < F.col("class_y")) & (F.col("group_x") != F.col("group_y")) & _near("x", "y", percent) & _even("x", "y", percent)).select("group_x", "class_x", "group_y", "class_y").distinct()
     # Members of one group need no shared n-gram. Sets of one size that aren't equal differ in two n-grams at least.
-    own = placed.where(F.col("n") * (100 - percent) >= 100 + percent).select("group", "class").distinct()
+    own = alike_in.join(placed.where(F.col("n") * (100 - percent) >= 100 + percent).select("group", "n").distinct(), "group")
     split = own.groupBy("group").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("group")
     own = stored(own.join(split, "group"))
-    u, v = (own.select("group", F.col("class").alias(f"class_{s}")) for s in "xy")
-    inside = u.join(v, "group").where("class_x < class_y").select(F.col("group").alias("group_x"), "class_x", F.col("group").alias("group_y"), "class_y")
+    u, v = (own.select("group", *(F.col(c).alias(f"{c}_{s}") for c in ("class", "n", "parity"))) for s in "xy")
+    inside = u.join(v, "group").where((F.col("class_x") < F.col("class_y")) & _even("x", "y", percent)).select(F.col("group").alias("group_x"), "class_x", F.col("group").alias("group_y"), "class_y")
     apart = apart.unionByName(inside)
     who = lambda s, out: placed.select(F.col("group").alias(f"group_{s}"), F.col("class").alias(f"class_{s}"), F.col("row").alias(out))
     rest = ordered(apart.join(who("x", "a"), ["group_x", "class_x"]).join(who("y", "b"), ["group_y", "class_y"]).select("a", "b"))
