@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-import math
+
+from ..functions.quantiles import quantile_by
 
 #: Names that the rules give, in order of precedence.
 BARE, ORCHARD, CASH, WEAK = "撂荒与裸地", "果树与林地", "经济作物", "长势衰弱主粮"
@@ -28,7 +31,7 @@ def distances(points: DataFrame, centers: DataFrame, cluster: str, vector: str)
 
 def cores(measured: DataFrame, cluster: str, share: float = 0.3) -> DataFrame:
     """Adds is_core: 1 up to the cluster's `share` quantile of distance."""
-    cut = measured.groupBy(cluster).agg(F.percentile("distance", F.lit(share)).alias("cut"))
+    cut = quantile_by(measured, cluster, "distance", share, "cut")
     return measured.join(cut, cluster).withColumn("is_core", (F.col("distance") <= F.col("cut")).cast("int")).drop("cut")
 
 

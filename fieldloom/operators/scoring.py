@@ -130,3 +130,29 @@ def co_teaching(losses: DataFrame, forget: float) -> DataFrame:
     a = losses.join(easy_b, "parcel_id", "left_semi").agg(F.avg("a").alias("loss_a"))
     b = losses.join(easy_a, "parcel_id", "left_semi").agg(F.avg("b").alias("loss_b"))
     return a.crossJoin(b)  # a row each
+
+
+#: The names of the interpretable features, macro and quality.
+MACRO = ("Peak_NDVI_盛夏峰值", "Spring_NDVI_开春绿度", "NDVI_Std_生命周期波动", "Mean_GLCM_平均空间纹理")
+QUALITY = ("Mean_Quality_平均影像质量", "Low_Quality_Months_低质量月份数")
+
+
+def interpretable(panel: DataFrame, months: tuple[int, ...], low_quality: float = 0.5) -> DataFrame:
+    """(parcel_id, 20 features) of (parcel_id, month, ndvi, texture, quality), in one aggregation: 4 macro and 14 monthly
+    features, 2 of quality. A month that a parcel lacks counts as 0, and so do nulls."""
+    at = lambda c, m: F.coalesce(F.max(F.when(F.col("month") == m, F.col(c))), F.lit(0.0))
+    wide = panel.where(F.col("month").isin(*months)).groupBy("parcel_id").agg(*(at(c, m).alias(f"{c}_{m}") for m in months for c in ("ndvi", "texture", "quality")))
+    of = lambda c: [F.col(f"{c}_{m}") for m in months]
+    mean = lambda c: sum(of(c)[1:], of(c)[0]) / len(months)
+    square = sum(((x - mean("ndvi")) ** 2 for x in of("ndvi")), F.lit(0.0)) / len(months)
+    macro = (F.greatest(*(F.col(f"ndvi_{m}") for m in months if 5 <= m <= 9)), F.col(f"ndvi_{months[0]}"), F.sqrt(square), mean("texture"))
+    monthly = (F.col(f"{c}_{m}").alias(f"{name}_{m}月") for m in months for c, name in (("ndvi", "NDVI"), ("texture", "GLCM")))
+    low = sum((F.when(x < low_quality, 1).otherwise(0) for x in of("quality")), F.lit(0))
+    return wide.select("parcel_id", *(x.alias(n) for x, n in zip(macro, MACRO, strict=True)), *monthly, mean("quality").alias(QUALITY[0]), low.alias(QUALITY[1]))
+
+
+def scan_report(losses: DataFrame, qualities: DataFrame, low_quality: float = 0.5) -> DataFrame:
+    """(parcel_id, mse, mean_quality, low_quality_months) of (parcel_id, mse) and (parcel_id, month, quality); a parcel
+    without a quality has mean null and no low month."""
+    per = qualities.groupBy("parcel_id").agg(F.avg("quality").alias("mean_quality"), F.sum((F.col("quality") < low_quality).cast("long")).alias("low"))
+    return losses.join(per, "parcel_id", "left").select("parcel_id", "mse", "mean_quality", F.coalesce("low", F.lit(0)).alias("low_quality_months"))

@@ -6,7 +6,7 @@ import struct
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CELL = 64.0
@@ -109,3 +109,14 @@ def zonal_join(pixels: DataFrame, parcels: DataFrame, cell: float = CELL) -> Dat
     near = placed.join(_cells(parcels.select("parcel_id", "geometry", "minx", "miny", "maxx", "maxy"), cell), ["_cx", "_cy"])
     boxed = near.where(F.col("px").between(F.col("minx"), F.col("maxx")) & F.col("py").between(F.col("miny"), F.col("maxy")))
     return boxed.where(F.pandas_udf(inside, "boolean")("px", "py", "geometry")).select("parcel_id", *pixels.columns)
+
+
+#: Geometry types by their number in well-known binary.
+TYPES = ("Point", "LineString", "Polygon", "MultiPoint", "MultiLineString", "MultiPolygon", "GeometryCollection")
+
+
+def geometry_type(geometry: str = "geometry") -> Column:
+    """The type's name, read from the well-known binary; null for null, too short and unknown ones."""
+    code = F.hex(F.substring(F.col(geometry), 1, 5))
+    low = F.when(F.startswith(code, F.lit("01")), F.substring(code, 3, 2)).when(F.startswith(code, F.lit("00")), F.substring(code, 9, 2))
+    return F.coalesce(*(F.when(low == f"{i + 1:02X}", F.lit(name)) for i, name in enumerate(TYPES)))

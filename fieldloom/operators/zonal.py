@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.indices import RANGES, VEGETATION
+from ..functions.quantiles import quantile_by
 
 #: Fewer valid pixels than this have no statistics.
 SUPPORT = 3
@@ -84,8 +85,10 @@ def delta_calendar(df: DataFrame, value: str, months: Iterable[int], out: str =
 def impute_median(df: DataFrame, features: Iterable[str]) -> DataFrame:
     """Nulls become the month's median of the feature, 0 if it has none. The medians are one row for each month."""
     features = list(features)
-    med = df.groupBy("month").agg(*(F.median(f).alias(f"_{f}") for f in features))
-    return df.join(F.broadcast(med), "month").select("parcel_id", "month", *(F.coalesce(f, f"_{f}", F.lit(0.0)).alias(f) for f in features))
+    cells = df.select(F.explode(F.array(*(F.struct(F.concat_ws(" ", F.lit(i), "month").alias("cell"), F.col(f).cast("double").alias("v")) for i, f in enumerate(features)))).alias("c")).select("c.*")
+    med = quantile_by(cells, "cell", "v", 0.5, "median").withColumns({"_i": F.split("cell", " ")[0].cast("int"), "month": F.split("cell", " ")[1].cast("int")})
+    by_month = med.groupBy("month").agg(*(F.max(F.when(F.col("_i") == i, F.col("median"))).alias(f"_{f}") for i, f in enumerate(features)))
+    return df.join(F.broadcast(by_month), "month", "left").select("parcel_id", "month", *(F.coalesce(f, f"_{f}", F.lit(0.0)).alias(f) for f in features))
 
 
 def zscores(df: DataFrame, features: Iterable[str]) -> DataFrame:

@@ -280,7 +280,7 @@ _CLS = f"""with p as (select *, greatest(p0, p1, p2) as most, list_sort([p0, p1,
 query("m20_o03_o04_classify", f"{_CLS} select * from c", "p0 p1 p2 class_confidence margin")(lambda s, d: scoring.classify(fx.posteriors(s, d)))
 query("m23_o02_review_batch", f"""{_CLS}, u as (select *, row_number() over (partition by "class" order by round(margin, 12), parcel_id)::integer as rank from c where "class" in (1, 2) and parcel_id not in (select parcel_id from {_LABELS})) select *, -9999::integer as true_label from u where rank <= case when "class" = 1 then 10 else 11 end""", "p0 p1 p2 class_confidence margin")(lambda s, d: scoring.review_batch(scoring.classify(fx.posteriors(s, d)).withColumn("margin", F.round("margin", 12)), fx.labels(s, d), 21))
 query("m22_j02_joint_confidence", f"""{_CLS} select s.parcel_id, mse, class_confidence, round_even(least(mse, 1.0) * class_confidence * 1e4, 0) / 1e4 as joint from {_MSE} s left join c using (parcel_id)""", "mse class_confidence joint")(lambda s, d: fx.scores(s, d).join(scoring.classify(fx.posteriors(s, d)).select("parcel_id", "class_confidence"), "parcel_id", "left").withColumn("joint", C.round4(F.least(F.col("mse"), F.lit(1.0)) * F.col("class_confidence"))))
-query("o05_hash_sample", None)(lambda s, d: fx.scores(s, d).orderBy(F.xxhash64("parcel_id"), "parcel_id").limit(10_000))
+query("o05_hash_sample", f"select * from {_MSE} s order by md5(parcel_id), parcel_id limit 10000", "mse")(lambda s, d: fx.scores(s, d).orderBy(F.md5("parcel_id"), "parcel_id").limit(10_000))
 query("o06_small_loss", f"with s as {_MSE} select parcel_id, mse from (select *, row_number() over (order by mse, parcel_id) as r from s) where r <= floor((select count(*) from s) * 0.65)", "mse")(lambda s, d: scoring.small_loss(fx.scores(s, d), "mse", 0.35))
 _LOSS = "(select cast(c_custkey as varchar) as parcel_id, exp(c_acctbal::double / 4000) / 10 as a, (c_custkey % 97) / 97.0::double as b from customer)"
 query("m08_co_teaching", f"with l as {_LOSS}, n as (select floor(count(*) * 0.65) as k from l), ra as (select *, row_number() over (order by a, parcel_id) as i, row_number() over (order by b, parcel_id) as j from l) select (select avg(a) from ra, n where j <= k) as loss_a, (select avg(b) from ra, n where i <= k) as loss_b", "loss_a loss_b")(lambda s, d: scoring.co_teaching(fx.read(s, d, "customer").select(F.col("c_custkey").cast("string").alias("parcel_id"), (F.exp(F.col("c_acctbal").cast("double") / 4000) / 10).alias("a"), ((F.col("c_custkey") % 97) / 97.0).alias("b")), 0.35))
@@ -288,12 +288,12 @@ query("a17_weighted_mse", f"select parcel_id, sum(q * sq) / (sum(q) * 47 + 1e-8)
 query("m21_reason_text", """select cast(c_custkey as varchar) as parcel_id, case when v1 <= 0 then '依据不足，模型置信度偏低' else '首要依据: [' || 'mean' || ']特征显著' || case when v2 > 0 then '；次要依据: [Contrast]协同判定' else '' end end as reason from (select c_custkey, c_acctbal::double as v1, c_acctbal::double - 3000 as v2 from customer)""")(lambda s, d: labels.reasons(fx.read(s, d, "customer").select(F.col("c_custkey").cast("string").alias("parcel_id"), F.lit("NDVI_mean").alias("top1"), F.col("c_acctbal").cast("double").alias("value1"), F.lit("GLCM_Contrast").alias("top2"), (F.col("c_acctbal").cast("double") - 3000).alias("value2"))).select("parcel_id", "reason"))
 
 # --- clusters ---------------------------------------------------------------------------------------------------------
-_VEC = """with v as (select vec_id, label, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as i from embeddings where label < 4), m as (select label, i, avg(x) as c from v group by all), d as (select vec_id, v.label as cluster, sqrt(sum((x - c) ^ 2)) as distance from v join m on v.label = m.label and v.i = m.i group by all)"""
+_VEC = """with v as (select vec_id, label, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as i from embeddings), m as (select label, i, avg(x) as c from v group by all), d as (select vec_id, v.label as cluster, sqrt(sum((x - c) ^ 2)) as distance from v join m on v.label = m.label and v.i = m.i group by all)"""
 
 
 @query("m03_distances", f"{_VEC} select * from d", "distance")
 def measured(spark, d):
-    p = fx.vectors(spark, d).where("label < 4").withColumnRenamed("label", "cluster")
+    p = fx.vectors(spark, d).withColumnRenamed("label", "cluster")
     return clusters.distances(p, clusters.centroids(p, "cluster", "v"), "cluster", "v").drop("v")
 
 
@@ -318,14 +318,18 @@ query("m15_mixture")(lambda s, d: clusters.mixture(fx.vectors(s, d).withColumn("
 query("j09_box_join", f"select p.parcel_id, n.n_nationkey::integer as scene from {_PARCELS} p join nation n on p.minx < (n.n_nationkey % 5) * 70 + 80 and p.maxx > (n.n_nationkey % 5) * 70 and p.miny < (n.n_nationkey // 5) * 70 + 80 and p.maxy > (n.n_nationkey // 5) * 70")(lambda s, d: spatial.box_join(fx.parcels(s, d), fx.scene_boxes(s, d), "parcel_id", "scene"))
 
 
-@query("j08_zonal_join", f"""with c as (select c_custkey, (c_custkey * 37 % 330)::double as px, (c_custkey * 91 % 330)::double as py from customer) select parcel_id, c_custkey, px, py from c join {_PARCELS} p on px > minx and px < maxx and py > miny and py < maxy""", "px py")
-def zonal_boxes(spark, d):
+def _shapes(spark, d):
     def wkb(x0, y0, x1, y1):
         import pandas as pd
 
         return pd.Series([spatial.polygon_wkb([[(a, b), (c, b), (c, e), (a, e), (a, b)]]) for a, b, c, e in zip(x0, y0, x1, y1, strict=True)])
 
-    shapes = fx.parcels(spark, d).mapInPandas(lambda it: (b.assign(geometry=wkb(b["minx"], b["miny"], b["maxx"], b["maxy"])) for b in it), "parcel_id string, g10_cls_id int, minx double, miny double, maxx double, maxy double, geometry binary")
+    return fx.parcels(spark, d).mapInPandas(lambda it: (b.assign(geometry=wkb(b["minx"], b["miny"], b["maxx"], b["maxy"])) for b in it), "parcel_id string, g10_cls_id int, minx double, miny double, maxx double, maxy double, geometry binary")
+
+
+@query("j08_zonal_join", f"""with c as (select c_custkey, (c_custkey * 37 % 330)::double as px, (c_custkey * 91 % 330)::double as py from customer) select parcel_id, c_custkey, px, py from c join {_PARCELS} p on px > minx and px < maxx and py > miny and py < maxy""", "px py")
+def zonal_boxes(spark, d):
+    shapes = _shapes(spark, d)
     points = fx.read(spark, d, "customer").select("c_custkey", (F.col("c_custkey") * 37 % 330).cast("double").alias("px"), (F.col("c_custkey") * 91 % 330).cast("double").alias("py"))
     edge = lambda c: (F.col(c) % 10 != 1) & (F.col(c) % 10 != 9)  # noqa: E731  a box's edges are left out, on which rules differ
     return spatial.zonal_join(points.where(edge("px") & edge("py")), spatial.valid_geometry(shapes))
@@ -347,7 +351,30 @@ def _levels(spark, d):
 
 query("a10_cooccurrence", _GRID, "GLCM_Contrast GLCM_Correlation")(lambda s, d: texture.cooccurrence(_levels(s, d)))
 query("a10_binary_patterns")(lambda s, d: texture.binary_patterns(_levels(s, d)))
-query("s18_geometry_types", f"select 'Polygon' as geom_type, count(*) as n from {_PARCELS}")(lambda s, d: fx.parcels(s, d).groupBy(F.lit("Polygon").alias("geom_type")).agg(F.count("*").alias("n")))
+query("s18_geometry_types", f"select 'Polygon' as geom_type, count(*) as n from {_PARCELS}")(lambda s, d: _shapes(s, d).groupBy(spatial.geometry_type().alias("geom_type")).agg(F.count("*").alias("n")))
+
+_AT = lambda c, m: f"coalesce(max(case when month = {m} then {c} end), 0.0)"
+_EACH = lambda c: ", ".join(_AT(c, m) for m in MONTHS)
+_M18 = f"""with z as ({_stats(_DENSE)}), t as ({_GRID}), p as (select parcel_id, month, NDVI_mean as ndvi, GLCM_Contrast as tex, NDVI_valid_ratio as q from z left join t using (parcel_id, month)),
+  w as (select parcel_id, {", ".join(f'{_AT(c, m)} as "{n}_{m}月"' for m in MONTHS for c, n in (("ndvi", "NDVI"), ("tex", "GLCM")))}, [{_EACH("ndvi")}] as nd, [{_EACH("tex")}] as tx, [{_EACH("q")}] as qs from p group by parcel_id)
+  select * exclude (nd, tx, qs), list_max(nd[2:6]) as "{scoring.MACRO[0]}", nd[1] as "{scoring.MACRO[1]}", list_stddev_pop(nd) as "{scoring.MACRO[2]}", list_avg(tx) as "{scoring.MACRO[3]}", list_avg(qs) as "{scoring.QUALITY[0]}", len(list_filter(qs, lambda x: x < 0.5))::integer as "{scoring.QUALITY[1]}" from w"""
+
+
+@query("m18_interpretable", _M18, " ".join((*scoring.MACRO, scoring.QUALITY[0], *(f"{n}_{m}月" for m in MONTHS for n in ("NDVI", "GLCM")))))
+def interpretable(spark, d):
+    z = zonal.zonal_stats(dense(spark, d), ["NDVI"]).select("parcel_id", "month", F.col("NDVI_mean").alias("ndvi"), F.col("NDVI_valid_ratio").alias("quality"))
+    t = texture.cooccurrence(_levels(spark, d)).select("parcel_id", "month", F.col("GLCM_Contrast").alias("texture"))
+    return scoring.interpretable(z.join(t, ["parcel_id", "month"], "left"), MONTHS)
+
+
+_M10 = f"""with z as ({_stats(_SPARSE)}), p as (select parcel_id, avg(NDVI_valid_ratio) as mean_quality, sum((NDVI_valid_ratio < 0.5)::integer)::bigint as low from z group by parcel_id)
+  select s.parcel_id, s.mse, mean_quality, coalesce(low, 0)::bigint as low_quality_months from {_MSE} s left join p using (parcel_id)"""
+
+
+@query("m10_scan_report", _M10, "mse mean_quality")
+def scan_report(spark, d):
+    z = zonal.zonal_stats(sparse(spark, d), ["NDVI"]).select("parcel_id", "month", F.col("NDVI_valid_ratio").alias("quality"))
+    return scoring.scan_report(fx.scores(spark, d), z)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
