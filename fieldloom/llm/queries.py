@@ -60,8 +60,7 @@ def op4_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = url_filter.with_parts(table(tuned(spark), sf_dir, "pages").select("page_id", "url")).withColumn("_rule", url_filter.rule_of())
-    ruled = pages.withColumns({"rule": F.col("_rule.rule"), "by_rule": F.col("_rule.verdict")}).drop("_rule")
+    ruled = url_filter.with_rule(url_filter.with_parts(table(tuned(spark), sf_dir, "pages").select("page_id", "url")))
     model = url_filter.fit(ruled, label_col="by_rule")
     judged = model.judge(ruled, out="by_model")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("by_rule", "by_model").alias("verdict"), "by_model")
@@ -93,9 +92,22 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(tuned(spark), sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(residue(F.col("doc_id"), 5) != 0)
-    scored = toxicity.score(docs, toxicity.fit(docs, labels)).drop("text")
-    return scored.select("doc_id", (residue(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = toxicity.score(docs, toxicity.fit(docs, labels), offending_col="offending").drop("text")
+    return scored.select("doc_id", (residue(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "offending")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mpegts, op2_suffix_dedup, op3_cover_tree, op4_entropy_balancing, op5_url_gbt, op6_jaccard_join, op7_bpe, op8_suffix_tree, op9_line_dedup, op10_toxicity)}
+#: What the rules decide of op5; the verdict of the other urls is learnt.
+OP5_RULES_SQL = r"""
+with p as (
+  select page_id, coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), '') as h, coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') as path from pages
+), q as (
+  select page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, path from p
+), r(rule, rule_host, rule_path, verdict) as (
+  values ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'), ('www.example.com/en/', 'www.example.com', '/en/', 'allow'), ('net/es/', 'net', '/es/', 'block'), ('net/fr/', 'net', '/fr/', 'block')
+)
+select page_id, host, path, arg_max(rule, len(rule)) as rule, arg_max(r.verdict, len(rule)) as by_rule
+from q left join r on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path) group by page_id, host, path
+"""
+
 ORACLES: dict[str, str] = {"op3_cover_tree": OP3_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL}

@@ -9,7 +9,8 @@ more: words make a sentence offend, they don't excuse it.
 `fit` learns from at most `max_docs` label rows, those with the smallest hash of their id, and from at most
 `max_words` distinct words and stems of them, the ones in most of these documents. Rows with a null label or id don't count;
 a null or empty text is a bag without sentences, and scores 0. With no labelled rows the model has no words, and every
-sentence scores sigmoid(bias). Scores read the text column alone; other columns pass through.
+sentence scores sigmoid(bias). An empty table stays empty; rows are scored one by one, so repeated ones get equal scores.
+Scores read the text column alone; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_SENTENCE, _WORD = re.compile(r"[.!?\n\r]+"), re.compile(r"\w+")
+_SENTENCE, _WORD = re.compile(r"[.!?\n\r\u2026\u3002\uff01\uff1f\u061f\u0964]+"), re.compile(r"\w+")
 _NO_LABEL_BIAS = -6.0
 _STEMS = range(4, 7)
 #: Words whose weight a worker remembers.
@@ -65,10 +66,10 @@ class ToxicityModel:
         z = np.array([self.bias + self._total(words(s)) for s in sentences(text or "")])
         return 1 / (1 + np.exp(-z))
 
-    def score(self, text: str | None) -> float:
-        """The noisy-or of the sentences."""
+    def judge(self, text: str | None) -> tuple[float, np.ndarray]:
+        """The noisy-or of the sentences, and each one's probability."""
         z = np.array([self.bias + self._total(words(s)) for s in sentences(text or "")])
-        return float(-np.expm1(-np.logaddexp(0, z).sum()))
+        return float(-np.expm1(-np.logaddexp(0, z).sum())), 1 / (1 + np.exp(-z))
 
 
 @dataclass
@@ -153,18 +154,29 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for b in batches:
             yield pd.DataFrame({"id": b["_id"].astype(str), "label": b["_label"], "bag": [["\t".join(sorted(words(s))) for s in sentences(t or "")] for t in b["_text"]]})
 
-    got = rows.mapInPandas(bags, "id string, label boolean, bag array<string>").orderBy("id", "label").toPandas()
-    return _train(_Bags.of(zip(got.pop("label"), got.pop("bag"), strict=True)), max_words, min_docs, steps, ridge, lasso)
+    def trained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = _train(_Bags.of((label, bag) for b in batches for label, bag in zip(b["label"], b["bag"], strict=True)), max_words, min_docs, steps, ridge, lasso)
+        yield pd.DataFrame({"word": [None, *model.weights], "weight": [model.bias, *model.weights.values()]})
 
+    # The sample, and it alone, is bounded: one task learns from it, and its weights come back.
+    sample = rows.mapInPandas(bags, "id string, label boolean, bag array<string>").repartition(1).sortWithinPartitions("id", "label")
+    weights = {r["word"]: r["weight"] for r in sample.mapInPandas(trained, "word string, weight double").toLocalIterator()}
+    return ToxicityModel(weights.pop(None, _NO_LABEL_BIAS), weights)
 
-def score(df: DataFrame, model: ToxicityModel, text_col: str = "text", out: str = "score") -> DataFrame:
-    """Adds each document's noisy-or score."""
+
+def score(df: DataFrame, model: ToxicityModel, text_col: str = "text", out: str = "score", offending_col: str | None = None, at_least: float = 0.5) -> DataFrame:
+    """Adds each document's noisy-or score, and with offending_col the numbers (from 0) of the sentences whose own
+    probability reaches at_least."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # at most max_words words
 
-    def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series([shared.value.score(t) for t in texts], dtype="float64")
+    def judged(texts: pd.Series) -> pd.DataFrame:
+        found = [shared.value.judge(t) for t in texts]
+        return pd.DataFrame({"score": [f[0] for f in found], "offending": [np.flatnonzero(f[1] >= at_least).astype(np.int32) for f in found]})
 
-    return df.withColumn(out, F.pandas_udf(scored, "double")(text_col))
+    both = F.pandas_udf(judged, "score double, offending array<int>")(F.col(f"`{text_col}`"))
+    added = df.select(*(F.col(f"`{c}`") for c in df.columns if c not in (out, offending_col)), both.alias("\0judged"))
+    names = [F.col(f"`{c}`") for c in df.columns if c not in (out, offending_col)]
+    return added.select(*names, F.col("`\0judged`.score").alias(out), *([F.col("`\0judged`.offending").alias(offending_col)] if offending_col else []))
 
 
 def offending(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", at_least: float = 0.5) -> DataFrame:

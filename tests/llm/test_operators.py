@@ -223,6 +223,23 @@ def test_rules(spark):
     ]
 
 
+def test_op5_rules_match_sql(spark):
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{SF}/pages.parquet'")
+    want = {r[0]: r[1:] for r in con.sql(f"select page_id, host, path, rule, by_rule from ({queries.OP5_RULES_SQL})").fetchall()}
+    got = {r["page_id"]: r for r in queries.op5_url_gbt(spark, SF).collect()}
+    assert got.keys() == want.keys()
+    for i, (host, path, rule, verdict) in want.items():
+        assert (got[i]["host"], got[i]["path"], got[i]["rule"]) == (host, path, rule) and got[i]["verdict"] == (verdict or got[i]["by_model"])
+
+
+def test_entropy(spark):
+    texts = ["", "a", "aabb", "abcabcx", "é漢é"]
+    want = [-sum(n / len(t) * math.log2(n / len(t)) for n in Counter(t).values()) for t in texts]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(texts)), "k int, t string").orderBy("k").select(url_filter._entropy(F.col("t"))).collect()]
+    assert got == pytest.approx(want)
+
+
 def test_trees_learn_and_constant(spark):
     rows = [(f"http://h{i}.com/" + ("a-b-c" * 3 if i % 2 else "x"), "block" if i % 2 else "allow") for i in range(80)] + [(None, None), ("", None)]
     df = url_filter.with_parts(spark.createDataFrame(rows, "url string, label string"))
