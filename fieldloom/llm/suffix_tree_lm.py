@@ -1,25 +1,29 @@
 """LM scoring with a probabilistic suffix tree over words.
 
-States are contexts of up to two preceding words. A context becomes a candidate if it makes up `context_share` of the
-training tokens, and a next word gets a probability of its own in it if the two together make up `entry_share`; so the
-tree has at most 1 / share of each, whatever the corpus' size, and can be broadcast. A candidate is retained if its
-next-word distribution diverges from its parent's (the context without its first word) by `divergence` log10 units a
-token. Distributions are smoothed by absolute discounting: what a state takes from its counts goes to its parent, the
-root's add-one estimate at last. A token is scored in the state of its longest retained suffix.
+States are contexts of up to `depth` preceding words, of variable length: a context grows by a word as long as it is
+frequent, and is retained only if its next-word distribution diverges from its parent's (the context without its first
+word) by `divergence` log10 units a token. Distributions are smoothed by absolute discounting: what a state takes from its
+counts goes to its parent, the root's add-one estimate at last. A token is scored in the state of its longest retained
+suffix.
 
-Words rarer than `word_share` have no number in the tree; their probabilities differ from the parent's only by the
-states' weights, so their root counts are joined in from the table of all words, and every count is exact.
+What counts as frequent follows the corpus: words, contexts and entries (a next word with a probability of its own) need
+WORD, CONTEXT and ENTRY times the root of the number of training tokens. So the tree grows with the root of the corpus
+(twice the tree for four times the text), and what is broadcast has a bound, at most root / ENTRY entries of a depth.
+
+Words rarer than that have no number in the tree; their probabilities differ from the parent's only by the states'
+weights, so their root counts are joined in from the table of all words, and every count is exact.
 
 Texts are lower-cased (A-Z) and cut at ASCII white space; one end token follows each, also each empty or null text, and
 stands before the first word as its context. Without training rows all counts are 0. Rows are scored one by one, so
-repeated rows and null ids are no matter. A row is held out if `train` isn't true for it.
+repeated rows, ties and null ids are no matter, and an empty table stays empty. A row is held out if `train` isn't true
+for it. Only the id and the text are read, whatever other columns there are.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import bytes_of, stored
 
 END = b""
-WORD_SHARE, CONTEXT_SHARE, ENTRY_SHARE, DIVERGENCE = 5e-7, 2e-5, 2e-6, 0.02
+WORD, CONTEXT, ENTRY, DIVERGENCE, DEPTH = 0.006, 0.2, 0.02, 0.02, 3
 DISCOUNT = 0.75
 
 
@@ -44,23 +48,49 @@ class _Numbers(dict):
         return -1
 
 
+@dataclass
+class Level:
+    """Contexts of one length, by number. Of length 1 these are the words' numbers; longer ones have sorted keys, the
+    number of the context without its last word times K plus that word."""
+
+    contexts: np.ndarray | None  # None for length 1
+    parent: np.ndarray  # the number, one level up, of the context without its first word
+    count: np.ndarray
+    entries: np.ndarray  # sorted, context * K + next word, of retained contexts
+    share: np.ndarray  # each entry's discounted share
+    weight: np.ndarray  # what a context leaves to its parent; 1 if it isn't retained
+
+
 @dataclass
 class Tree:
     numbers: _Numbers  # frequent words
     counts: np.ndarray  # of each number
     total: int
     distinct: int
-    pairs: np.ndarray  # sorted a * K + b, and each one's discounted share in the state a
-    pair_share: np.ndarray
-    weight1: np.ndarray  # what the state of a word leaves to the root; 1 if it isn't retained
-    states2: np.ndarray  # sorted a * K + b of retained contexts of two words
-    weight2: np.ndarray
-    triples: np.ndarray  # sorted index in states2 * K + c
-    triple_share: np.ndarray
+    levels: list[Level] = field(default_factory=list)
 
     def root(self, counts: np.ndarray) -> np.ndarray:
         return (counts + 1) / (self.total + self.distinct + 1)
 
+    def chance(self, length: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Of numbered words after contexts of one length (0: none), by their numbers."""
+        if not length:
+            return self.root(self.counts)[word]
+        level = self.levels[length - 1]
+        at, hit = _find(level.entries, context * len(self.numbers) + word)
+        own = np.where(hit, level.share[at], 0.0) if len(level.share) else 0.0
+        return own + level.weight[context] * self.chance(length - 1, level.parent[context], word)
+
+    def contexts_at(self, flat: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+        """The number of the context of each length that ends at each position, or -1: one row a length."""
+        k, out = len(self.numbers), [flat]
+        for level in self.levels[1:length]:
+            before = np.append(-1, out[-1][:-1])
+            before[starts[:-1]] = -1
+            at, hit = _find(level.contexts, before * k + flat)
+            out.append(np.where(hit & (before >= 0) & (flat >= 0), at, -1))
+        return np.array(out)
+
 
 def _flat(texts: list[bytes], numbers: _Numbers) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
     """Numbers of end, words, end for each text, one after the other; where each text begins."""
@@ -86,10 +116,10 @@ def _counted(docs: DataFrame, keys_of, numbers) -> DataFrame:
             flat, starts, _ = _flat(b.column("text").to_pylist(), numbers.value)
             k, n = np.unique(keys_of(flat, starts), return_counts=True)
             keys, counts, held = [*keys, k], [*counts, n], held + len(k)
-            if held > 4_000_000:
+            if held > 2_000_000:
                 k, n = _sums(keys, counts)
                 keys, counts, held = [k], [n], 0
-                if len(k) > 2_000_000:
+                if len(k) > 1_000_000:
                     yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["key", "n"])
                     keys, counts = [], []
         if keys:
@@ -123,13 +153,6 @@ def _context(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(at)
 
 
-def _two_back(flat: np.ndarray, starts: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The word before the previous one, or -1 at a text's first token."""
-    first = np.zeros(len(flat), bool)
-    first[starts[:-1] + 1] = True
-    return np.where(first[at], -1, flat[np.maximum(at - 2, 0)])
-
-
 def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(sorted_keys):
         return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
@@ -137,70 +160,51 @@ def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nda
     return at, sorted_keys[at] == keys
 
 
-def fit(docs: DataFrame, words: DataFrame, word_share: float = WORD_SHARE, context_share: float = CONTEXT_SHARE, entry_share: float = ENTRY_SHARE, divergence: float = DIVERGENCE) -> Tree:
-    """docs: (text binary) of training rows; words: their word_counts. What comes to the driver is bounded by the shares."""
+def fit(docs: DataFrame, words: DataFrame, word: float = WORD, context: float = CONTEXT, entry: float = ENTRY, divergence: float = DIVERGENCE, depth: int = DEPTH) -> Tree:
+    """docs: (text binary) of training rows; words: their word_counts. What comes to the driver is bounded, see above."""
     sc = docs.sparkSession.sparkContext
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).head()
-    least = lambda share: max(2, int(np.ceil(share * total)))
-    top = words.where((F.col("n") >= least(word_share)) | (F.col("word") == END)).orderBy(F.desc("n"), "word").toPandas()
+    least = lambda times: max(2, int(np.ceil(times * total**0.5)))
+    top = words.where((F.col("n") >= least(word)) | (F.col("word") == END)).orderBy(F.desc("n"), "word").toPandas()
     numbers = _Numbers((bytes(w), i) for i, w in enumerate(top["word"]))
     numbers.setdefault(END, len(numbers))
     counts = np.append(top["n"].to_numpy(np.int64), np.zeros(len(numbers) - len(top), np.int64))
     k = len(numbers)
-    shared = sc.broadcast(numbers)
-    usual, usable = counts >= least(context_share), counts >= least(entry_share)
-    usual_b, usable_b = sc.broadcast(usual), sc.broadcast(usable)
-
-    def pair_keys(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        at = _context(flat, starts)
-        a, c = flat[at - 1], flat[at]
-        ok = (a >= 0) & (c >= 0)
-        a, c = a[ok], c[ok]
-        ok = usual_b.value[a] & usable_b.value[c]
-        return a[ok] * k + c[ok]
-
-    got = _counted(docs, pair_keys, shared).where(F.col("n") >= least(entry_share)).orderBy("key").toPandas()
-    pairs, n = got["key"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
-    a, c = pairs // k, pairs % k
-    root = (counts + 1) / (total + distinct + 1)
-    share = (n - DISCOUNT) / counts[a]
-    weight1 = 1 - np.bincount(a, share, k)
-    gain = np.bincount(a, n * np.log10((share + weight1[a] * root[c]) / root[c]), k) + (counts - np.bincount(a, n, k)) * np.log10(np.maximum(weight1, 1e-12))
-    kept1 = usual & (gain >= divergence * np.maximum(counts, 1))
-    weight1 = np.where(kept1, weight1, 1.0)
-    pairs, share, n = pairs[kept1[a]], share[kept1[a]], n[kept1[a]]
-    a, c = pairs // k, pairs % k
-    p1 = share + weight1[a] * root[c]
-
-    # Contexts of two words whose shorter suffix is retained.
-    good = (n >= least(context_share)) & (c != numbers[END]) & kept1[c]
-    states2, n2 = pairs[good], n[good]
-    states_b, pairs_b = sc.broadcast(states2), sc.broadcast(pairs)
-
-    def triple_keys(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        at = _context(flat, starts)
-        x, y, z = _two_back(flat, starts, at), flat[at - 1], flat[at]
-        ok = (x >= 0) & (y >= 0) & (z >= 0)
-        x, y, z = x[ok], y[ok], z[ok]
-        s, known = _find(states_b.value, x * k + y)
-        known &= usable_b.value[z]
-        return s[known] * k + z[known]
-
-    empty = np.zeros(0)
-    if not len(states2):
-        return Tree(numbers, counts, total, distinct, pairs, share, weight1, states2, empty, states2, empty)
-    got = _counted(docs, triple_keys, shared).where(F.col("n") >= least(entry_share)).orderBy("key").toPandas()
-    triples, n3 = got["key"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
-    s, z = triples // k, triples % k
-    share3 = (n3 - DISCOUNT) / n2[s]
-    weight2 = 1 - np.bincount(s, share3, len(states2))
-    at, known = _find(pairs, (states2[s] % k) * k + z)
-    parent = np.where(known, p1[at] if len(p1) else 0, weight1[states2[s] % k] * root[z])
-    gain = np.bincount(s, n3 * np.log10((share3 + weight2[s] * parent) / parent), len(states2)) + (n2 - np.bincount(s, n3, len(states2))) * np.log10(np.maximum(weight2, 1e-12))
-    kept2 = gain >= divergence * n2
-    renumber = np.cumsum(kept2) - 1
-    keep = kept2[s]
-    return Tree(numbers, counts, total, distinct, pairs, share, weight1, states2[kept2], weight2[kept2], renumber[s[keep]] * k + z[keep], share3[keep])
+    shared, usable = sc.broadcast(numbers), counts >= least(entry)
+    tree = Tree(numbers, counts, total, distinct)
+    contexts, parent, count, usual = None, np.zeros(k, np.int64), counts, counts >= least(context)
+    while len(tree.levels) < depth and usual.any():
+        length = len(tree.levels) + 1
+        tree.levels.append(Level(contexts, parent, count, np.zeros(0, np.int64), np.zeros(0), np.ones(len(count))))
+        known = sc.broadcast((tree, usual, usable))
+
+        def keys(flat: np.ndarray, starts: np.ndarray, length: int = length, known=known) -> np.ndarray:
+            tree, usual, usable = known.value
+            at = _context(flat, starts)
+            c, w = tree.contexts_at(flat, starts, length)[-1][at - 1], flat[at]
+            ok = (c >= 0) & (w >= 0)
+            c, w = c[ok], w[ok]
+            ok = usual[c] & usable[w]
+            return c[ok] * len(tree.numbers) + w[ok]
+
+        got = _counted(docs, keys, shared).where(F.col("n") >= least(entry)).orderBy("key").toPandas()
+        known.unpersist()
+        found, n = got["key"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
+        c, w = found // k, found % k
+        share = (n - DISCOUNT) / count[c]
+        weight = 1 - np.bincount(c, share, len(count))
+        below = tree.chance(length - 1, parent[c], w)
+        gain = np.bincount(c, n * np.log10((share + weight[c] * below) / below), len(count)) + (count - np.bincount(c, n, len(count))) * np.log10(np.maximum(weight, 1e-12))
+        kept = usual & (gain >= divergence * np.maximum(count, 1))
+        level = tree.levels[-1]
+        level.weight = np.where(kept, weight, 1.0)
+        level.entries, level.share = found[kept[c]], share[kept[c]]
+        # A frequent entry makes a longer context, whose parent is a context of this length.
+        good = (n >= least(context)) & (w != numbers[END])
+        contexts, count, c, w = found[good], n[good], c[good], w[good]
+        parent = w if length == 1 else _find(level.contexts, parent[c] * k + w)[0]
+        usual = np.ones(len(contexts), bool)
+    return tree
 
 
 def score_batch(texts: list[bytes], tree: Tree) -> tuple[dict[str, np.ndarray], list[dict[bytes, int]]]:
@@ -208,19 +212,15 @@ def score_batch(texts: list[bytes], tree: Tree) -> tuple[dict[str, np.ndarray],
     k = len(tree.numbers)
     flat, starts, words = _flat(texts, tree.numbers)
     at = _context(flat, starts)
-    x, y, z = _two_back(flat, starts, at), flat[at - 1], flat[at]
+    z = flat[at]
     known = z >= 0
     p0 = np.where(known, tree.root(tree.counts)[z], 1.0)
-    w1 = np.where(y >= 0, tree.weight1[y], 1.0)
-    i, hit = _find(tree.pairs, y * k + z)
-    e1 = np.where(hit & known & (y >= 0), tree.pair_share[i] if len(tree.pairs) else 0, 0.0)
-    p = e1 + w1 * p0
-    s, in2 = _find(tree.states2, x * k + y)
-    in2 &= (x >= 0) & (y >= 0)
-    if in2.any():
-        i, hit = _find(tree.triples, s * k + z)
-        e2 = np.where(hit & known & in2, tree.triple_share[i] if len(tree.triples) else 0, 0.0)
-        p = np.where(in2, e2 + tree.weight2[s] * p, p)
+    p = p0
+    for level, row in zip(tree.levels, tree.contexts_at(flat, starts, len(tree.levels)), strict=False):
+        c = row[at - 1]
+        i, hit = _find(level.entries, c * k + z)
+        own = np.where(hit & known & (c >= 0), level.share[i] if len(level.share) else 0.0, 0.0)
+        p = np.where(c >= 0, own + level.weight[c] * p, p)
     cut = starts[:-1] - np.arange(len(texts))
     add = lambda v: np.add.reduceat(v, cut) if len(texts) else v
     sums = {"n_tokens": np.diff(starts) - 1, "n_known": add((known & (tree.counts[z] > 0)).astype(np.int64)), "base_score": add(np.where(known, np.log10(p0), 0.0)), "score": add(np.log10(p))}
@@ -228,12 +228,12 @@ def score_batch(texts: list[bytes], tree: Tree) -> tuple[dict[str, np.ndarray],
     return sums, rare
 
 
-def score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score); learns from the rows where train is true."""
     rows = df.select(F.col(id_col).alias("id"), (~F.coalesce(train, F.lit(False))).alias("held_out"), bytes_of(text_col).alias("text"))
     known = rows.where("not held_out").select("text")
     words = stored(word_counts(known))
-    tree = df.sparkSession.sparkContext.broadcast(fit(known, words))
+    tree = df.sparkSession.sparkContext.broadcast(fit(known, words, **options))
     total, distinct = tree.value.total, tree.value.distinct
     schema = f"row long, id {dict(df.select(id_col).dtypes)[id_col]}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<struct<word:binary,n:long>>"
 

@@ -352,23 +352,48 @@ def test_suffix_tree(spark):
     assert all(r["train_tokens"] == 0 and r["n_known"] == 0 and math.isfinite(r["score"]) for r in none)
 
 
-def test_distributions_sum_to_one(spark):
+def test_suffix_tree_brute_force(spark):
+    """Every score of small texts, with contexts of up to three words, against dictionaries of tuples."""
     rng = random.Random(9)
-    texts = [("a b c " * 10 + words(rng, 10, 20)) for _ in range(40)]
-    rows = docs(spark, texts).select(bytes_of("text").alias("text"))
-    tree = suffix_tree_lm.fit(rows, suffix_tree_lm.word_counts(rows), divergence=0.0)
-    k = len(tree.numbers)
-    root = tree.root(tree.counts)
-    rest = 1 - root.sum()  # unseen words
-    states = 0
-    for y in range(k):
-        share = np.zeros(k)
-        own = tree.pairs // k == y
-        share[tree.pairs[own] % k] = tree.pair_share[own]
-        if own.any():
-            states += 1
-            assert (share + tree.weight1[y] * root).sum() + tree.weight1[y] * rest == pytest.approx(1)
-    assert states and len(tree.states2)
+    texts = [" ".join(rng.choice(("p a b x", "q a b y")) for _ in range(9)) + " " + words(rng, 9, 20) for _ in range(40)] + ["", "a b", "x unseen p a b x"]
+    held = {41, 42}
+    docs_ = [(t.split(), i not in held) for i, t in enumerate(texts)]
+    seqs = [["", *w, ""] for w, train in docs_ if train]
+    total, count = sum(len(s) - 1 for s in seqs), Counter(w for s in seqs for w in s[1:])
+    least = lambda x: max(2, math.ceil(x * total**0.5))
+    options = {"word": 0.05, "context": 0.3, "entry": 0.1, "divergence": 0.02, "depth": 3}
+    numbered = {w for w, n in count.items() if n >= least(0.05)} | {""}
+    follows = [Counter((tuple(s[t - n : t]), s[t]) for s in seqs for t in range(n, len(s))) for n in range(4)]
+    root = lambda w: (count[w] + 1) / (total + len(count) + 1)
+    states, grown = {}, {(w,): count[w] for w in numbered if count[w] >= least(0.3)}
+
+    def chance(context, w):
+        if not context:
+            return root(w)
+        below = chance(context[1:], w)
+        if context not in states:
+            return below
+        share, weight = states[context]
+        return share.get(w, 0.0) + weight * below
+
+    for n in (1, 2, 3):
+        longer = {}
+        for context, size in grown.items():
+            own = {w: c for (x, w), c in follows[n].items() if x == context and w in numbered and count[w] >= least(0.1) and c >= least(0.1)}
+            share = {w: (c - 0.75) / size for w, c in own.items()}
+            weight = 1 - sum(share.values())
+            gain = sum(c * math.log10((share[w] + weight * chance(context[1:], w)) / chance(context[1:], w)) for w, c in own.items()) + (size - sum(own.values())) * math.log10(max(weight, 1e-12))
+            if gain >= 0.02 * size:
+                states[context] = share, weight
+            longer |= {(*context, w): c for w, c in own.items() if c >= least(0.3) and w != ""}
+        grown = longer
+    assert any(len(c) == 3 for c in states)
+    df = docs(spark, texts)
+    got = {r["doc_id"]: r for r in suffix_tree_lm.score(df, ~F.col("doc_id").isin(*held), **options).collect()}
+    for i, (w, _) in enumerate(docs_):
+        seq = ["", *w, ""]
+        want = sum(math.log10(chance(tuple(seq[max(0, t - 3) : t]), seq[t])) for t in range(1, len(seq)))
+        assert got[i]["score"] == pytest.approx(want), i
 
 
 # --- 9 lines
