@@ -11,10 +11,15 @@ cover tree: a node is a centre, its covering radius and children of smaller radi
 (q, c: centres, r: radii) is below the worst k-th score so far of all queries in the query node. Scores are integers,
 ties go to the smaller id; nothing is approximate.
 
+Isotropic vectors of many dimensions lie about as far from each other as from any centre; no ball bound can rule out much
+there, and the cost is queries times rows (README has figures). Tasks stay bounded all the same: one holds a block of
+queries and about `task_rows` candidates, whatever the numbers of either.
+
 Vectors that are null, empty, or hold a null or non-finite component take no part, nor do rows with a null id. Shorter
 vectors count as padded with zeros. A row never finds rows of its own id. Rows with equal ids are candidates each, and a
 repeated query is answered once. With fewer candidates than k all are returned; without queries the result is empty.
-Components times scale must stay below 2**24 in magnitude, which keeps scores exact; larger ones raise ValueError.
+Scores are exact: in doubles while they stay below 2**53, in 64-bit integers beyond; vectors whose scores could pass 2**63
+raise ValueError, since a long can't hold them.
 """
 
 from __future__ import annotations
@@ -30,12 +35,12 @@ from pyspark.sql import functions as F
 from .common import stored
 
 CENTERS, SAMPLE_ROWS = 48, 4_096
-BLOCK_ROWS, QUERY_ROWS, LEAF = 4_096, 512, 256
+BLOCK_ROWS, QUERY_ROWS, LEAF, TASK_ROWS = 4_096, 256, 64, 65_536
 SHRINK = 0.7
 
 
-def _matrix(cells: pd.Series, dim: int) -> np.ndarray:
-    out = np.zeros((len(cells), dim), np.int32)
+def _matrix(cells: pd.Series, dim: int, kind: type = np.int64) -> np.ndarray:
+    out = np.zeros((len(cells), dim), kind)
     for row, cell in zip(out, cells, strict=True):
         row[: len(cell)] = cell
     return out
@@ -77,16 +82,17 @@ def grow(points: np.ndarray, rows: np.ndarray | None = None, leaf: int = LEAF) -
 class Search:
     """The k best of each query so far; meets candidate blocks one by one."""
 
-    def __init__(self, ids: np.ndarray, points: np.ndarray, k: int):
-        self.ids, self.points, self.k = ids, points.astype(np.float64), k
-        self.root = grow(self.points)
-        self.score = np.full((len(ids), k), -np.inf)
+    def __init__(self, ids: np.ndarray, points: np.ndarray, k: int, doubles: bool = True):
+        self.kind = np.float64 if doubles else np.int64
+        self.ids, self.points, self.k = ids, points.astype(self.kind), k
+        self.root = grow(points.astype(np.float64))
+        self.none = -np.inf if doubles else np.iinfo(np.int64).min + 1
+        self.score = np.full((len(ids), k), self.none, self.kind)
         self.found = np.full((len(ids), k), np.iinfo(np.int64).max)
-        self.pairs = self.pruned = 0
+        self.pairs = self.pruned = self.scored = 0
 
     def meet(self, ids: np.ndarray, points: np.ndarray) -> None:
-        points = points.astype(np.float64)
-        stack = [(self.root, grow(points))]
+        stack, points = [(self.root, grow(points.astype(np.float64)))], points.astype(self.kind)
         while stack:
             q, c = stack.pop()
             self.pairs += 1
@@ -103,7 +109,8 @@ class Search:
 
     def _scored(self, rows: np.ndarray, ids: np.ndarray, points: np.ndarray) -> None:
         score = self.points[rows] @ points.T
-        score[self.ids[rows][:, None] == ids[None]] = -np.inf
+        self.scored += score.size
+        score[self.ids[rows][:, None] == ids[None]] = self.none
         rows, score = rows[keep := (score >= self.score[rows, -1:]).any(1)], score[keep]
         score = np.concatenate([self.score[rows], score], 1)
         found = np.concatenate([self.found[rows], np.broadcast_to(ids, (len(rows), len(ids)))], 1)
@@ -111,7 +118,7 @@ class Search:
         self.score[rows], self.found[rows] = np.take_along_axis(score, best, 1), np.take_along_axis(found, best, 1)
 
     def results(self) -> pd.DataFrame:
-        at = np.isfinite(self.score)
+        at = self.score != self.none
         q = np.broadcast_to(self.ids[:, None], at.shape)
         return pd.DataFrame({"query_id": q[at], "vec_id": self.found[at], "score": self.score[at].astype(np.int64)})
 
@@ -132,14 +139,14 @@ def vectors(df: DataFrame, id_col: str, vector_col: str, scale: int = 1024) -> D
     return df.where(usable).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
 
 
-def _blocks(rows: DataFrame, top: np.ndarray, dim: int, size: int) -> DataFrame:
+def _blocks(rows: DataFrame, top: np.ndarray, dim: int, size: int, kind: type) -> DataFrame:
     """(block, ids, points, n): rows of one centre and hash part, packed."""
     shared = rows.sparkSession.sparkContext.broadcast(top)
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         top = shared.value
         for b in batches:
-            m = _matrix(b["v"], dim).astype(np.float64)
+            m = _matrix(b["v"], dim, kind).astype(np.float64)
             near = ((top**2).sum(1)[None] - 2 * m @ top.T).argmin(1)
             yield pd.DataFrame({"vec_id": b["vec_id"], "v": b["v"], "center": near})
 
@@ -149,39 +156,41 @@ def _blocks(rows: DataFrame, top: np.ndarray, dim: int, size: int) -> DataFrame:
 
     def packed(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("vec_id")
-        m = _matrix(b["v"], dim)
+        m = _matrix(b["v"], dim, kind)
         return pd.DataFrame({"block": [f"{b['center'].iat[0]}.{b['part'].iat[0]}"], "ids": [b["vec_id"].to_numpy(np.int64).tobytes()], "points": [m.tobytes()], "center": [b["center"].iat[0]]})
 
     return cut.groupBy("center", "part").applyInPandas(packed, "block string, ids binary, points binary, center int")
 
 
-def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, centers: int = CENTERS, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, centers: int = CENTERS, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS, task_rows: int = TASK_ROWS) -> DataFrame:
     """Both sides: (vec_id, v). Returns (query_id, rank, vec_id, score)."""
     spark = candidates.sparkSession
-    shape = candidates.agg(F.max(F.size("v")).alias("dim"), F.max(F.array_max(F.transform("v", lambda x: F.abs(x)))).alias("most")).head()
+    largest = lambda rows: rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim"), F.max(F.array_max(F.transform("v", lambda x: F.abs(x)))).alias("most")).head()
+    shape, asked = largest(candidates), largest(queries)
     schema = "query_id long, rank int, vec_id long, score long"
-    if not shape["dim"] or (asked := queries.select(F.count_distinct("vec_id")).head()[0]) == 0:
+    if not shape["n"] or not asked["n"]:
         return spark.createDataFrame([], schema)
-    dim = max(shape["dim"], queries.agg(F.max(F.size("v"))).head()[0])
-    if shape["most"] >= 1 << 24:
-        raise ValueError("components are too large for exact scores")
+    dim, most = max(shape["dim"], asked["dim"]), shape["most"] * asked["most"] * max(shape["dim"], asked["dim"])
+    if most >= 1 << 63:
+        raise ValueError("a score could exceed a long")
+    doubles, kind = most < 1 << 53, np.int32 if max(shape["most"], asked["most"]) < 1 << 31 else np.int64
     sample = candidates.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).toPandas()
     top = _top_level(_matrix(sample["v"], dim).astype(np.float64), centers)
-    packed = stored(_blocks(candidates, top, dim, block_rows))
-    groups = _blocks(queries.groupBy("vec_id").agg(F.min("v").alias("v")), top[:1], dim, query_rows)
+    packed = stored(_blocks(candidates, top, dim, block_rows, kind))
+    groups = _blocks(queries.groupBy("vec_id").agg(F.min("v").alias("v")), top, dim, query_rows, kind)
     asked_blocks = stored(groups.select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("points").alias("q_points")))
     # Each candidate block meets each query block once, in one of `lanes` tasks of that query block.
-    names = [r["q_block"] for r in asked_blocks.select("q_block").collect()]  # asked / query_rows names
-    lanes = max(1, min(64, 4 * spark.sparkContext.defaultParallelism // max(1, len(names))))
-    sent = packed.withColumn("lane", F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int")).withColumn("q_block", F.explode(F.lit(names)))
+    names = asked_blocks.groupBy().agg(F.collect_list("q_block").alias("q_blocks"))  # one name for each block of queries
+    lanes = -(-shape["n"] // task_rows)
+    sent = packed.withColumn("lane", F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int")).crossJoin(F.broadcast(names)).withColumn("q_block", F.explode("q_blocks")).drop("q_blocks")
     left = asked_blocks.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
 
     def searched(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if q.empty or c.empty:
             return pd.DataFrame(columns=["query_id", "vec_id", "score"])
-        search = Search(np.frombuffer(q["q_ids"].iat[0], np.int64), np.frombuffer(q["q_points"].iat[0], np.int32).reshape(-1, dim), k)
+        search = Search(np.frombuffer(q["q_ids"].iat[0], np.int64), np.frombuffer(q["q_points"].iat[0], kind).reshape(-1, dim), k, doubles)
         for i in range(len(c)):
-            search.meet(np.frombuffer(c["ids"].iat[i], np.int64), np.frombuffer(c["points"].iat[i], np.int32).reshape(-1, dim))
+            search.meet(np.frombuffer(c["ids"].iat[i], np.int64), np.frombuffer(c["points"].iat[i], kind).reshape(-1, dim))
         return search.results()
 
     found = left.groupBy("q_block", "lane").cogroup(sent.groupBy("q_block", "lane")).applyInPandas(searched, "query_id long, vec_id long, score long")

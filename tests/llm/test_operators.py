@@ -144,6 +144,19 @@ def test_cover_tree(spark):
     assert cover_tree.top_k(df.where("false"), df).count() == 0 and cover_tree.top_k(df, df.where("false")).count() == 0
 
 
+def test_cover_tree_large_components(spark):
+    rng = np.random.default_rng(8)
+    e = [[float(x) for x in rng.integers(-30_000, 30_000, 40)] for _ in range(60)]
+    df = cover_tree.vectors(spark.createDataFrame(list(enumerate(e)), "vec_id long, e array<double>"), "vec_id", "e")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in cover_tree.top_k(df, df.where("vec_id < 5"), k=3, task_rows=20).collect()}
+    v = [[int(1024 * x) for x in row] for row in e]
+    for q in range(5):
+        want = sorted((-sum(a * b for a, b in zip(v[q], v[i], strict=True)), i) for i in range(60) if i != q)[:3]
+        assert [got[q, r + 1] for r in range(3)] == [(i, -s) for s, i in want]
+    with pytest.raises(ValueError, match="long"):
+        cover_tree.top_k(df.selectExpr("vec_id", "transform(v, x -> x * 100000) as v"), df)
+
+
 def test_cover_tree_prunes():
     rng = np.random.default_rng(4)
     points = np.concatenate([rng.normal(c, 1, (400, 4)) for c in (0, 300, 600)]).astype(np.int32) * 10
