@@ -186,3 +186,35 @@ def test_reconstruction_and_trees(spark):
     rows = v.select("parcel_id", F.col("v")[0].alias("x"), F.when(F.col("v")[0] > 0.5, 2).when(F.col("v")[0] < -0.5, 1).otherwise(0).alias("label"), F.lit(1.0).alias("weight"))
     p = R.class_chances(rows, R.fit_trees(rows, ["x"], rounds=3), ["x"]).join(rows, "parcel_id").collect()
     assert np.mean([int(np.argmax([r["p0"], r["p1"], r["p2"]])) == r["label"] for r in p]) > 0.9
+
+
+def test_quantile_by(spark):
+    import random
+
+    from fieldloom.functions.quantiles import quantile_by
+
+    rng = random.Random(3)
+    rows = [(rng.choice("abc"), float(rng.randrange(40)) if rng.random() < 0.9 else None) for _ in range(500)] + [("d", None), ("e", 2.0), ("f", 1.0), ("f", 4.0)]
+    got = {r["k"]: r["m"] for r in quantile_by(spark.createDataFrame(rows, "k string, x double"), "k", "x", 0.3, "m").collect()}
+    for k in "abcef":
+        v = sorted(x for a, x in rows if a == k and x is not None)
+        at = 0.3 * (len(v) - 1)
+        assert got[k] == pytest.approx(v[int(at)] + (at - int(at)) * (v[min(int(at) + 1, len(v) - 1)] - v[int(at)]))
+    assert "d" not in got
+
+
+def test_geometry_types(spark):
+    from fieldloom.operators import spatial
+
+    rows = [(bytes.fromhex("0103000000"),), (bytes.fromhex("0000000001"),), (b"\x01",), (None,), (bytes.fromhex("0109000000"),)]
+    got = [r[0] for r in spark.createDataFrame(rows, "geometry binary").select(spatial.geometry_type()).collect()]
+    assert got == ["Polygon", "Point", None, None, None]
+
+
+def test_interpretable_fills_absent_months(spark):
+    from fieldloom.operators import scoring
+
+    df = spark.createDataFrame([("a", 4, 0.2, 1.0, 0.4), ("a", 6, 0.9, None, 0.8)], "parcel_id string, month int, ndvi double, texture double, quality double")
+    r = scoring.interpretable(df, (4, 5, 6, 7, 8, 9, 10)).head().asDict()
+    assert len(r) == 21 and r[scoring.MACRO[0]] == 0.9 and r[scoring.MACRO[1]] == 0.2 and r["GLCM_6月"] == 0.0
+    assert r[scoring.QUALITY[1]] == 6 and r[scoring.QUALITY[0]] == pytest.approx(1.2 / 7)
