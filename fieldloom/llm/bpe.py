@@ -3,7 +3,7 @@
 The ranks of a public tokenizer file merge byte pairs, lowest rank first. `encode` cuts texts by the tokenizer's pattern
 (in the JVM: Java's classes are written out where the public library's differ) and works through the documents of a
 partition in blocks of about `BLOCK` pieces. The distinct words that are no token as a whole are encoded once in a
-task: `fold` merges over the array of a word's bytes with Spark's higher-order functions and looks pairs up in a rank map
+task: `fold` merges over the array of a word's bytes with Spark's higher-order functions and looks new pairs up in a rank map
 that comes with the plan as one literal. The block's documents are then put together from its words' ids. Nothing is
 shuffled, collected or broadcast, memory depends on the block and on `REMEMBERED` words alone, and a lost task repeats its own blocks only.
 
@@ -38,6 +38,8 @@ BLOCK, LONG = 2_000_000, 1_024
 BUCKETS = 32_768
 #: Bits of a pair's place beside its rank.
 PLACE = 16
+#: A byte that UTF-8 never holds.
+END = b"\xff"
 #: Words that a task remembers before it starts anew.
 REMEMBERED = 1_000_000
 #: The characters of the Unicode property White_Space, in Java's notation.
@@ -91,6 +93,8 @@ def with_rank_map(table: dict[bytes, int], body: str) -> Column:
     of one literal, once a row; a piece's checksum says in which of the small maps it is."""
     rows: list[list[str]] = [[] for _ in range(BUCKETS)]
     for piece, rank in table.items():
+        if END in piece[:-1] or END in piece[1:]:
+            continue  # no part of any text
         rows[zlib.crc32(piece) % BUCKETS].append(f"{piece.hex()}:{rank}")
     literal = ";".join(",".join(r) for r in rows)
     cells = "map_from_arrays(transform(cells, c -> unhex(substring_index(c, ':', 1))), transform(cells, c -> try_cast(substring_index(c, ':', -1) as int)))"
@@ -99,17 +103,28 @@ def with_rank_map(table: dict[bytes, int], body: str) -> Column:
 
 
 def fold(word: str) -> str:
-    """SQL for the ids of a word (binary) over `ranks`: a fold over the array of its bytes, each step of which joins the
-    first neighbours of lowest rank, if any has one. Rank and place of a pair make one number, the least of which wins."""
-    rank = lambda piece: f"element_at(element_at(ranks, cast(crc32({piece}) % {BUCKETS} as int) + 1), {piece})"
-    pair = let("p", "concat(parts[i - 1], parts[i])", f"shiftleft(cast({rank('p')} as bigint), {PLACE}) | i")
-    best = f"array_min(transform(sequence(1, size(parts) - 1), i -> {pair}))"
-    joined = "transform(sequence(1, size(parts) - 1), i -> if(i < at, parts[i - 1], if(i > at, parts[i], concat(parts[i - 1], parts[i]))))"
-    step = f"if(size(parts) < 2, parts, {let('best', best, f'if(best is null, parts, {let("at", f"cast(best & {(1 << PLACE) - 1} as int)", joined)})')})"
-    single = "transform(sequence(1, length(w)), i -> substring(w, i, 1))"
-    merges = f"if(length(w) < 2, array(w), aggregate(sequence(2, length(w)), {single}, (parts, i) -> {step}))"
-    ids = let("parts", merges, f"transform(parts, p -> {rank('p')})")
-    return let("w", word, f"if(length(w) = 0, array(), {let('whole', rank('w'), f'if(whole is not null, array(whole), {ids})')})")
+    """SQL for the ids of a word (binary UTF-8) over `ranks`: a fold over the array of its bytes. The state holds the parts
+    and the rank of each pair of neighbours, above the pair's place by PLACE bits once places are added; the least wins, and
+    only the two pairs beside a merge are looked up. A byte `END` on both sides, which joins nothing, spares cases.
+
+    Values are bound by `aggregate` over an array of one: `transform` copies what it makes, and `array_position` leaves its
+    loop by an exception."""
+    rank = lambda piece: f"element_at(get(ranks, cast(crc32({piece}) % {BUCKETS} as int)), {piece})"
+    key = f"shiftleft(cast({rank('p')} as bigint), {PLACE})"
+    bind = lambda value, state, name, inner, body: f"aggregate(array({value}), {state}, ({inner}, {name}) -> {body})"
+    most = 1 << PLACE
+    beside = "array(concat(get(v.parts, at - 1), m), concat(m, get(v.parts, at + 2)))"
+    parts = f"concat(slice(v.parts, 1, at), array(m), slice(v.parts, at + 3, {most}))"
+    keys = f"concat(slice(v.keys, 1, at - 1), transform({beside}, p -> {key}), slice(v.keys, at + 3, {most}))"
+    joined = bind("concat(get(u.parts, at), get(u.parts, at + 1))", "u", "m", "v", f"named_struct('parts', {parts}, 'keys', {keys})")
+    found = f"if(best is null, t, {bind(f'cast(best & {most - 1} as int)', 't', 'at', 'u', joined)})"
+    step = bind("array_min(transform(s.keys, (k, i) -> k | i))", "s", "best", "t", found)
+    cut = lambda n: f"transform(sequence(1, length(e) - {n - 1}), i -> substring(e, i, {n}))"
+    start = f"named_struct('parts', {cut(1)}, 'keys', transform({cut(2)}, p -> {key}))"
+    ids = f"s -> transform(slice(s.parts, 2, size(s.parts) - 2), p -> {rank('p')})"
+    merges = let("e", f"concat(X'{END.hex()}', w, X'{END.hex()}')", f"aggregate(sequence(2, length(w)), {start}, (s, i) -> {step}, {ids})")
+    whole = let("whole", rank("w"), f"if(whole is not null or length(w) < 2, array(whole), {merges})")
+    return let("w", word, f"if(length(w) = 0, array(), {whole})")
 
 
 def encode_words(words: DataFrame, table: dict[bytes, int], word_col: str = "piece", out: str = "ids") -> DataFrame:
