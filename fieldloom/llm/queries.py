@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, cover_tree, jaccard_join, line_dedup, mixing, mpegts, suffix_dedup, suffix_tree_lm, toxicity, url_filter
+from . import alignment, bpe, cover_tree, impact_index, jaccard_join, line_dedup, mixing, mpegts, suffix_dedup, suffix_tree_lm, toxicity, url_filter
 from .common import bytes_of, residue, table, tuned
 
 
@@ -101,7 +101,12 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mpegts, op2_suffix_dedup, op3_cover_tree, op4_entropy_balancing, op5_url_gbt, op6_jaccard_join, op7_bpe, op8_suffix_tree, op9_line_dedup, op10_toxicity, op11_alignment)}
+def op12_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = impact_index.build(table(tuned(spark), sf_dir, "documents").select("doc_id", "text"))
+    return impact_index.search(index, table(spark, sf_dir, "benchmark"), k=50)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mpegts, op2_suffix_dedup, op3_cover_tree, op4_entropy_balancing, op5_url_gbt, op6_jaccard_join, op7_bpe, op8_suffix_tree, op9_line_dedup, op10_toxicity, op11_alignment, op12_impact_search)}
 #: What the rules decide of op5; the verdict of the other urls is learnt.
 OP5_RULES_SQL = r"""
 with p as (
@@ -115,4 +120,4 @@ select page_id, host, path, arg_max(rule, len(rule)) as rule, arg_max(r.verdict,
 from q left join r on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path) group by page_id, host, path
 """
 
-ORACLES: dict[str, str] = {"op3_cover_tree": OP3_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op3_cover_tree": OP3_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL, "op12_impact_search": impact_index.ORACLE_SQL}
