@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, cover_tree, impact_index, jaccard_join, line_dedup, mixing, mpegts, suffix_dedup, suffix_tree_lm, toxicity, url_filter
+from . import alignment, bpe, cover_tree, impact_index, jaccard_join, line_dedup, mixing, mpegts, packing, suffix_dedup, suffix_tree_lm, toxicity, url_filter
 from .common import bytes_of, residue, table, tuned
 
 
@@ -106,7 +106,13 @@ def op12_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact_index.search(index, table(spark, sf_dir, "benchmark"), k=50)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mpegts, op2_suffix_dedup, op3_cover_tree, op4_entropy_balancing, op5_url_gbt, op6_jaccard_join, op7_bpe, op8_suffix_tree, op9_line_dedup, op10_toxicity, op11_alignment, op12_impact_search)}
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(tuned(spark), sf_dir, "documents").select("doc_id", "text")
+    packed = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), window=2048, end_id=1)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mpegts, op2_suffix_dedup, op3_cover_tree, op4_entropy_balancing, op5_url_gbt, op6_jaccard_join, op7_bpe, op8_suffix_tree, op9_line_dedup, op10_toxicity, op11_alignment, op12_impact_search, op13_packing)}
 #: What the rules decide of op5; the verdict of the other urls is learnt.
 OP5_RULES_SQL = r"""
 with p as (
