@@ -182,17 +182,15 @@ def digests(a: np.ndarray, b: np.ndarray, laid: Laid, ids: int) -> list[str]:
     return [hashlib.sha256(values[lo:hi]).hexdigest() if hi > lo else "" for lo, hi in zip(offsets[until[heads]], to, strict=True)]
 
 
-def cells(ids: np.ndarray, n: np.ndarray, wide: type) -> pa.Array:
-    """One binary of ids for each document."""
-    raw = ids.astype(wide)
-    ends = np.concatenate(([0], np.cumsum(n))) * raw.itemsize
-    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
+def packed(ids: np.ndarray, wide: type) -> bytes:
+    """A block's ids, compressed: they are stored once and shuffled once."""
+    return pa.compress(ids.astype(wide).tobytes(), codec="zstd", asbytes=True)
 
 
-def flat(column: pa.ChunkedArray, wide: type) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of a column of such binaries, and how many each has."""
-    found = column.to_pylist()
-    return np.frombuffer(b"".join(found), wide).astype(np.int64), np.array([len(x) for x in found], np.int64) // np.dtype(wide).itemsize
+def unpacked(column: pa.ChunkedArray, n: np.ndarray, wide: type) -> np.ndarray:
+    """The ids of a block, which one of its rows holds, n of them for each row."""
+    raw = next(x for x in column.to_pylist() if x is not None)
+    return np.frombuffer(pa.decompress(raw, int(n.sum()) * np.dtype(wide).itemsize, codec="zstd", asbytes=True), wide).astype(np.int64)
 
 
 def chunked(text: Column, at_spaces: bool) -> Column:
@@ -236,9 +234,10 @@ def align(df: DataFrame, a_path: str, b_path: str, text_col: str = "text", group
             first[0] = len(found)
             lists_of = lambda values, kind: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(first))), pa.int32()), pa.array(values, kind))
             columns = [table.column(k.name).chunk(0) for k in keys]
+            once = lambda raw: pa.array([raw, *[None] * (table.num_rows - 1)], pa.binary())
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(table.num_rows, part + made), pa.int64()), *columns, cells(a, n_a, wide), cells(b, n_b, wide), lists_of(found, pa.int64()), lists_of(times, pa.int64())],
-                ["block", *(k.name for k in keys), "a", "b", "pairs", "times"],
+                [pa.array(np.full(table.num_rows, part + made), pa.int64()), pa.array(np.arange(table.num_rows), pa.int64()), *columns, pa.array(n_a), pa.array(n_b), once(packed(a, wide)), once(packed(b, wide)), lists_of(found, pa.int64()), lists_of(times, pa.int64())],
+                ["block", "at", *(k.name for k in keys), "n_a", "n_b", "a", "b", "pairs", "times"],
             )
 
         for batch in batches:
@@ -251,7 +250,8 @@ def align(df: DataFrame, a_path: str, b_path: str, text_col: str = "text", group
         if held:
             yield row()
 
-    schema = T.StructType([T.StructField("block", T.LongType()), *keys, T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType()), T.StructField("pairs", T.ArrayType(T.LongType())), T.StructField("times", T.ArrayType(T.LongType()))])
+    long = lambda *names: [T.StructField(n, T.LongType()) for n in names]
+    schema = T.StructType([*long("block", "at"), *keys, *long("n_a", "n_b"), T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType()), T.StructField("pairs", T.ArrayType(T.LongType())), T.StructField("times", T.ArrayType(T.LongType()))])
     cut = df.select(*(F.col(f"`{f.name}`").alias(k.name) for f, k in zip(others, keys, strict=True)), chunked(F.col(f"`{text_col}`"), pair.cuts_at_spaces()).alias("chunks"))
     tokens = stored(cut.mapInArrow(encoded, schema))
 
@@ -260,12 +260,14 @@ def align(df: DataFrame, a_path: str, b_path: str, text_col: str = "text", group
     counted = stored(held.groupBy("pair").agg(F.sum("times").alias("n")).withColumn("b_id", F.col("pair") % n_b_ids))
     most = counted.groupBy("b_id").agg(F.max("n").alias("most"))  # at most one row for each id of B
     known = counted.join(F.broadcast(most), "b_id").select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
-    back = held.select(F.col("block").alias("at"), "pair").join(known, "pair")
+    back = held.select(F.col("block").alias("of"), "pair").join(known, "pair")
     sizes = spark.sparkContext.broadcast((np.array([len(p) for p in a_bytes], np.int64), np.array([len(p) for p in b_bytes], np.int64)))
 
     def finished(docs: pa.Table, pairs: pa.Table) -> pa.Table:
         size_a, size_b = sizes.value
-        (a, n_a), (b, n_b) = flat(docs.column("a"), wide), flat(docs.column("b"), wide)
+        docs = docs.sort_by("at")
+        n_a, n_b = docs.column("n_a").to_numpy(), docs.column("n_b").to_numpy()
+        a, b = unpacked(docs.column("a"), n_a, wide), unpacked(docs.column("b"), n_b, wide)
         laid = lay_out(size_a[a], size_b[b], sums(size_a[a], n_a))
         pair = pairs.column("pair").to_numpy()
         order = np.argsort(pair)
@@ -282,5 +284,5 @@ def align(df: DataFrame, a_path: str, b_path: str, text_col: str = "text", group
 
     kinds = [T.LongType()] * (len(RESULTS) - 1) + [T.StringType()] + [T.ArrayType(T.IntegerType())] * len(extra)
     result = T.StructType(keys + [T.StructField(n, k) for n, k in zip((*RESULTS, *extra), kinds, strict=True)])
-    done = tokens.drop("pairs", "times").groupBy("block").cogroup(back.groupBy("at")).applyInArrow(finished, result)
+    done = tokens.drop("pairs", "times").groupBy("block").cogroup(back.groupBy("of")).applyInArrow(finished, result)
     return done.select(*(F.col(k.name).alias(f.name) for f, k in zip(others, keys, strict=True)), *RESULTS, *extra)
