@@ -7,6 +7,7 @@ puts the ids of whole batches together by indices. What it remembers is bounded;
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -55,13 +56,12 @@ class Chunks:
         for k, encode in enumerate(self.encoders):
             n, found = [], []
             for part in calls(words):
-                for ids in encode(part):
-                    n.append(len(ids))
-                    found.append(np.asarray(ids, np.uint32))
-            self.ids[k] = np.concatenate([self.ids[k], *found])
+                ids = encode(part)
+                n.extend(map(len, ids))
+                found.extend(chain.from_iterable(ids))
+            self.ids[k] = np.concatenate([self.ids[k], np.array(found, np.uint32)])
             self.ends[k] = np.append(self.ends[k], self.ends[k][-1] + np.cumsum(n, dtype=np.int64))
-        for w in words:
-            self.slot[w] = len(self.slot)
+        self.slot.update(zip(words, range(len(self.slot), len(self.slot) + len(words)), strict=True))
 
     def __call__(self, lists: pa.ListArray) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each encoder the ids of all lists in order, and how many of them each list has."""

@@ -26,6 +26,19 @@ def tuned(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What is written in the block has Arrow batches of up to so many rows, still of at most BATCH_BYTES."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder. Only a local master, as in tests, gets a temporary one where none is set; elsewhere
     that is an error, since other machines wouldn't see it."""

@@ -18,9 +18,12 @@ replaced.
 
 from __future__ import annotations
 
+import json
+import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -31,15 +34,63 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chunks import Chunks, expand
-from .common import stored
+from .common import batches_of, stored
 
 RESULTS = ("start", "length", "ids", "doc_tokens", "sequence_id", "offset")
 #: Rounds of the active set, and the combinations that one round adds.
 ROUNDS, ADDED = 32, 32
+#: Rows of a batch of texts, whose bytes are bounded as well: a batch looks each of its distinct words up once.
+ROWS = 8_192
 #: Bits of a rank in the key of a place.
 RANK = 45
 
 
+#: A pattern by which tokenizer files of this kind cut lower-cased text, and what it says of ASCII without white space.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+ASCII_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+"
+
+
+class Words:
+    """Ids of words by a tokenizer. If the file lower-cases and cuts by `PIECES`, words of printable ASCII are cut so here, and the
+    library's merges alone encode the pieces; words that may hold a special token, and all others, go through it as they are."""
+
+    def __init__(self, tokenizer, remembered: int = 200_000):
+        self.tokenizer, self.remembered = tokenizer, remembered
+        spec = json.loads(tokenizer.to_str())
+        lower = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
+        cut = ((spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+        plain = lower == ["NFC", "Replace", "Lowercase"] and cut.get("type") == "Split" and cut["invert"] and cut["pattern"].get("Regex") == PIECES
+        self.pieces = re.compile(ASCII_PIECES).findall if plain else None
+        marks = {re.escape(t.content[0]) for t in tokenizer.get_added_tokens_decoder().values()}
+        self.odd = re.compile("|".join(["[^ -~]", *sorted(marks)])).search
+        self.known: dict[str, list[int]] = {}
+
+    def encode(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def __call__(self, words: list[str]) -> list[list[int]]:
+        if not self.pieces:
+            return self.encode(words)
+        known, merge, odd = self.known, self.tokenizer.model.tokenize, self.odd
+        if len(known) > self.remembered:
+            known.clear()
+        out: list = [None] * len(words)
+        whole = []
+        for k, w in enumerate(words):
+            if odd(w):
+                whole.append(k)
+                continue
+            found = []
+            for p in self.pieces(w.lower()):
+                if (ids := known.get(p)) is None:
+                    ids = known[p] = [t.id for t in merge(p)]
+                found.append(ids)
+            out[k] = found[0] if len(found) == 1 else [*chain.from_iterable(found)]
+        for k, ids in zip(whole, self.encode([words[k] for k in whole]), strict=True):
+            out[k] = ids
+        return out
+
+
 def combinations(present: np.ndarray, window: int) -> np.ndarray:
     """Rows of three lengths, longest first and 0 for none, that fill the window: all of one, two and three that are present."""
     has = np.zeros(window + 1, bool)
@@ -224,7 +275,7 @@ def pack(df: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = 1
 
         tokenizer = Tokenizer.from_str(file.value)
         wide = np.uint16 if max(tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else np.uint32
-        chunks = Chunks(lambda words: [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)])
+        chunks = Chunks(Words(tokenizer))
         part, seen = TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
         for batch in batches:
             ((found, n),) = chunks(batch.column("words"))
@@ -251,7 +302,9 @@ def pack(df: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = 1
 
     kinds = (("part", T.IntegerType()), ("total", T.LongType()), ("start", T.LongType()), ("length", T.IntegerType()), ("nth", T.LongType()), ("ids", T.BinaryType()))
     words = F.split(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), r"[ \t\n\x0B\f\r]+")
-    pieces = stored(df.select(*(F.col(f"`{f.name}`").alias(k.name) for f, k in zip(others, keys, strict=True)), words.alias("words")).mapInArrow(cut, T.StructType([*keys, *(T.StructField(n, k) for n, k in kinds)])))
+    cells = df.select(*(F.col(f"`{f.name}`").alias(k.name) for f, k in zip(others, keys, strict=True)), words.alias("words"))
+    with batches_of(spark, ROWS):
+        pieces = stored(cells.mapInArrow(cut, T.StructType([*keys, *(T.StructField(n, k) for n, k in kinds)])))
 
     by_task = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # at most one row for each task
