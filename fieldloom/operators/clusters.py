@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.ml.clustering import GaussianMixture, KMeans
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -67,17 +65,3 @@ def kmeans(points: DataFrame, vector: str, k: int = 4, seed: int = 42, starts: i
     models = (KMeans(k=k, seed=seed + i).fit(rows) for i in range(starts))
     best = min(models, key=lambda m: m.summary.trainingCost)
     return best.transform(rows).withColumnRenamed("prediction", "cluster").drop("features")
-
-
-def mixture(points: DataFrame, vector: str, ks: range = range(3, 9), seed: int = 42, starts: int = 1) -> DataFrame:
-    """Adds cluster and confidence of the Gaussian mixture of least BIC."""
-    rows = points.withColumn("features", array_to_vector(vector))
-    n, d = rows.count(), len(rows.select(vector).head()[0])
-
-    def bic(model) -> float:
-        k = model.getK()
-        return (k * d * (d + 1) / 2 + k * d + k - 1) * math.log(n) - 2 * model.summary.logLikelihood
-
-    best = min((GaussianMixture(k=k, seed=seed + i).fit(rows) for k in ks for i in range(starts)), key=bic)
-    out = best.transform(rows)
-    return out.withColumn("confidence", F.rint(F.array_max(vector_to_array("probability")) * 1e4) / 1e4).withColumnRenamed("prediction", "cluster").drop("features", "probability")

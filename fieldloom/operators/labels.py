@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 SEMANTIC = (("果树", 1), ("撂荒", 2))
 GOLDEN_WEIGHT, PSEUDO_WEIGHT = 10.0, 0.1
 UNREVIEWED = -9999
+#: Fixed value: the reason of a parcel whose class the floor decides.
+UNSURE = "模型置信度偏低，执行安全兜底"
 
 
 def true_labels(raw: DataFrame) -> DataFrame:

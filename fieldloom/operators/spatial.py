@@ -29,6 +29,10 @@ def box_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, cel
     return joined.where(overlap & corner).select(left_id, right_id)
 
 
+def multipolygon_wkb(polygons: list[list[list[tuple[float, float]]]]) -> bytes:
+    return struct.pack("<BII", 1, 6, len(polygons)) + b"".join(map(polygon_wkb, polygons))
+
+
 def polygon_wkb(rings: list[list[tuple[float, float]]]) -> bytes:
     out = struct.pack("<BII", 1, 3, len(rings))
     for ring in rings:
@@ -36,8 +40,8 @@ def polygon_wkb(rings: list[list[tuple[float, float]]]) -> bytes:
     return out
 
 
-def rings_of(wkb: bytes) -> list[np.ndarray]:
-    """Rings of a WKB polygon or multipolygon; raises ValueError for other geometries."""
+def polygons_of(wkb: bytes) -> list[list[np.ndarray]]:
+    """Polygons, as lists of rings, of a WKB polygon or multipolygon; raises ValueError for other geometries."""
     at = 0
 
     def take(fmt: str):
@@ -55,18 +59,23 @@ def rings_of(wkb: bytes) -> list[np.ndarray]:
             at += 16 * n
         return out
 
-    def one() -> list[np.ndarray]:
+    def one() -> list[list[np.ndarray]]:
         e = "<" if take("B")[0] else ">"
         kind = take(e + "I")[0]
         if kind == 3:
-            return polygon(e)
+            return [polygon(e)]
         if kind == 6:
-            return [r for _ in range(take(e + "I")[0]) for r in one()]
+            return [p for _ in range(take(e + "I")[0]) for p in one()]
         raise ValueError(f"geometry of type {kind}")
 
     return one()
 
 
+def rings_of(wkb: bytes) -> list[np.ndarray]:
+    """All rings of a WKB polygon or multipolygon."""
+    return [r for rings in polygons_of(wkb) for r in rings]
+
+
 def contains(rings: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Even-odd rule over all rings, holes included."""
     inside = np.zeros(len(x), bool)

@@ -1,9 +1,13 @@
-"""Texture of a parcel's raster: grey-level co-occurrence by self-joins, local binary patterns by a NumPy kernel."""
+"""Texture of a parcel's raster: grey-level co-occurrence and local binary patterns, over rows of the raster as arrays.
+
+A row of pixels meets the row above and below by one shuffle on (parcel, month, y), so a large parcel is spread over tasks by its
+rows. Each row adds whole numbers (counts, sums, sums of products) to its parcel's, so results don't depend on the order of rows."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import math
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,42 +29,58 @@ def levels(grid: DataFrame, value: str = "NIR") -> DataFrame:
     return cells.join(grid.select(*key, "y", "x", value), [*key, "y", "x"], "left").select(*key, "y", "x", F.coalesce(level, F.lit(0)).cast("int").alias("level"), F.col(value).isNotNull().alias("valid"))
 
 
+def _rows(leveled: DataFrame) -> DataFrame:
+    """(parcel_id, month, y, c, v, up, down): a row's levels by x, which of its pixels are valid, and its neighbours' levels, null
+    beyond the raster. Rows come whole, as `levels` makes them."""
+    key = ["parcel_id", "month", "y"]
+    cells = F.array_sort(F.collect_list(F.struct("x", "level", "valid")))
+    own = leveled.groupBy(*key).agg(cells.alias("cells")).select(*key, F.col("cells.level").alias("c"), F.col("cells.valid").alias("v"))
+    sent = own.select("parcel_id", "month", "y", "c", "v", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("d"))
+    to = lambda d, a: F.max(F.when(F.col("d") == d, F.col(a)))
+    near = sent.groupBy("parcel_id", "month", (F.col("y") + F.col("d")).alias("y")).agg(to(0, "c").alias("c"), to(0, "v").alias("v"), to(1, "c").alias("up"), to(-1, "c").alias("down"))
+    return near.where(F.col("c").isNotNull())
+
+
 def cooccurrence(leveled: DataFrame) -> DataFrame:
-    """GLCM contrast and correlation at distance 1, each the mean over four angles of symmetric pairs. Each offset is an
-    equi-join on parcel, month and place."""
-    key = ["parcel_id", "month"]
-    steps = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for k, (dy, dx) in enumerate(OFFSETS)))
-    a = leveled.select(*key, "y", "x", F.col("level").cast("double").alias("i"), F.explode(steps).alias("s")).select(*key, (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), "i", F.col("s.k").alias("k"))
-    pairs = a.join(leveled.select(*key, "y", "x", F.col("level").cast("double").alias("j")), [*key, "y", "x"])
-    i, j = F.col("i"), F.col("j")
-    per = pairs.groupBy(*key, "k").agg(F.avg((i - j) * (i - j)).alias("contrast"), F.avg((i + j) / 2).alias("m"), F.avg((i * i + j * j) / 2).alias("s"), F.avg(i * j).alias("c"))
-    var = F.col("s") - F.col("m") * F.col("m")
-    rho = F.when(var < 1e-15, 1.0).otherwise((F.col("c") - F.col("m") * F.col("m")) / var)
-    return per.select(*key, "contrast", rho.alias("rho")).groupBy(*key).agg(F.avg("contrast").alias("GLCM_Contrast"), F.avg("rho").alias("GLCM_Correlation"))
-
-
-def _lbp_variance(level: np.ndarray, valid: np.ndarray) -> float:
-    """Variance of uniform local binary patterns (8 points, radius 1) over valid pixels; zeros lie beyond the edge."""
-    h, w = level.shape
-    padded = np.zeros((h + 4, w + 4))
-    padded[2:-2, 2:-2] = level
-    bits = []
+    """GLCM contrast and correlation at distance 1, each the mean over four angles of symmetric pairs."""
+    sums = []
+    for dy, dx in OFFSETS:
+        other = "c" if dy == 0 else "down"
+        pair = f"zip_with(slice(c, {1 + max(-dx, 0)}, greatest(size(c) - {abs(dx)}, 0)), slice({other}, {1 + max(dx, 0)}, greatest(size(c) - {abs(dx)}, 0)), (i, j) -> named_struct('i', cast(i as bigint), 'j', cast(j as bigint)))"
+        total = lambda e, pair=pair: f"coalesce(aggregate({pair}, 0L, (s, p) -> s + {e}), 0L)"
+        sums.append(f"named_struct('n', {total('1')}, 'd', {total('(p.i - p.j) * (p.i - p.j)')}, 'm', {total('p.i + p.j')}, 's', {total('p.i * p.i + p.j * p.j')}, 'c', {total('p.i * p.j')})")
+    each = _rows(leveled).select("parcel_id", "month", F.posexplode(F.expr(f"array({', '.join(sums)})")).alias("k", "p"))
+    per = each.groupBy("parcel_id", "month", "k").agg(*(F.sum(f"p.{n}").alias(n) for n in "ndmsc")).where("n > 0")
+    mean, square, product = (F.col(a) / F.col("n") / b for a, b in (("m", 2.0), ("s", 2.0), ("c", 1.0)))
+    var = square - mean * mean
+    rho = F.when(var < 1e-15, 1.0).otherwise((product - mean * mean) / var)
+    return per.select("parcel_id", "month", (F.col("d") / F.col("n")).alias("contrast"), rho.alias("rho")).groupBy("parcel_id", "month").agg(F.avg("contrast").alias("GLCM_Contrast"), F.avg("rho").alias("GLCM_Correlation"))
+
+
+def pattern_points() -> list[list[tuple[float, int, int]]]:
+    """The eight points of a pattern at radius 1, counter-clockwise from the right: weights of cells (dy, dx) between which each
+    lies, in pairs of one row."""
+    out = []
     for k in range(8):
-        dy, dx = round(-np.sin(np.pi * k / 4), 5), round(np.cos(np.pi * k / 4), 5)
-        y0, x0 = int(np.floor(dy)), int(np.floor(dx))
+        dy, dx = round(-math.sin(math.pi * k / 4), 5), round(math.cos(math.pi * k / 4), 5)
+        y0, x0 = math.floor(dy), math.floor(dx)
         fy, fx = dy - y0, dx - x0
-        at = lambda a, b: padded[2 + a : 2 + a + h, 2 + b : 2 + b + w]
-        bits.append((1 - fy) * ((1 - fx) * at(y0, x0) + fx * at(y0, x0 + 1)) + fy * ((1 - fx) * at(y0 + 1, x0) + fx * at(y0 + 1, x0 + 1)) >= level)
-    b = np.array(bits)
-    changes = (b != np.roll(b, 1, 0)).sum(0)
-    return float(np.var(np.where(changes <= 2, b.sum(0), 9)[valid]))
+        out.append([(a * b, y0 + i, x0 + j) for i, a in ((0, 1 - fy), (1, fy)) for j, b in ((0, 1 - fx), (1, fx)) if a * b])
+    return out
 
 
-def binary_patterns(leveled: DataFrame) -> DataFrame:
-    """LBP variance for each parcel and month; one task holds one parcel's raster."""
-    def kernel(g: pd.DataFrame) -> pd.DataFrame:
-        level, valid = np.zeros((g["y"].max() + 1, g["x"].max() + 1)), np.zeros((g["y"].max() + 1, g["x"].max() + 1), bool)
-        level[g["y"], g["x"]], valid[g["y"], g["x"]] = g["level"], g["valid"]
-        return pd.DataFrame({"parcel_id": g["parcel_id"].iloc[:1], "month": g["month"].iloc[:1], "LBP_Variance": [_lbp_variance(level, valid)]})
+def pattern_sql(cell: Callable[[int, int], str]) -> str:
+    """SQL for a pixel's uniform pattern: how many of the eight points reach the centre, 9 if they change more than twice around."""
+    bits = [f"case when {' + '.join(f'{w:.17e} * {cell(y, x)}' for w, y, x in point)} >= {cell(0, 0)} then 1 else 0 end" for point in pattern_points()]
+    changes = " + ".join(f"abs({bits[k]} - {bits[k - 1]})" for k in range(8))
+    return f"case when {changes} <= 2 then {' + '.join(bits)} else 9 end"
 
-    return leveled.groupBy("parcel_id", "month").applyInPandas(kernel, "parcel_id string, month int, LBP_Variance double")
+
+def binary_patterns(leveled: DataFrame) -> DataFrame:
+    """LBP variance for each parcel and month over valid pixels; zeros lie beyond the edge."""
+    row = {-1: "up", 0: "c", 1: "down"}
+    cell = lambda y, x: f"cast(coalesce(get({row[y]}, x + {x}), 0) as double)"
+    patterns = _rows(leveled).select("parcel_id", "month", F.expr(f"filter(transform(c, (level, x) -> if(get(v, x), {pattern_sql(cell)}, null)), p -> p is not null)").alias("p"))
+    total = lambda e: F.sum(F.aggregate("p", F.lit(0).cast("long"), lambda s, p: s + e(p)))
+    n, s, q = total(lambda p: F.lit(1)), total(lambda p: p), total(lambda p: p * p)
+    return patterns.groupBy("parcel_id", "month").agg(n.alias("n"), s.alias("s"), q.alias("q")).where("n > 0").select("parcel_id", "month", ((F.col("q") - F.col("s") * F.col("s") / F.col("n")) / F.col("n")).alias("LBP_Variance"))

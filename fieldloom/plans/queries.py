@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.indices import RANGES, VEGETATION, with_indices
-from ..operators import clusters, labels, quality, scoring, spatial, texture, zonal
+from ..functions.shared import stored
+from ..operators import boosting, clusters, labels, mixtures, quality, scoring, spatial, texture, validity, zonal
 from ..sources import fixtures as fx
 
 INDICES = tuple(RANGES)
@@ -312,7 +313,6 @@ query("m16_w06_cluster_names", f"""{_NAMED}, m as (select cluster, max(case when
   select cluster, case when n = 0 then name else name || '_亚种' || n end as label from r""")(lambda s, d: (lambda p: clusters.name_clusters(p, p.agg(F.avg("glcm").alias("all_tex"))))(_profile(s, d)))
 query("m01_standardise", "with v as (select vec_id, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as i from embeddings), s as (select i, avg(x) as m, stddev_pop(x) as sd from v group by i) select vec_id, sum(((x - m) / sd) * i) as weighted from v join s using (i) group by vec_id", "weighted")(lambda s, d: clusters.standardised(fx.vectors(s, d), "vec_id", "v").select("vec_id", F.posexplode("v").alias("i", "x")).groupBy("vec_id").agg(F.sum(F.col("x") * (F.col("i") + 1)).alias("weighted")))
 query("m02_kmeans")(lambda s, d: clusters.kmeans(fx.vectors(s, d), "v").select("vec_id", "cluster"))
-query("m15_mixture")(lambda s, d: clusters.mixture(fx.vectors(s, d).withColumn("v", F.slice("v", 1, 4)), "v", range(3, 5)).select("vec_id", "cluster", "confidence"))
 
 # --- space and texture ------------------------------------------------------------------------------------------------
 query("j09_box_join", f"select p.parcel_id, n.n_nationkey::integer as scene from {_PARCELS} p join nation n on p.minx < (n.n_nationkey % 5) * 70 + 80 and p.maxx > (n.n_nationkey % 5) * 70 and p.miny < (n.n_nationkey // 5) * 70 + 80 and p.maxy > (n.n_nationkey // 5) * 70")(lambda s, d: spatial.box_join(fx.parcels(s, d), fx.scene_boxes(s, d), "parcel_id", "scene"))
@@ -332,7 +332,42 @@ def zonal_boxes(spark, d):
     shapes = _shapes(spark, d)
     points = fx.read(spark, d, "customer").select("c_custkey", (F.col("c_custkey") * 37 % 330).cast("double").alias("px"), (F.col("c_custkey") * 91 % 330).cast("double").alias("py"))
     edge = lambda c: (F.col(c) % 10 != 1) & (F.col(c) % 10 != 9)  # noqa: E731  a box's edges are left out, on which rules differ
-    return spatial.zonal_join(points.where(edge("px") & edge("py")), spatial.valid_geometry(shapes))
+    return spatial.zonal_join(points.where(edge("px") & edge("py")), validity.valid_only(shapes))
+
+
+#: Outlines for the validity check, by supplier: points (dx, dy) from a box's corner, the shell's and the hole's.
+_OUTLINES = {
+    0: [[(0, 0), (8, 0), (8, 8), (0, 8), (0, 0)]],
+    1: [[(0, 0), (8, 8), (8, 0), (0, 8), (0, 0)]],
+    2: [[(0, 0), (8, 0), (8, 8), (0, 8), (0, 0)], [(2, 2), (4, 2), (4, 4), (2, 4), (2, 2)]],
+    3: [[(0, 0), (8, 0), (8, 8), (0, 8), (0, 0)], [(6, 2), (12, 2), (12, 4), (6, 4), (6, 2)]],
+    4: [[(0, 0), (8, 0), (8, 8), (0, 8), (0, 0)], [(20, 2), (22, 2), (22, 4), (20, 4), (20, 2)]],
+    5: [[(0, 0), (8, 0), (8, 8), (4, 0), (0, 8), (0, 0)]],
+    6: [[(0, 0), (8, 0), (4, 0), (0, 0)]],
+}
+_RINGS = ", ".join(f"({k}, {r}, {i}, {x}::double, {y}::double)" for k, rings in _OUTLINES.items() for r, ring in enumerate(rings) for i, (x, y) in enumerate(ring))
+_VALID = f"""with t(k, ring, i, dx, dy) as (values {_RINGS}), r as (select parcel_id, ring, i, minx + dx as x, miny + dy as y from {_PARCELS} p join t on p.parcel_id::bigint % 7 = k),
+  s as (select parcel_id, ring, i, x as x0, y as y0, lead(x) over w as x1, lead(y) over w as y1, count(*) over (partition by parcel_id, ring) - 1 as n from r window w as (partition by parcel_id, ring order by i) qualify x1 is not null),
+  area as (select parcel_id from s group by parcel_id, ring having sum(x0 * y1 - x1 * y0) = 0 and any_value(n) < 4),
+  o as (select a.parcel_id, a.ring = b.ring as same, b.i = a.i + 1 or (a.i = 0 and b.i = a.n - 1) as beside, sign((a.x1 - a.x0) * (b.y0 - a.y0) - (a.y1 - a.y0) * (b.x0 - a.x0)) as b0, sign((a.x1 - a.x0) * (b.y1 - a.y0) - (a.y1 - a.y0) * (b.x1 - a.x0)) as b1,
+    sign((b.x1 - b.x0) * (a.y0 - b.y0) - (b.y1 - b.y0) * (a.x0 - b.x0)) as a0, sign((b.x1 - b.x0) * (a.y1 - b.y0) - (b.y1 - b.y0) * (a.x1 - b.x0)) as a1, least(greatest(a.x0, a.x1), greatest(b.x0, b.x1)) - greatest(least(a.x0, a.x1), least(b.x0, b.x1)) as w, least(greatest(a.y0, a.y1), greatest(b.y0, b.y1)) - greatest(least(a.y0, a.y1), least(b.y0, b.y1)) as h
+    from s a join s b on a.parcel_id = b.parcel_id and (a.ring, a.i) < (b.ring, b.i) where w >= 0 and h >= 0),
+  m as (select parcel_id, same, beside, b0 * b1 <= 0 and a0 * a1 <= 0 as meet, b0 * b1 < 0 and a0 * a1 < 0 as proper, b0 = 0 and b1 = 0 and (w > 0 or h > 0) as overlap from o),
+  ray as (select h.parcel_id, count(*) filter ((s.y0 > h.y) <> (s.y1 > h.y) and h.x < s.x0 + (h.y - s.y0) * (s.x1 - s.x0) / nullif(s.y1 - s.y0, 0)) % 2 as inside from r h join s on h.parcel_id = s.parcel_id and s.ring = 0 where h.ring = 1 group by h.parcel_id, h.i),
+  f as (select parcel_id, 1 as flaw from area union all select parcel_id, 2 from m where same and case when beside then overlap else meet end union all select parcel_id, 3 from m where not same and (proper or overlap) union all select parcel_id, 4 from ray where inside = 0)
+  select parcel_id, min(flaw) is null as valid, case min(flaw) when 1 then 'no area' when 2 then 'self-intersection' when 3 then 'crossing rings' when 4 then 'hole outside shell' end as reason from {_PARCELS} left join f using (parcel_id) group by parcel_id"""
+
+
+@query("p11_validity", _VALID)
+def outlines(spark, d):
+    def wkb(key, x, y):
+        import pandas as pd
+
+        shapes = [_OUTLINES[int(k) % 7] for k in key]
+        return pd.Series([spatial.polygon_wkb([[(a + dx, b + dy) for dx, dy in ring] for ring in rings]) for rings, a, b in zip(shapes, x, y, strict=True)])
+
+    drawn = fx.parcels(spark, d).mapInPandas(lambda it: (b[["parcel_id"]].assign(geometry=wkb(b["parcel_id"], b["minx"], b["miny"])) for b in it), "parcel_id string, geometry binary")
+    return validity.validity(drawn)
 
 
 _GRID = f"""with o as (select *, row_number() over (partition by l_suppkey, month(l_shipdate) order by l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) - 1 as rn from lineitem where month(l_shipdate) between 4 and 10),
@@ -350,7 +385,12 @@ def _levels(spark, d):
 
 
 query("a10_cooccurrence", _GRID, "GLCM_Contrast GLCM_Correlation")(lambda s, d: texture.cooccurrence(_levels(s, d)))
-query("a10_binary_patterns")(lambda s, d: texture.binary_patterns(_levels(s, d)))
+_CELL = {(y, x): f"{v}::double" for (y, x), v in zip(((a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)), ("nw", "n_", "ne", "w", "level", "e", "sw", "s_", "se"), strict=True)}
+_LBP = f"""with {_GRID.removeprefix("with ").partition("f as (select")[0].strip().rstrip(",")},
+  r as (select *, lag(level, 1, 0) over xs as w, lead(level, 1, 0) over xs as e from l window xs as (partition by parcel_id, month, y order by x)),
+  k as (select *, {", ".join(f"{f}({a}, 1, 0) over ys as {b}" for f, side in (("lag", "n"), ("lead", "s")) for a, b in (("w", side + "w"), ("level", side + "_"), ("e", side + "e")))} from r window ys as (partition by parcel_id, month, x order by y))
+  select parcel_id, month, var_pop({texture.pattern_sql(lambda y, x: _CELL[y, x])}) as LBP_Variance from k where valid group by all"""
+query("a10_binary_patterns", _LBP, "LBP_Variance")(lambda s, d: texture.binary_patterns(_levels(s, d)))
 query("s18_geometry_types", f"select 'Polygon' as geom_type, count(*) as n from {_PARCELS}")(lambda s, d: _shapes(s, d).groupBy(spatial.geometry_type().alias("geom_type")).agg(F.count("*").alias("n")))
 
 _AT = lambda c, m: f"coalesce(max(case when month = {m} then {c} end), 0.0)"
@@ -367,6 +407,33 @@ def interpretable(spark, d):
     return scoring.interpretable(z.join(t, ["parcel_id", "month"], "left"), MONTHS)
 
 
+@query("m15_mixture")
+def mixture(spark, d):
+    """Standard scores of the four macro features of each parcel; k = 3 to 8 by BIC with 5 starts, fitted again with 10."""
+    macro = interpretable(spark, d).select("parcel_id", F.array(*(F.col(c) for c in scoring.MACRO)).alias("v"))
+    points = stored(clusters.standardised(macro, "parcel_id", "v"))
+    found = mixtures.fit_best(points, "parcel_id", "v")
+    return mixtures.assign(points, "v", found).select("parcel_id", "cluster", "confidence")
+
+
+@query("m19_m21_boosted_trees")
+def boosted(spark, d):
+    """Three classes learnt from golden labels over pseudo labels of the physical rules, 100 rounds at depth 3; each parcel's class,
+    and the two features whose Shapley values say most for it."""
+    panel = stored(interpretable(spark, d))
+    names = [c for c in panel.columns if c != "parcel_id"]
+    z = zonal.zonal_stats(dense(spark, d), ["NDVI"])
+    flags = scoring.agronomy(z.select("parcel_id", "month", F.col("NDVI_mean").alias("ndvi"), (F.col("NDVI_cv") * 100).alias("glcm")))
+    pseudo = flags.select("parcel_id", F.when(F.col("orchard"), 1).when(F.col("abandoned"), 2).otherwise(0).alias("label"))
+    golden = labels.true_labels(fx.labels(spark, d).select("parcel_id", F.when(F.col("label") >= 2, (F.col("label") + 1) % 3).otherwise(labels.UNREVIEWED).alias("true_label")))
+    trees = boosting.fit(panel.join(labels.merge(golden, pseudo), "parcel_id"), names)
+    judged = scoring.classify(boosting.chances(panel, trees)).join(panel, "parcel_id")
+    top = boosting.top_two(boosting.attributions(judged, trees, ["parcel_id"]), names)
+    said = labels.reasons(top).select("parcel_id", "top1", "value1", "top2", "value2", F.col("reason").alias("own"))
+    reason = F.when(F.col("floored"), labels.UNSURE).otherwise(F.col("own")).alias("reason")
+    return judged.join(said, "parcel_id").select("parcel_id", "p0", "p1", "p2", "class", "class_confidence", "margin", "top1", "value1", "top2", "value2", reason)
+
+
 _M10 = f"""with z as ({_stats(_SPARSE)}), p as (select parcel_id, avg(NDVI_valid_ratio) as mean_quality, sum((NDVI_valid_ratio < 0.5)::integer)::bigint as low from z group by parcel_id)
   select s.parcel_id, s.mse, mean_quality, coalesce(low, 0)::bigint as low_quality_months from {_MSE} s left join p using (parcel_id)"""
 
