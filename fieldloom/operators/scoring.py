@@ -27,33 +27,34 @@ def weighted_mse(errors: DataFrame, n_features: int) -> DataFrame:
     return errors.groupBy("parcel_id").agg((F.sum(F.col("quality") * F.col("sq")) / (F.sum("quality") * n_features + 1e-8)).alias("mse"))
 
 
-def kernel_density(scores: DataFrame, points: int = 500, bins: int = 20_000) -> DataFrame:
+def kernel_density(scores: DataFrame, points: int = 500) -> DataFrame:
     """Gaussian density of mse strictly below its 98th percentile, on an even grid: (k, x, density).
 
-    Up to `bins` distinct values meet the grid as they are; more are first counted in `bins` equal cells, whose centres
-    stand for them, so that the pairs don't grow with the input."""
+    Each value adds to each grid point within its own task; only a task's `points` sums are shuffled, so the density is exact at all
+    sizes and its cost grows with the values."""
     top = quantile(scores, "mse", 0.98, "p98")
     below = scores.crossJoin(F.broadcast(top)).where("mse < p98").select("mse")
-    stats = below.agg(F.min("mse").alias("lo"), F.max("mse").alias("hi"), F.stddev_samp("mse").alias("sd"), F.count("*").alias("n"), F.approx_count_distinct("mse").alias("d")).where("n > 0")
-    cells = below.crossJoin(F.broadcast(stats))
-    cell = F.floor((F.col("mse") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * bins)
-    center = F.when(F.col("d") <= bins, F.col("mse")).otherwise(F.col("lo") + (F.least(cell, F.lit(bins - 1)) + 0.5) * (F.col("hi") - F.col("lo")) / bins)
-    counted = cells.groupBy(center.alias("v"), "lo", "hi", "sd", "n").agg(F.count("*").alias("m"))
-    grid = counted.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-    x = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("k") / (points - 1)
+    stats = below.agg(F.min("mse").alias("lo"), F.max("mse").alias("hi"), F.stddev_samp("mse").alias("sd"), F.count("*").alias("n")).where("n > 0")
+    step = (F.col("hi") - F.col("lo"))
+    grid = below.crossJoin(F.broadcast(stats)).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))  # stats: a single row
+    x = F.col("lo") + step * F.col("k") / (points - 1)
     width = F.pow(F.col("n").cast("double"), F.lit(-0.2)) * F.col("sd")
-    u = (x - F.col("v")) / width
-    return grid.withColumn("x", x).groupBy("k", "x").agg((F.sum(F.exp(-0.5 * u * u) * F.col("m")) / F.first(width * F.col("n")) / 2.5066282746310002).alias("density"))
+    u = (x - F.col("mse")) / width
+    return grid.groupBy("k").agg(F.first(x).alias("x"), (F.sum(F.exp(-0.5 * u * u)) / F.first(width * F.col("n")) / 2.5066282746310002).alias("density"))
 
 
 def knee(density: DataFrame) -> DataFrame:
-    """(threshold): after the peak, the grid point farthest from the chord to the last point; the first if tied."""
-    peak = density.agg(F.min_by("k", F.struct(-F.col("density"), "k")).alias("pk"), F.max("k").alias("last"))
-    tail = density.crossJoin(F.broadcast(peak)).where("k >= pk")
-    ends = tail.agg(*(F.max(F.when(F.col("k") == F.col(at), F.col(c))).alias(n) for at, c, n in (("pk", "x", "x1"), ("pk", "density", "y1"), ("last", "x", "x2"), ("last", "density", "y2"))))
+    """(threshold): after the peak, the grid point farthest from the chord to the last point; the first if tied. The grid, which has a
+    fixed number of points, becomes one row, so the density is computed once."""
+    one = density.agg(F.array_sort(F.collect_list(F.struct("k", "x", "density"))).alias("g"))
+    peak = F.array_min(F.transform("g", lambda p: F.struct((-p["density"]).alias("d"), p["k"].alias("k"))))["k"]
+    tail = one.withColumn("pk", peak).withColumn("t", F.filter("g", lambda p: p["k"] >= F.col("pk")))
+    first, last = F.get("t", F.lit(0)), F.element_at("t", -1)
+    ends = tail.where(F.size("t") > 0).withColumns({"x1": first["x"], "y1": first["density"], "x2": last["x"], "y2": last["density"]})
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    far = F.abs(dx * (F.col("density") - F.col("y1")) - dy * (F.col("x") - F.col("x1"))) / (F.sqrt(dx * dx + dy * dy) + 1e-8)
-    return tail.crossJoin(F.broadcast(ends)).agg(F.min_by("x", F.struct(-F.round(far, 9), "k")).alias("threshold"))
+    far = lambda p: F.abs(dx * (p["density"] - F.col("y1")) - dy * (p["x"] - F.col("x1"))) / (F.sqrt(dx * dx + dy * dy) + 1e-8)
+    best = F.array_min(F.transform("t", lambda p: F.struct((-F.round(far(p), 9)).alias("f"), p["k"].alias("k"), p["x"].alias("x"))))["x"]
+    return ends.select(best.alias("threshold"))
 
 
 def confidence(scores: DataFrame, threshold: DataFrame) -> DataFrame:

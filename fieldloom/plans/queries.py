@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions.indices import RANGES, VEGETATION, with_indices
 from ..functions.shared import stored
-from ..operators import boosting, clusters, labels, mixtures, quality, scoring, spatial, texture, validity, zonal
+from ..operators import boosting, clusters, labels, mixtures, quality, scoring, spatial, texture, training, validity, zonal
 from ..sources import fixtures as fx
 
 INDICES = tuple(RANGES)
@@ -247,7 +247,7 @@ _CONF = f"""{_KNEE}, c as (select parcel_id, mse, threshold, case when mse <= th
   p2 as (select parcel_id, mse, threshold, round_even(1 / (1 + exp(-a * (mse - threshold))) * 1e4, 0) / 1e4 as p from c)"""
 query("a18_kde", f"{_DENSITY} select * from e", "x density")(lambda s, d: scoring.kernel_density(fx.scores(s, d)))
 query("m11_knee", f"{_KNEE} select * from h", "threshold")(lambda s, d: scoring.knee(scoring.kernel_density(fx.scores(s, d))))
-query("m12_confidence", f"{_CONF} select * from p2", "mse threshold p")(lambda s, d: scoring.confidence(fx.scores(s, d), scoring.knee(scoring.kernel_density(fx.scores(s, d)))))
+query("m12_confidence", f"{_CONF} select * from p2", "mse threshold p")(lambda s, d: scoring.confidence(fx.scores(s, d), stored(scoring.knee(scoring.kernel_density(fx.scores(s, d))))))
 _AGRO = f"""with z as ({_stats(_DENSE)}), v as (select parcel_id, month, coalesce(NDVI_mean, 0.0) as ndvi, coalesce(NDVI_cv, 0.0) * 100 as glcm from z), m as (select parcel_id, max(case when month between 5 and 9 then ndvi end) as peak, max(case when month = 4 then ndvi end) as spring, stddev_pop(ndvi) as sd, avg(glcm) as tex from v group by parcel_id),
   f as (select *, coalesce(peak < 0.55, false) as abandoned, coalesce(spring >= 0.18 and sd < 0.20 and tex > (select avg(tex) from m), false) as orchard from m)"""
 
@@ -272,7 +272,7 @@ _ROUTE = f"""{_CONF}, v as (select cast(c_custkey as varchar) as parcel_id, c_cu
 
 @query("m14_p24_o01_routing", _ROUTE, "mse confidence")
 def routing(spark, d):
-    s = scoring.confidence(fx.scores(spark, d), scoring.knee(scoring.kernel_density(fx.scores(spark, d)))).join(_veto(spark, d), "parcel_id")
+    s = scoring.confidence(fx.scores(spark, d), stored(scoring.knee(scoring.kernel_density(fx.scores(spark, d))))).join(_veto(spark, d), "parcel_id")
     return scoring.route(s).select("parcel_id", "mse", "pool", "reason", "confidence").orderBy(F.desc_nulls_last("confidence"), "parcel_id")
 
 
@@ -393,6 +393,37 @@ _LBP = f"""with {_GRID.removeprefix("with ").partition("f as (select")[0].strip(
 query("a10_binary_patterns", _LBP, "LBP_Variance")(lambda s, d: texture.binary_patterns(_levels(s, d)))
 query("s18_geometry_types", f"select 'Polygon' as geom_type, count(*) as n from {_PARCELS}")(lambda s, d: _shapes(s, d).groupBy(spatial.geometry_type().alias("geom_type")).agg(F.count("*").alias("n")))
 
+_TENSOR = f"""with z as ({_stats(_DENSE)}), g as ({_GRID}), l as ({_LBP}), s as (select k.parcel_id, k.month, z.* exclude (parcel_id, month), g.* exclude (parcel_id, month), LBP_Variance, case when z.parcel_id is null then null when k.month = 4 then 0.0 else NDVI_mean - lag(NDVI_mean) over (partition by k.parcel_id order by k.month) end as delta_NDVI
+  from {_KEYS} k left join z using (parcel_id, month) left join g using (parcel_id, month) left join l using (parcel_id, month))
+  select parcel_id, month, [{", ".join(f"round_even(coalesce({f}, median({f}) over (partition by month), 0.0) * 1e6, 0) / 1e6 + 0.0" for f in FEATURES)}] as features from s"""
+
+
+def panel(spark, d):
+    """(parcel_id, month, FEATURES) on a full spine, nulls by the month's median; statistics, both textures and the NDVI change."""
+    z = zonal.delta_calendar(zonal.zonal_stats(dense(spark, d)), "NDVI_mean", MONTHS)
+    at = stored(_levels(spark, d))
+    both = texture.cooccurrence(at).join(texture.binary_patterns(at), ["parcel_id", "month"], "full")
+    full = zonal.spine(z.join(both, ["parcel_id", "month"], "left").select("parcel_id", "month", *FEATURES), MONTHS)
+    return zonal.impute_median(stored(full), FEATURES)
+
+
+@query("m25_full_tensor", _TENSOR)
+def full_tensor(spark, d):
+    return panel(spark, d).select("parcel_id", "month", F.array(*(F.rint(F.col(f) * 1e6) / 1e6 + 0.0 for f in FEATURES)).alias("features"))
+
+
+@query("m09_m10_trained_scan")
+def trained_scan(spark, d):
+    """Two nets learn to reconstruct the standardised panel of all 47 features, and the better one scores every parcel."""
+    t = zonal.tensor(panel(spark, d), FEATURES, MONTHS)
+    q = quality.quality(zonal.spine(zonal.zonal_stats(dense(spark, d)), MONTHS), MONTHS, dict.fromkeys(MONTHS, 1.0))
+    by_parcel = q.groupBy("parcel_id").agg(F.array(*(F.max(F.when(F.col("month") == m, F.col("quality"))) for m in MONTHS)).alias("q"))
+    both = stored(t.join(by_parcel, "parcel_id"))
+    scores = training.scaled(both, training.fit_scaler(both))
+    model = training.train(scores)
+    return training.scan(scores, model)
+
+
 _AT = lambda c, m: f"coalesce(max(case when month = {m} then {c} end), 0.0)"
 _EACH = lambda c: ", ".join(_AT(c, m) for m in MONTHS)
 _M18 = f"""with z as ({_stats(_DENSE)}), t as ({_GRID}), p as (select parcel_id, month, NDVI_mean as ndvi, GLCM_Contrast as tex, NDVI_valid_ratio as q from z left join t using (parcel_id, month)),

@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldloom.operators import boosting, mixtures
+from fieldloom.operators import boosting, mixtures, training
+from fieldloom.sources import models
 
 
 # --- boosted trees
@@ -215,3 +216,96 @@ def test_mixture_odd_tables(spark):
 def test_bic_counts_parameters(k):
     m = mixtures.Mixture(np.full(k, 1 / k), np.zeros((k, 3)), np.stack([np.eye(3)] * k), bound=-1.5)
     assert m.bic(10) == (k - 1 + 3 * k + 6 * k) * math.log(10) + 30
+
+
+# --- training
+def some_panel(spark, n=40, months=3, features=4, seed=5):
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=(n, 2)) @ rng.normal(size=(2, months * features))
+    x = (base + 0.1 * rng.normal(size=base.shape)).reshape(n, months, features)
+    q = rng.uniform(0.1, 1, (n, months))
+    return x, q, spark.createDataFrame([(f"p{i}", x[i].tolist(), [None if v < 0.15 else float(v) for v in q[i]]) for i in range(n)], "parcel_id string, t array<array<double>>, q array<double>")
+
+
+def test_gradient_equals_finite_differences():
+    rng = np.random.default_rng(1)
+    net, x = training.Net.fresh(6, 3, 1), rng.normal(size=(5, 6))
+    weight = np.where(rng.random((5, 6)) < 0.5, rng.random((5, 6)), 0.0)
+    weight[4] = 0.0  # nothing hidden
+    chosen = np.array([0, 2, 4])
+    got, flat = training.gradient(net, x, weight, chosen), net.flat()
+    loss = lambda v: training.losses(net.filled(v), x, weight)[0][chosen].mean()
+    for i in range(len(flat)):
+        step = np.zeros(len(flat))
+        step[i] = 1e-5
+        assert math.isclose(got[i], (loss(flat + step) - loss(flat - step)) / 2e-5, rel_tol=1e-4, abs_tol=1e-7)
+
+
+def test_nets_learn_from_what_the_other_finds_easy():
+    rng = np.random.default_rng(2)
+    a, b, x = training.Net.fresh(6, 3, 1), training.Net.fresh(6, 3, 2), rng.normal(size=(10, 6))
+    weight = np.ones((10, 6))
+    ga, gb, la, lb = training.exchange(a, b, x, weight, 0.35)
+    loss_a, loss_b = training.losses(a, x, weight)[0], training.losses(b, x, weight)[0]
+    assert math.isclose(la, loss_a[np.argsort(loss_b)[:6]].mean()) and math.isclose(lb, loss_b[np.argsort(loss_a)[:6]].mean())
+    assert np.allclose(ga, training.gradient(a, x, weight, np.argsort(loss_b)[:6])) and np.allclose(gb, training.gradient(b, x, weight, np.argsort(loss_a)[:6]))
+
+
+def test_hidden_months(spark):
+    df = spark.range(200).select(F.col("id").cast("string").alias("p"))
+    of = lambda d, **k: {r["p"]: r["m"] for r in d.select("p", training.hidden_months(F.col("p"), 7, k.get("ratio", 0.25), k.get("seed", 42), k.get("epoch", 0)).alias("m")).collect()}
+    got = of(df)
+    assert all(len(m) == 1 for m in got.values()) and {m[0] for m in got.values()} == set(range(7))
+    assert got == of(df.repartition(9)) != of(df, epoch=1) and got != of(df, seed=1)
+    assert all(len(set(m)) == 3 for m in of(df, ratio=0.5).values()) and set(map(tuple, of(df, ratio=0.0).values())) == {()}
+
+
+def test_scaler(spark):
+    x, _, df = some_panel(spark)
+    odd = df.unionByName(spark.createDataFrame([("odd", [[None, float("nan"), float("inf"), 1.0]] * 3, [1.0] * 3)], df.schema))
+    whole = np.concatenate([x.reshape(-1, 4), [[0, 0, 0, 1]] * 3])
+    s = {r["feature"]: r for r in training.fit_scaler(odd).collect()}
+    assert all(math.isclose(s[i]["mean"], whole[:, i].mean(), abs_tol=1e-12) and math.isclose(s[i]["std"], whole[:, i].std()) for i in range(4))
+    back = {r["parcel_id"]: np.array(r["t"]) for r in training.scaled(odd, training.fit_scaler(odd)).collect()}
+    assert np.allclose(back["p3"], (x[3] - whole.mean(0)) / whole.std(0)) and np.isfinite(back["odd"]).all()
+    flat = df.withColumn("t", F.array(F.array(F.lit(2.0))))
+    assert training.fit_scaler(flat).collect()[0]["std"] == 1e-8
+
+
+def test_training_and_saved_models(spark, tmp_path):
+    x, q, df = some_panel(spark)
+    p = training.Training(epochs=25, batch=16, hidden=3, gradual=10)
+    model = training.train(df, p)
+    assert model.losses[-1][0] < 0.7 * model.losses[0][0] and model.losses[-1][1] < 0.7 * model.losses[0][1]
+    again = training.train(df.repartition(5), p)
+    assert np.allclose(again.net.flat(), model.net.flat(), atol=1e-6)
+
+    # scores by hand, with one feature hidden
+    got = {r["parcel_id"]: r for r in training.scan(df, model, zeroed=(3, 4)).collect()}
+    clipped = np.where(q < 0.15, 1.0, q)
+    seen = x.copy()
+    seen[:, :, 3] = 0
+    y = model.net.decoded(model.net.encoded(seen.reshape(len(x), -1))).reshape(x.shape)
+    for i in range(len(x)):
+        want = (((y - x) ** 2)[i] * clipped[i][:, None]).sum() / (clipped[i].sum() * 4 + 1e-8)
+        assert math.isclose(got[f"p{i}"]["mse"], want, rel_tol=1e-9) and got[f"p{i}"]["low_quality_months"] == (clipped[i] < 0.5).sum()
+
+    path = str(tmp_path / "model")
+    with pytest.raises(FileNotFoundError):
+        models.load(spark, path, "net")
+    scaler = training.fit_scaler(df)
+    assert models.save({"net": training.as_table(spark, model), "scaler": scaler}, path) == 1
+    assert models.save({"net": training.as_table(spark, training.train(df, training.Training(epochs=1, batch=16, hidden=3))), "scaler": scaler}, path) == 2
+    assert models.versions(spark, path) == [1, 2] and sorted(p.name for p in (tmp_path / "model").iterdir() if not p.name.endswith(".crc")) == ["v1", "v2"]
+    back = training.from_table(models.load(spark, path, "net", version=1))
+    assert sorted(training.scan(df, back).collect()) == sorted(training.scan(df, model).collect())
+    assert sorted(models.load(spark, path, "scaler").collect()) == sorted(scaler.collect())
+    with pytest.raises(FileNotFoundError):
+        models.load(spark, path, "net", version=7)
+
+
+def test_training_of_nothing(spark):
+    *_, df = some_panel(spark)
+    assert training.train(df.where("false")) is None
+    one = training.train(df.limit(1), training.Training(epochs=2))
+    assert training.scan(df.where("false"), one).count() == 0 and len(one.losses) == 2

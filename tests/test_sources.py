@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from fieldloom.operators import spatial
-from fieldloom.sources import shapefile, storage
+from fieldloom.sources import raster, shapefile, storage
 
 RING = [(0.0, 0.0), (0.0, 10.0), (10.0, 10.0), (0.0, 0.0)]
 
@@ -90,3 +90,60 @@ def test_files_are_found(tmp_path):
     assert storage.listed(f"file://{tmp_path}/a", ".shp")[0][0] == f"file://{tmp_path}/a/x.shp"
     with pytest.raises(FileNotFoundError):
         storage.listed(f"{tmp_path}/none", ".shp")
+
+
+# --- scenes and tiles
+@pytest.fixture(scope="module")
+def scenes(spark, tmp_path_factory):
+    raster.register(spark)
+    top = tmp_path_factory.mktemp("scenes")
+    rng, cubes = np.random.default_rng(1), {}
+    for m in (4, 10):
+        cube = rng.integers(0, 5000, (4, 37, 11)).astype("<u2")
+        cube[:, 3, 4] = 0
+        (top / f"out_{m}").mkdir()
+        cube.tofile(top / f"out_{m}" / "s.dat")
+        cubes[m] = cube
+    return str(top), cubes
+
+
+def test_scenes_by_windows(spark, scenes):
+    path, cubes = scenes
+    df = spark.read.format("scene").option("width", 11).option("rows", 10).load(path)
+    assert df.rdd.getNumPartitions() == 8
+    for m, cube in cubes.items():
+        rows = df.where(f"month = {m}").orderBy("y", "x").collect()
+        assert len(rows) == 37 * 11 and all((r["blue"], r["nir"]) == ((None, None) if (r["y"], r["x"]) == (3, 4) else (float(cube[0, r["y"], r["x"]]), float(cube[3, r["y"], r["x"]]))) for r in rows)
+    assert spark.read.format("scene").option("width", 11).option("masked", "false").load(path).where("blue is null").count() == 0
+
+
+@pytest.mark.parametrize(("where", "windows", "rows"), [("month = 4", 4, 407), ("month in (4, 5)", 4, 407), ("month > 4", 4, 407), ("y >= 30", 2, 154), ("month = 10 and y = 12", 1, 11), ("y in (1, 35) and month < 5", 2, 22), ("month = 1", 1, 0), ("month <> 4", 8, 407)])
+def test_windows_are_pruned(spark, scenes, where, windows, rows):
+    df = spark.read.format("scene").option("width", 11).option("rows", 10).load(scenes[0]).where(where)
+    assert df.rdd.getNumPartitions() == windows and df.count() == rows
+
+
+def test_scene_of_another_width_is_an_error(spark, scenes):
+    with pytest.raises(Exception, match="no rows of 4 bands"):
+        spark.read.format("scene").option("width", 13).load(scenes[0]).count()
+
+
+def test_month_of_a_path():
+    assert [raster.month_of(p) for p in ("/a/out_1/x.dat", "/a/out_10/x.dat", "/out_4/b/out_7.dat", "/a/layout_3/x", "/a/b")] == [1, 10, 7, None, None]
+
+
+def test_tiles_round_trip_and_failures(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    cells = [(m, y, x, float(np.float32(rng.normal())), None if (x + y) % 7 == 0 else float(np.float32(rng.normal()))) for m in (4, 5, 6) for y in range(45) for x in range(23) if (y, x) != (3, 3) and not (m == 5 and y < 20)]
+    df = spark.createDataFrame(cells, "month int, y int, x int, NDVI double, EVI double").repartition(5)
+    (tmp_path / "m6.tif").mkdir()  # a folder in the way of one file
+    (tmp_path / "m6.tif" / "x").write_bytes(b"")
+    said = {r["path"].rsplit("/")[-1]: (r["ok"], r["error"]) for r in raster.write_tiles(df, "month", ["NDVI", "EVI"], str(tmp_path), "m{}.tif", tile=16).collect()}
+    assert said["m4.tif"] == said["m5.tif"] == (True, None) and said["m6.tif"][0] is False and said["m6.tif"][1]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["m4.tif", "m5.tif", "m6.tif"]
+    (tmp_path / "m6.tif" / "x").unlink()
+    (tmp_path / "m6.tif").rmdir()
+    got = {(r["path"][-6:-4], r["y"], r["x"]): (r["NDVI"], r["EVI"]) for r in raster.read_tiles(spark, str(tmp_path), ["NDVI", "EVI"]).collect()}
+    assert got == {(f"m{m}", y, x): (a, b) for m, y, x, a, b in cells if m != 6}
+    tags = raster.read_directory(str(tmp_path / "m4.tif"))
+    assert (tags[256][0], tags[257][0], len(tags[324])) == (23, 45, 12)
