@@ -23,6 +23,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import chain
 from pathlib import Path
 
@@ -40,7 +41,7 @@ RESULTS = ("start", "length", "ids", "doc_tokens", "sequence_id", "offset")
 #: Rounds of the active set, and the combinations that one round adds.
 ROUNDS, ADDED = 32, 32
 #: Rows of a batch of texts, whose bytes are bounded as well: a batch looks each of its distinct words up once.
-ROWS = 8_192
+ROWS = 4_096
 #: Bits of a rank in the key of a place.
 RANK = 45
 
@@ -54,7 +55,7 @@ class Words:
     """Ids of words by a tokenizer. If the file lower-cases and cuts by `PIECES`, words of printable ASCII are cut so here, and the
     library's merges alone encode the pieces; words that may hold a special token, and all others, go through it as they are."""
 
-    def __init__(self, tokenizer, remembered: int = 200_000):
+    def __init__(self, tokenizer, remembered: int = 300_000):
         self.tokenizer, self.remembered = tokenizer, remembered
         spec = json.loads(tokenizer.to_str())
         lower = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
@@ -91,6 +92,15 @@ class Words:
         return out
 
 
+@lru_cache(maxsize=2)
+def known_words(file: str) -> tuple[Chunks, type]:
+    """The words that a worker process has met, kept for its later tasks, and the type of the file's ids."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_str(file)
+    return Chunks(Words(tokenizer)), np.uint16 if tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+
+
 def combinations(present: np.ndarray, window: int) -> np.ndarray:
     """Rows of three lengths, longest first and 0 for none, that fill the window: all of one, two and three that are present."""
     has = np.zeros(window + 1, bool)
@@ -271,11 +281,9 @@ def pack(df: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = 1
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_str(file.value)
-        wide = np.uint16 if max(tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else np.uint32
-        chunks = Chunks(Words(tokenizer))
+        chunks, wide = known_words(file.value)
+        if end_id >= 1 << 16:
+            wide = np.uint32
         part, seen = TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
         for batch in batches:
             ((found, n),) = chunks(batch.column("words"))
