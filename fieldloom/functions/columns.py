@@ -77,3 +77,35 @@ def by_prefix(columns: Iterable[str], prefix: str) -> list[str]:
     """Columns `{prefix}_M{month}`, in order of month."""
     found = [(int(m[1]), c) for c in columns if (m := re.fullmatch(re.escape(prefix) + r"_M(\d+)", c))]
     return [c for _, c in sorted(found)]
+
+
+def without_conflicts(df: DataFrame, names: Iterable[str]) -> DataFrame:
+    """df without columns of these names, in any case: a join then brings in its own."""
+    gone = {n.lower() for n in names}
+    return df.drop(*(F.col(f"`{c}`") for c in df.columns if c.lower() in gone))
+
+
+def fill_by_type(df: DataFrame, number: float = -9999, text: str = "", keep: Iterable[str] = ("geometry",)) -> DataFrame:
+    """Nulls, and numbers that are none, become the number in numeric columns and the text in text columns; others stay null."""
+    def filled(name: str, kind: str) -> Column:
+        c = F.col(f"`{name}`")
+        if name in keep or kind not in ("string", "tinyint", "smallint", "int", "bigint", "float", "double") and not kind.startswith("decimal"):
+            return c
+        if kind in ("float", "double"):
+            c = F.when(~F.isnan(c), c)
+        return F.coalesce(c, F.lit(text) if kind == "string" else F.lit(number).cast(kind)).alias(name)
+
+    return df.select(*(filled(c, k) for c, k in df.dtypes))
+
+
+def export_join(layer: DataFrame, ledger: DataFrame, names: Mapping[str, str], keep: Iterable[str], key: str = "parcel_id") -> DataFrame:
+    """A layer with what a ledger says of its parcels, for a shapefile: keys of both are cleaned, columns of the layer that the
+    ledger brings too are dropped, short names given, columns in `keep` that are there kept in that order, and nulls filled by type.
+
+    The layer's key column is found by its name. Parcels that the ledger lacks go; a key that a side repeats comes as often."""
+    own = key_column(layer.columns, GIS_KEYS)
+    left = layer.withColumnRenamed(own, key) if own != key else layer
+    brought = [c for c in ledger.columns if c != key]
+    left = without_conflicts(left, brought).withColumn(key, clean_id(F.col(key)))
+    joined = left.join(require(ledger, [key]).withColumn(key, clean_id(F.col(key))), key).withColumnsRenamed(dict(names))
+    return fill_by_type(joined.select(*(c for c in keep if c in joined.columns)))

@@ -237,6 +237,18 @@ query("j12_p12_label_merge", f"select coalesce(g.parcel_id, p.parcel_id) as parc
 query("p10_p23_pseudo_labels", "select cast(c_custkey as varchar) as parcel_id, case when c_mktsegment like '%AUTO%' then 1 when c_mktsegment like '%BUILD%' then 2 else 0 end::integer as label from customer where c_acctbal > 5000")(lambda s, d: labels.pseudo_labels(fx.read(s, d, "customer").select(F.col("c_custkey").cast("string").alias("parcel_id"), F.when(F.contains("c_mktsegment", F.lit("AUTO")), "果树与林地").when(F.contains("c_mktsegment", F.lit("BUILD")), "撂荒与裸地").otherwise("经济作物").alias("semantic"), F.when(F.col("c_acctbal") > 5000, 0.99).otherwise(0.5).alias("confidence"))))
 query("u03_w05_union_distinct", f"select distinct parcel_id from (select parcel_id from {_PSEUDO} union all select parcel_id from {_GOLD})")(lambda s, d: zonal.keep_first(fx.labels(s, d).where("label < 3").select("parcel_id", F.lit(0).alias("o")).union(fx.labels(s, d).where("label >= 2").select("parcel_id", F.lit(1))), ["parcel_id"], ["o"]).select("parcel_id"))
 
+_MORE = "(select ' ' || s_suppkey::varchar || '.0' as parcel_id, case when s_suppkey % 3 = 0 then null else s_name end as XGB_Semantic, case when s_suppkey % 5 = 0 then null else s_acctbal::double end as XGB_Confidence from supplier where s_suppkey % 2 = 0)"
+
+
+@query("p14_p19_export_join", f"select p.parcel_id, coalesce(m.XGB_Semantic, '') as xgb_sem, coalesce(m.XGB_Confidence, -9999.0) as xgb_conf, p.g10_cls_id from {_PARCELS} p join (select * replace (trim(regexp_replace(parcel_id, '\\.0$', '')) as parcel_id) from {_MORE}) m using (parcel_id)", "xgb_conf")
+def export(spark, d):
+    """Parcels with their class by an export join: the layer's own columns of these names give way, ids are cleaned on both sides."""
+    k = F.col("s_suppkey")
+    layer = fx.parcels(spark, d).withColumnRenamed("parcel_id", "DKM").withColumns({"xgb_semantic": F.lit("old"), "XGB_Confidence": F.lit(1)}).select("g10_cls_id", "xgb_semantic", "XGB_Confidence", "DKM")
+    ledger = fx.read(spark, d, "supplier").where(k % 2 == 0).select(F.concat(F.lit(" "), k.cast("string"), F.lit(".0")).alias("parcel_id"), F.when(k % 3 != 0, F.col("s_name")).alias("XGB_Semantic"), F.when(k % 5 != 0, F.col("s_acctbal").cast("double")).alias("XGB_Confidence"))
+    return C.export_join(layer, ledger, {"XGB_Semantic": "xgb_sem", "XGB_Confidence": "xgb_conf"}, ["parcel_id", "xgb_sem", "xgb_conf", "none", "g10_cls_id"])
+
+
 # --- scores -----------------------------------------------------------------------------------------------------------
 _MSE = "(select cast(c_custkey as varchar) as parcel_id, exp(c_acctbal::double / 4000) / 10 as mse from customer)"
 _DENSITY = f"""with s as {_MSE}, b as (select mse from s where mse < (select quantile_cont(mse, 0.98) from s)), t as (select min(mse) as lo, max(mse) as hi, stddev_samp(mse) * count(*) ^ -0.2 as w, count(*) as n from b),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterable, Iterator
 
@@ -138,3 +139,44 @@ def missing_months(spark: SparkSession, path: str, months: Iterable[int]) -> lis
             raise
         have = set()
     return [m for m in months if m not in have]
+
+
+def find_months(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """(month, path, bytes) of the files under path named {name}{month}.csv, by number: out_4 comes before out_10. Empty files and
+    names whose rest isn't a number are left out. Files are listed, not read."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", f"{name}*.csv").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    digits = F.regexp_extract("path", re.escape(name) + r"([0-9]+)\.csv$", 1)
+    found = listed.where((digits != "") & (F.col("length") > 0))
+    return found.select(digits.cast("int").alias("month"), "path", F.col("length").alias("bytes")).orderBy("month", "path")
+
+
+def typed(df: DataFrame, keep: Iterable[str] = ("parcel_id",)) -> DataFrame:
+    """A table of texts with the narrowest type that holds each column: boolean, long, double, else text; a column without values is
+    text. Blanks are null. One aggregate over all columns; columns in `keep` stay text."""
+    names = [c for c in df.columns if c not in set(keep)]
+    if not names:
+        return df
+    clean = lambda c: F.nullif(F.trim(F.col(f"`{c}`")), F.lit(""))
+    fits = {"boolean": lambda v: F.lower(v).isin("true", "false"), "bigint": lambda v: v.rlike(r"^[+-]?[0-9]+$") & v.try_cast("bigint").isNotNull(), "double": lambda v: v.try_cast("double").isNotNull()}
+    counts = df.agg(*(F.count(clean(c)).alias(f"n{i}") for i, c in enumerate(names)), *(F.count_if(F.coalesce(f(clean(c)), F.lit(False))).alias(f"{k}{i}") for i, c in enumerate(names) for k, f in fits.items())).first()
+    kinds = {c: next((k for k in fits if counts[f"n{i}"] and counts[f"{k}{i}"] == counts[f"n{i}"]), "string") for i, c in enumerate(names)}
+    return df.select(*((clean(c).cast(kinds[c]) if kinds[c] != "string" else clean(c)).alias(c) if c in kinds else F.col(f"`{c}`") for c in df.columns))
+
+
+def read_typed(spark: SparkSession, path: str, keep: Iterable[str] = ("parcel_id",)) -> DataFrame:
+    """A ledger with inferred types."""
+    return typed(read_ledger(spark, path), keep)
+
+
+def read_months(spark: SparkSession, path: str, name: str, keep: Iterable[str] = ("parcel_id",)) -> DataFrame:
+    """The ledgers of all months that `find_months` finds, by column name: (month, ...) with types over all of them. A column that
+    a month lacks is null there. FileNotFoundError without any."""
+    months = find_months(spark, path, name).collect()  # a row for each file
+    if not months:
+        raise FileNotFoundError(f"no {name}*.csv with rows in {path}")
+    parts = [read_ledger(spark, r["path"]).withColumn("month", F.lit(r["month"])) for r in months]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p, allowMissingColumns=True)
+    rest = [c for c in whole.columns if c != "month"]
+    return typed(whole, [*keep, "month"]).select("month", *(F.col(f"`{c}`") for c in rest))

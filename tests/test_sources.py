@@ -147,3 +147,43 @@ def test_tiles_round_trip_and_failures(spark, tmp_path):
     assert got == {(f"m{m}", y, x): (a, b) for m, y, x, a, b in cells if m != 6}
     tags = raster.read_directory(str(tmp_path / "m4.tif"))
     assert (tags[256][0], tags[257][0], len(tags[324])) == (23, 45, 12)
+
+
+# --- ledgers
+def test_months_and_types(spark, tmp_path):
+    from fieldloom.sources import files
+
+    texts = {"out_4": "parcel_id,a,b,c,d,e\n007,1,true,x,1.5,\n12.0,,FALSE,2,3,\n", "out_10": "parcel_id,a,f,b\n9,99999999999999999999,1e3,\n8,3, 4 ,true\n", "out_5": "", "out_x": "parcel_id\n1\n", "out_7": "parcel_id,a\n"}
+    for m, text in texts.items():
+        (tmp_path / f"F_{m}.csv").write_text(text)
+    found = files.find_months(spark, str(tmp_path), "F_out_").collect()
+    assert [r["month"] for r in found] == [4, 7, 10]
+    df = files.read_months(spark, str(tmp_path), "F_out_")
+    assert dict(df.dtypes) == {"month": "int", "parcel_id": "string", "a": "double", "b": "boolean", "c": "string", "d": "double", "e": "string", "f": "double"}
+    rows = {r["parcel_id"]: r for r in df.collect()}
+    assert rows.keys() == {"007", "12.0", "9", "8"} and rows["8"]["f"] == 4.0 and rows["12.0"]["a"] is None and rows["12.0"]["b"] is False and rows["9"]["month"] == 10
+    four = files.read_typed(spark, str(tmp_path / "F_out_4.csv"))
+    assert dict(four.dtypes)["a"] == "bigint" and four.columns == ["parcel_id", "a", "b", "c", "d", "e"]
+    with pytest.raises(FileNotFoundError):
+        files.read_months(spark, str(tmp_path), "F_none_")
+
+
+def test_export_join_and_fill(spark):
+    from fieldloom.functions import columns as C
+
+    layer = spark.createDataFrame([(1, "old", " 7.0", b"g"), (2, "old", "8", None)], "area int, Reason string, DKM string, geometry binary")
+    ledger = spark.createDataFrame([("7", "r", float("nan")), ("8.0", None, 0.5), ("9", "z", 1.0)], "parcel_id string, REASON string, Margin double")
+    out = C.export_join(layer, ledger, {"REASON": "why", "Margin": "margin"}, ["parcel_id", "why", "margin", "geometry"])
+    assert sorted(map(tuple, out.collect())) == [("7", "r", -9999.0, b"g"), ("8", "", 0.5, None)]
+    with pytest.raises(ValueError):
+        C.export_join(layer, ledger.drop("parcel_id"), {}, ["parcel_id"])
+
+
+def test_config_paths(tmp_path):
+    from fieldloom.sources.config import Config
+
+    (tmp_path / "c.toml").write_text('[paths]\ndate_out_dir = "o"\nparcel_shp = "/abs/p.shp"\ndate_out_non_agri_dir = "n"\n')
+    c = Config.load(str(tmp_path / "c.toml"))
+    assert c.split_report("r.csv") == tmp_path / "o/split_reports/r.csv" and str(c.parcel_shp) == "/abs/p.shp" and c.date_out_non_agri("a", "b") == tmp_path / "n/a/b"
+    with pytest.raises(AttributeError):
+        c.agri_parcels_shp  # noqa: B018
