@@ -26,14 +26,17 @@ from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
 from pathlib import Path
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .alignment import byte_symbols
 from .chunks import Chunks, expand
 from .common import batches_of, stored
 
@@ -49,10 +52,12 @@ RANK = 45
 #: A pattern by which tokenizer files of this kind cut lower-cased text, and what it says of ASCII without white space.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 ASCII_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+"
+#: Characters of Latin, Greek and Cyrillic words whose lower case is one character that doesn't depend on its neighbours.
+EASY = r" -~\xa0-\u012f\u0131-\u02ff\u0370-\u03a2\u03a4-\u0482\u048a-\u052f"
 
 
 class Words:
-    """Ids of words by a tokenizer. If the file lower-cases and cuts by `PIECES`, words of printable ASCII are cut so here, and the
+    """Ids of words by a tokenizer. If the file lower-cases and cuts by `PIECES`, words of `EASY` characters are cut so here, and the
     library's merges alone encode the pieces; words that may hold a special token, and all others, go through it as they are."""
 
     def __init__(self, tokenizer, remembered: int = 300_000):
@@ -60,31 +65,40 @@ class Words:
         spec = json.loads(tokenizer.to_str())
         lower = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
         cut = ((spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
-        plain = lower == ["NFC", "Replace", "Lowercase"] and cut.get("type") == "Split" and cut["invert"] and cut["pattern"].get("Regex") == PIECES
-        self.pieces = re.compile(ASCII_PIECES).findall if plain else None
+        self.plain = lower == ["NFC", "Replace", "Lowercase"] and cut.get("type") == "Split" and cut["invert"] and cut["pattern"].get("Regex") == PIECES
+        self.ascii, self.all = re.compile(ASCII_PIECES).findall, regex.compile(PIECES).findall
         marks = {re.escape(t.content[0]) for t in tokenizer.get_added_tokens_decoder().values()}
-        self.odd = re.compile("|".join(["[^ -~]", *sorted(marks)])).search
+        self.plain = self.plain and not any(m.isalpha() for m in marks)
+        self.odd = re.compile("|".join([f"[^{EASY}]", *sorted(marks)])).search
+        self.symbols = {b: ord(c) for c, b in byte_symbols().items()}
         self.known: dict[str, list[int]] = {}
 
     def encode(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def __call__(self, words: list[str]) -> list[list[int]]:
-        if not self.pieces:
+        if not self.plain:
             return self.encode(words)
-        known, merge, odd = self.known, self.tokenizer.model.tokenize, self.odd
+        known, merge, odd, symbols = self.known, self.tokenizer.model.tokenize, self.odd, self.symbols
         if len(known) > self.remembered:
             known.clear()
         out: list = [None] * len(words)
         whole = []
         for k, w in enumerate(words):
-            if odd(w):
+            simple = w.isascii()
+            if simple and w.isalpha():  # one piece, and no special token
+                p = w.lower()
+                if (ids := known.get(p)) is None:
+                    ids = known[p] = [t.id for t in merge(p)]
+                out[k] = ids
+                continue
+            if odd(w) or not (simple or is_normalized("NFC", w)):
                 whole.append(k)
                 continue
             found = []
-            for p in self.pieces(w.lower()):
+            for p in self.ascii(w.lower()) if simple else self.all(w.lower()):
                 if (ids := known.get(p)) is None:
-                    ids = known[p] = [t.id for t in merge(p)]
+                    ids = known[p] = [t.id for t in merge(p if simple or p.isascii() else p.encode().decode("latin-1").translate(symbols))]
                 found.append(ids)
             out[k] = found[0] if len(found) == 1 else [*chain.from_iterable(found)]
         for k, ids in zip(whole, self.encode([words[k] for k in whole]), strict=True):

@@ -217,6 +217,15 @@ def test_op13(spark):
     assert got == {(r["doc_id"], r["start"]): (r["length"], zlib.crc32(r["ids"]), r["doc_tokens"]) for r in rows}
 
 
+def test_words_are_the_library_s():
+    t, rng = Tokenizer.from_file(WORDS), np.random.default_rng(8)
+    letters = [chr(c) for c in (*range(33, 127), *range(0x80, 0x530), 0x1E9E, 0x2019, 0x20AC, 0x3042, 0x4E2D, 0xFB01, 0x1F600)]
+    words = ["".join(rng.choice(letters, rng.integers(1, 9))) for _ in range(20_000)] + ["ΣΑΣ", "İx", "e\u0301", "\u0374\u037e", "<|endoftext|>", "a<|endoftext|>b", "I'LL'S", "x\xa0y", "\x85", "½²", "'sé's", ""]
+    found = packing.Words(t)
+    assert found.plain and found(words) == [e.ids for e in t.encode_batch_fast(words, add_special_tokens=False)]
+    assert packing.Words(Tokenizer.from_file(A)).plain is False
+
+
 def test_combinations_are_all():
     want = {(a, b, c) for a in range(21) for b in range(a + 1) for c in range(b + 1) if a + b + c == 20}
     assert set(map(tuple, packing.combinations(np.arange(1, 21), 20).tolist())) == want
