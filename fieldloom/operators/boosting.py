@@ -53,12 +53,13 @@ class Trees:
 
 
 # --- trees as column expressions --------------------------------------------------------------------------------------
-def _literal(values: np.ndarray, kind: str) -> Column:
-    return F.split(F.lit(",".join(map(repr, values.ravel().tolist()))), ",").cast(f"array<{kind}>")
+def _literal(values: np.ndarray, kind: str) -> str:
+    """SQL: an array. It comes as one text, which is folded into a literal, so plans stay small and compiled code is used again."""
+    return f"cast(split('{','.join(map(repr, values.ravel().tolist()))}', ',') as array<{kind}>)"
 
 
-def _with_trees(df: DataFrame, t: Trees) -> DataFrame:
-    return df.withColumns({"_split": _literal(t.split, "int"), "_cut": _literal(t.cut, "double"), "_miss": _literal(t.missing_right.astype(int), "int"), "_value": _literal(t.value, "double")})
+def _with_trees(df: DataFrame, t: Trees, *more: str) -> DataFrame:
+    return df.selectExpr("*", f"{_literal(t.split, 'int')} as _split", f"{_literal(t.cut, 'double')} as _cut", f"{_literal(t.missing_right.astype(int), 'int')} as _miss", f"{_literal(t.value, 'double')} as _value", *more)
 
 
 def _walk(base: str, steps: int) -> str:
@@ -97,7 +98,7 @@ def _cuts(data: DataFrame, n_features: int, bins: int) -> list[np.ndarray]:
 
 def _bin(x: Column, cuts: np.ndarray) -> Column:
     """0 for null, else 1 and one more for each cut up to x."""
-    reached = F.size(F.filter(_literal(cuts, "double"), lambda c: c <= x)) if len(cuts) else F.lit(0)
+    reached = F.size(F.filter(F.expr(_literal(cuts, "double")), lambda c: c <= x)) if len(cuts) else F.lit(0)
     return F.when(x.isNull(), 0).otherwise(1 + reached)
 
 
@@ -120,6 +121,8 @@ def _best(g: np.ndarray, h: np.ndarray, p: Boosting) -> tuple[int, int, bool, np
     return int(f), int(b) + 2, side == 0, np.stack([left[side, :, f, b], right[side, :, f, b]])
 
 
+#: Rows of a task in training.
+ROWS = 50_000
 #: Gradients are whole numbers of 2 ** -_BITS: sums of 2 ** 29 weighted rows of weight 1 fit into a long.
 _BITS = 32
 
@@ -136,7 +139,8 @@ def _fit(rows: DataFrame, features: tuple[str, ...], label: str, weight: str, cl
     cuts = _cuts(data, n, p.bins)
     width = max((len(c) for c in cuts), default=0) + 2
     bins = F.array(*(_bin(F.col("x")[i], c) for i, c in enumerate(cuts)))
-    data = stored(data.withColumn("bins", bins).withColumn("m", F.array_repeat(F.lit(0.0), classes)))
+    parts = -(-data.count() // ROWS)
+    data = stored(data.withColumn("bins", bins).withColumn("m", F.array_repeat(F.lit(0.0), classes)).repartition(max(1, parts)))
     made: list[tuple[np.ndarray, ...]] = []
     done = 0
 
@@ -148,7 +152,7 @@ def _fit(rows: DataFrame, features: tuple[str, ...], label: str, weight: str, cl
 
     def with_margins(df: DataFrame) -> DataFrame:
         new = trees(made[done:])
-        return _with_trees(df, new).withColumn("m", F.expr(_margins(new.shape, "m"))).drop("_split", "_cut", "_miss", "_value")
+        return _with_trees(df, new).selectExpr("x", "y", "w", "bins", f"{_margins(new.shape, 'm')} as m") if len(new.split) else df
 
     for r in range(p.rounds):
         if r - done == p.store_every:
@@ -197,9 +201,9 @@ def _histograms(data: DataFrame, now: Trees, level: int, nodes: list[tuple[int,
     cell = f"""named_struct('slot', get(_slot, k * {size} + {_walk(f'k * {size}', level)}),
       'g', cast(rint(({chance} - if(y = k, 1, 0)) * w * {scale}) as bigint),
       'h', cast(rint(greatest(2 * {chance} * (1 - {chance}), 1e-16) * w * {scale}) as bigint))"""
-    soft = data.withColumn("e", F.expr("transform(m, z -> exp(z - array_max(m)))")).withColumn("total", F.expr("aggregate(e, 0D, (s, z) -> s + z)"))
-    each = _with_trees(soft, now).withColumn("_slot", _literal(slot, "int")).select(F.explode(F.expr(f"transform(sequence(0, {classes - 1}), k -> {cell})")).alias("c"), "bins")
-    cells = each.select("c.*", F.posexplode("bins").alias("f", "b")).where("slot >= 0")
+    soft = data.selectExpr("x", "y", "w", "bins", "transform(m, z -> exp(z - array_max(m))) as e").selectExpr("*", "aggregate(e, 0D, (s, z) -> s + z) as total")
+    each = _with_trees(soft, now, f"{_literal(slot, 'int')} as _slot").selectExpr(f"explode(transform(sequence(0, {classes - 1}), k -> {cell})) as c", "bins")
+    cells = each.where("c.slot >= 0").selectExpr("c.slot", "c.g", "c.h", "posexplode(bins) as (f, b)")
     found = cells.groupBy("slot", "f", "b").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()  # by node, feature and bin
     g, h = np.zeros((2, len(nodes), n_features, width), np.int64)
     at = tuple(found.column(c).to_numpy() for c in ("slot", "f", "b"))

@@ -43,6 +43,18 @@ def kernel_density(scores: DataFrame, points: int = 500) -> DataFrame:
     return grid.groupBy("k").agg(F.first(x).alias("x"), (F.sum(F.exp(-0.5 * u * u)) / F.first(width * F.col("n")) / 2.5066282746310002).alias("density"))
 
 
+def histogram(scores: DataFrame, bins: int = 100) -> DataFrame:
+    """(bin, lo, hi, n) of mse up to its 98th percentile, in even bins between the least and the greatest; the last one holds its upper
+    edge. If all values are equal they are in the first."""
+    kept = scores.crossJoin(F.broadcast(quantile(scores, "mse", 0.98, "p98"))).where("mse <= p98").select("mse")
+    ends = kept.agg(F.min("mse").alias("a"), F.max("mse").alias("b")).where("a is not null")  # a single row
+    cell = F.coalesce(F.least(F.floor((F.col("mse") - F.col("a")) / F.nullif(F.col("b") - F.col("a"), F.lit(0.0)) * bins), F.lit(bins - 1)), F.lit(0)).cast("int")
+    counts = kept.crossJoin(F.broadcast(ends)).groupBy(cell.alias("bin")).agg(F.count("*").alias("n"))
+    edges = ends.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    edge = lambda k: F.col("a") + (F.col("b") - F.col("a")) * k / bins
+    return edges.join(counts, "bin", "left").select("bin", edge(F.col("bin")).alias("lo"), edge(F.col("bin") + 1).alias("hi"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def knee(density: DataFrame) -> DataFrame:
     """(threshold): after the peak, the grid point farthest from the chord to the last point; the first if tied. The grid, which has a
     fixed number of points, becomes one row, so the density is computed once."""

@@ -77,7 +77,8 @@ def rings_of(wkb: bytes) -> list[np.ndarray]:
 
 
 def contains(rings: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Even-odd rule over all rings, holes included."""
+    """Even-odd rule over all rings, holes included. Of points on the outline, those on a lower or left edge are inside and those on
+    an upper or right edge aren't, so that polygons side by side share none."""
     inside = np.zeros(len(x), bool)
     for r in rings:
         a, b = r[:-1], r[1:]

@@ -16,34 +16,69 @@ SUPPORT = 3
 INDICES = tuple(RANGES)
 
 
-def _cv(c: Column, signed: bool) -> Column:
-    mean = F.avg(c)
-    return F.when(F.abs(mean) <= 1e-6, 0.0).otherwise(F.stddev_pop(c) / (mean if signed else F.abs(mean)))
+#: Pixels of a group whose percentiles are one task's map of values; larger groups are spread over tasks.
+LARGE = 1_000_000
+
+
+def _grouped(indexed: DataFrame, indices: list[str], quantiles: dict[str, tuple[float, ...]], moments: bool) -> DataFrame:
+    """(parcel_id, month, total, and for each index n_, mean_, sd_, skew_ and kurt_ if moments, q_: array of its quantiles). One shuffle
+    by (parcel_id, month), unless groups of more than LARGE pixels exist: their quantiles, equally exact, come from brackets of values
+    that many tasks count."""
+    key = ["parcel_id", "month"]
+
+    def basic(k: str) -> list[Column]:
+        c = F.col(k)
+        more = [F.skewness(c).alias(f"skew_{k}"), F.kurtosis(c).alias(f"kurt_{k}")] if moments else []
+        return [F.count(c).alias(f"n_{k}"), F.avg(c).alias(f"mean_{k}"), F.stddev_pop(c).alias(f"sd_{k}"), *more]
+
+    at_once = lambda k: F.percentile(F.col(k), F.array(*map(F.lit, quantiles[k]))).alias(f"q_{k}")
+    plain = [c for k in indices for c in basic(k)]
+    large = indexed.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > LARGE).select(*key)
+    whole = lambda df: df.groupBy(*key).agg(F.count("*").alias("total"), *plain, *map(at_once, indices))
+    if large.isEmpty():
+        return whole(indexed)
+    spread = indexed.join(large, key, "left_semi")
+    cells = spread.select(F.to_json(F.struct(*key)).alias("group"), F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(k).alias("v")) for k in indices))).alias("c")).select(F.concat_ws("|", "c.k", "group").alias("cell"), "c.v")
+    found = None
+    for q in sorted({q for k in indices for q in quantiles[k]}):
+        one = quantile_by(cells, "cell", "v", q, f"q{q}")
+        found = one if found is None else found.join(one, "cell")
+    parts = F.split("cell", r"\|", 2)
+    named = found.withColumn("k", parts[0]).withColumn("g", F.from_json(parts[1], indexed.select(*key).schema))
+    lists = named.groupBy("g.parcel_id", "g.month").agg(*(F.max(F.when(F.col("k") == k, F.array(*(F.col(f"`q{q}`") for q in quantiles[k])))).alias(f"q_{k}") for k in indices))
+    counted = spread.groupBy(*key).agg(F.count("*").alias("total"), *plain).join(lists, key, "left")
+    rest = whole(indexed.join(large, key, "left_anti"))
+    return rest.unionByName(counted.select(*rest.columns))
+
+
+def _cv(k: str, signed: bool) -> Column:
+    mean = F.col(f"mean_{k}")
+    return F.when(F.abs(mean) <= 1e-6, 0.0).otherwise(F.col(f"sd_{k}") / (mean if signed else F.abs(mean)))
 
 
 def zonal_stats(indexed: DataFrame, indices: Iterable[str] = INDICES) -> DataFrame:
-    """Nine statistics of each index; null below SUPPORT valid pixels. One shuffle, on (parcel_id, month)."""
+    """Nine statistics of each index; null below SUPPORT valid pixels."""
+    indices = list(indices)
+    raw = _grouped(indexed, indices, dict.fromkeys(indices, (0.25, 0.5, 0.75)), moments=True)
     out = []
     for k in indices:
-        c = F.col(k)
-        n = F.count(c)
-        q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        stats = {"mean": F.avg(c), "median": q[1], "cv": _cv(c, False), "skew": F.coalesce(F.skewness(c), F.lit(0.0)), "kurt": F.coalesce(F.kurtosis(c), F.lit(0.0)), "q25": q[0], "q75": q[2]}
+        n, q = F.col(f"n_{k}"), F.col(f"q_{k}")
+        stats = {"mean": F.col(f"mean_{k}"), "median": F.get(q, F.lit(1)), "cv": _cv(k, False), "skew": F.coalesce(f"skew_{k}", F.lit(0.0)), "kurt": F.coalesce(f"kurt_{k}", F.lit(0.0)), "q25": F.get(q, F.lit(0)), "q75": F.get(q, F.lit(2))}
         out += [F.when(n >= SUPPORT, v).alias(f"{k}_{s}") for s, v in stats.items()]
-        out += [n.alias(f"{k}_valid_count"), F.coalesce(F.try_divide(n.cast("double"), F.count("*")), F.lit(0.0)).alias(f"{k}_valid_ratio")]
-    return indexed.groupBy("parcel_id", "month").agg(*out)
+        out += [n.alias(f"{k}_valid_count"), F.coalesce(F.try_divide(n.cast("double"), F.col("total")), F.lit(0.0)).alias(f"{k}_valid_ratio")]
+    return raw.select("parcel_id", "month", *out)
 
 
 def tail_stats(indexed: DataFrame) -> DataFrame:
     """Mean, median, signed cv and two tail quantiles of raw indices; 0 below SUPPORT valid pixels."""
+    tails = {k: (0.05, 0.10) if k in VEGETATION else (0.90, 0.95) for k in INDICES}
+    raw = _grouped(indexed, list(INDICES), {k: (*t, 0.5) for k, t in tails.items()}, moments=False)
     out = []
     for k in INDICES:
-        c = F.col(k)
-        low, high, names = (0.05, 0.10, ("q05", "q10")) if k in VEGETATION else (0.90, 0.95, ("q90", "q95"))
-        q = F.percentile(c, F.array(F.lit(low), F.lit(high), F.lit(0.5)))
-        stats = {"mean": F.avg(c), "median": q[2], "cv": _cv(c, True), names[0]: q[0], names[1]: q[1]}
-        out += [F.when(F.count(c) >= SUPPORT, v).otherwise(0.0).alias(f"{k}_{s}") for s, v in stats.items()]
-    return indexed.groupBy("parcel_id", "month").agg(*out)
+        q = lambda i, k=k: F.get(F.col(f"q_{k}"), F.lit(i))
+        stats = {"mean": F.col(f"mean_{k}"), "median": q(2), "cv": _cv(k, True), **{f"q{round(100 * t):02d}": q(i) for i, t in enumerate(tails[k])}}
+        out += [F.when(F.col(f"n_{k}") >= SUPPORT, v).otherwise(0.0).alias(f"{k}_{s}") for s, v in stats.items()]
+    return raw.select("parcel_id", "month", *out)
 
 
 def composite(scenes: DataFrame, bands: Iterable[str] = INDICES) -> DataFrame:

@@ -150,12 +150,6 @@ def long(spark, d):
     return zonal.long(wide(spark, d), ["NDVI_mean", "EVI_cv"], MONTHS)
 
 
-@query("j01_optical_texture_join", f"with z as ({_stats(_DENSE)}), t as (select parcel_id, month, count(*) as n_cells from ({_px()}) where month <> 7 group by all) select z.parcel_id, z.month, NDVI_mean, coalesce(n_cells, 0) as n_cells from z left join t using (parcel_id, month)", "NDVI_mean")
-def texture_join(spark, d):
-    t = fx.pixels(spark, d).where("month != 7").groupBy("parcel_id", "month").agg(F.count("*").alias("n_cells"))
-    return zonal.zonal_stats(dense(spark, d), ["NDVI"]).select("parcel_id", "month", "NDVI_mean").join(t, ["parcel_id", "month"], "left").fillna(0, ["n_cells"])
-
-
 @query("a08_median_imputation", f"""with z as ({_stats(_SPARSE)}), k as (select k.parcel_id, k.month, NDVI_mean, NDWI_cv from {_KEYS} k left join z using (parcel_id, month)), m as (select month, median(NDVI_mean) as a, median(NDWI_cv) as b from k group by month)
   select parcel_id, month, coalesce(NDVI_mean, a, 0.0) as NDVI_mean, coalesce(NDWI_cv, b, 0.0) as NDWI_cv from k join m using (month)""", "NDVI_mean NDWI_cv")
 def imputed(spark, d):
@@ -258,6 +252,8 @@ _KNEE = f"""{_DENSITY}, p as (select arg_min(k, (-density, k)) as pk, max(k) as
 _CONF = f"""{_KNEE}, c as (select parcel_id, mse, threshold, case when mse <= threshold then case when threshold - (select min(mse) from s) < 1e-6 then 10.0 else ln(99.0::double) / (threshold - (select min(mse) from s)) end else 3.0 / (coalesce((select stddev_pop(mse) from s, h where mse > threshold), 0.0) + 1e-8) end as a from s, h),
   p2 as (select parcel_id, mse, threshold, round_even(1 / (1 + exp(-a * (mse - threshold))) * 1e4, 0) / 1e4 as p from c)"""
 query("a18_kde", f"{_DENSITY} select * from e", "x density")(lambda s, d: scoring.kernel_density(fx.scores(s, d)))
+query("s14_histogram", f"""with s as {_MSE}, k as (select mse from s where mse <= (select quantile_cont(mse, 0.98) from s)), e as (select min(mse) as a, max(mse) as b from k), c as (select least(floor((mse - a) / (b - a) * 100), 99)::integer as bin, count(*) as n from k, e group by 1)
+  select i as bin, a + (b - a) * i / 100 as lo, a + (b - a) * (i + 1) / 100 as hi, coalesce(n, 0)::bigint as n from e, (select unnest(range(100))::integer as i) g left join c on c.bin = g.i""", "lo hi")(lambda s, d: scoring.histogram(fx.scores(s, d)))
 query("m11_knee", f"{_KNEE} select * from h", "threshold")(lambda s, d: scoring.knee(scoring.kernel_density(fx.scores(s, d))))
 query("m12_confidence", f"{_CONF} select * from p2", "mse threshold p")(lambda s, d: scoring.confidence(fx.scores(s, d), stored(scoring.knee(scoring.kernel_density(fx.scores(s, d))))))
 _AGRO = f"""with z as ({_stats(_DENSE)}), v as (select parcel_id, month, coalesce(NDVI_mean, 0.0) as ndvi, coalesce(NDVI_cv, 0.0) * 100 as glcm from z), m as (select parcel_id, max(case when month between 5 and 9 then ndvi end) as peak, max(case when month = 4 then ndvi end) as spring, stddev_pop(ndvi) as sd, avg(glcm) as tex from v group by parcel_id),
@@ -339,12 +335,11 @@ def _shapes(spark, d):
     return fx.parcels(spark, d).mapInPandas(lambda it: (b.assign(geometry=wkb(b["minx"], b["miny"], b["maxx"], b["maxy"])) for b in it), "parcel_id string, g10_cls_id int, minx double, miny double, maxx double, maxy double, geometry binary")
 
 
-@query("j08_zonal_join", f"""with c as (select c_custkey, (c_custkey * 37 % 330)::double as px, (c_custkey * 91 % 330)::double as py from customer) select parcel_id, c_custkey, px, py from c join {_PARCELS} p on px > minx and px < maxx and py > miny and py < maxy""", "px py")
+@query("j08_zonal_join", f"""with c as (select c_custkey, (c_custkey * 37 % 330)::double as px, (c_custkey * 91 % 330)::double as py from customer) select parcel_id, c_custkey, px, py from c join {_PARCELS} p on px >= minx and px < maxx and py >= miny and py < maxy""", "px py")
 def zonal_boxes(spark, d):
     shapes = _shapes(spark, d)
     points = fx.read(spark, d, "customer").select("c_custkey", (F.col("c_custkey") * 37 % 330).cast("double").alias("px"), (F.col("c_custkey") * 91 % 330).cast("double").alias("py"))
-    edge = lambda c: (F.col(c) % 10 != 1) & (F.col(c) % 10 != 9)  # noqa: E731  a box's edges are left out, on which rules differ
-    return spatial.zonal_join(points.where(edge("px") & edge("py")), validity.valid_only(shapes))
+    return spatial.zonal_join(points, validity.valid_only(shapes))
 
 
 #: Outlines for the validity check, by supplier: points (dx, dy) from a box's corner, the shell's and the hole's.
@@ -405,6 +400,13 @@ _LBP = f"""with {_GRID.removeprefix("with ").partition("f as (select")[0].strip(
 query("a10_binary_patterns", _LBP, "LBP_Variance")(lambda s, d: texture.binary_patterns(_levels(s, d)))
 query("s18_geometry_types", f"select 'Polygon' as geom_type, count(*) as n from {_PARCELS}")(lambda s, d: _shapes(s, d).groupBy(spatial.geometry_type().alias("geom_type")).agg(F.count("*").alias("n")))
 
+@query("j01_optical_texture_join", f"with z as ({_stats(_DENSE)}), t as ({_GRID}) select z.parcel_id, z.month, NDVI_mean, coalesce(GLCM_Contrast, 0.0) as GLCM_Contrast, coalesce(GLCM_Correlation, 0.0) as GLCM_Correlation from z left join (from t where month <> 7) t using (parcel_id, month)", "NDVI_mean GLCM_Contrast GLCM_Correlation")
+def texture_join(spark, d):
+    """Optical statistics with texture, which one month lacks altogether: zeros there."""
+    t = texture.cooccurrence(_levels(spark, d).where("month != 7"))
+    return zonal.zonal_stats(dense(spark, d), ["NDVI"]).select("parcel_id", "month", "NDVI_mean").join(t, ["parcel_id", "month"], "left").fillna(0.0, ["GLCM_Contrast", "GLCM_Correlation"])
+
+
 _TENSOR = f"""with z as ({_stats(_DENSE)}), g as ({_GRID}), l as ({_LBP}), s as (select k.parcel_id, k.month, z.* exclude (parcel_id, month), g.* exclude (parcel_id, month), LBP_Variance, case when z.parcel_id is null then null when k.month = 4 then 0.0 else NDVI_mean - lag(NDVI_mean) over (partition by k.parcel_id order by k.month) end as delta_NDVI
   from {_KEYS} k left join z using (parcel_id, month) left join g using (parcel_id, month) left join l using (parcel_id, month))
   select parcel_id, month, [{", ".join(f"round_even(coalesce({f}, median({f}) over (partition by month), 0.0) * 1e6, 0) / 1e6 + 0.0" for f in FEATURES)}] as features from s"""

@@ -1,119 +1,12 @@
-"""Files in and out: scenes, shapefiles, CSV ledgers, monthly tables."""
+"""Tables in and out: CSV ledgers, with types if wanted, and monthly tables. Scenes, tiles and shapefiles have modules of their own."""
 
 from __future__ import annotations
 
 import re
-import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from ..operators.spatial import polygon_wkb
-
-SCENE = "path string, y int, px_x int, blue double, green double, red double, nir double"
-
-
-def read_scenes(spark: SparkSession, path: str, width: int, bands: int = 4, masked: bool = True) -> DataFrame:
-    """Pixels of raw scenes, band after band of little-endian 16-bit numbers: (path, y, x, blue, green, red, nir).
-
-    masked: where all bands are 0 they become null. One task reads a file as a whole, so scenes are best tiled."""
-    def pixels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for name, content in zip(b["path"], b["content"], strict=True):
-                cube = np.frombuffer(content, "<u2").reshape(bands, -1, width)[:4].astype(float)
-                if masked:
-                    cube[:, (cube == 0).all(0)] = np.nan
-                y, x = np.indices(cube.shape[1:])
-                yield pd.DataFrame({"path": name, "y": y.ravel(), "px_x": x.ravel(), **dict(zip(("blue", "green", "red", "nir"), cube.reshape(4, -1), strict=True))})
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    out = files.mapInPandas(pixels, SCENE).withColumnRenamed("px_x", "x")
-    return out.select("path", "y", "x", *(F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("blue", "green", "red", "nir")))
-
-
-def _dbf(content: bytes) -> tuple[list[tuple[str, str, int]], list[list[str]]]:
-    n, head, size = struct.unpack_from("<IHH", content, 4)
-    fields, at = [], 32
-    while content[at] != 0x0D:
-        fields.append((content[at : at + 11].split(b"\0")[0].decode(), chr(content[at + 11]), content[at + 16]))
-        at += 32
-    rows = []
-    for i in range(n):
-        at, row = head + i * size + 1, []
-        for _, _, w in fields:
-            row.append(content[at : at + w].decode("utf-8", "replace").strip())
-            at += w
-        rows.append(row)
-    return fields, rows
-
-
-def _shapes(content: bytes) -> Iterator[bytes | None]:
-    at = 100
-    while at < len(content):
-        size = 2 * struct.unpack_from(">i", content, at + 4)[0]
-        body = content[at + 8 : at + 8 + size]
-        at += 8 + size
-        kind = struct.unpack_from("<i", body)[0]
-        if kind != 5:
-            yield None
-            continue
-        parts, points = struct.unpack_from("<ii", body, 36)
-        starts = [*struct.unpack_from(f"<{parts}i", body, 44), points]
-        xy = np.frombuffer(body, "<f8", 2 * points, 44 + 4 * parts).reshape(-1, 2)
-        yield polygon_wkb([[tuple(p) for p in xy[a:b]] for a, b in zip(starts, starts[1:])])  # noqa: B905
-
-
-def read_shapefile(spark: SparkSession, path: str) -> DataFrame:
-    """Polygons of .shp files with the texts of their .dbf beside them: attributes as strings and geometry as WKB.
-
-    path: without a suffix. Files are read by Spark, one task for each."""
-    dbf = spark.read.format("binaryFile").load(f"{path}.dbf").select("content").head()["content"]
-    fields = [f for f, _, _ in _dbf(dbf)[0]]
-    schema = T.StructType([*(T.StructField(f, T.StringType()) for f in fields), T.StructField("geometry", T.BinaryType())])
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for shp, table in zip(b["shp"], b["dbf"], strict=True):
-                data = pd.DataFrame([[v or None for v in r] for r in _dbf(table)[1]], columns=fields)
-                yield data.assign(geometry=list(_shapes(shp)))
-
-    stem = F.regexp_replace("path", r"\.[a-z]+$", "")
-    one = lambda s: spark.read.format("binaryFile").load(f"{path}.{s}").select(stem.alias("stem"), F.col("content").alias(s))
-    return one("shp").join(one("dbf"), "stem").mapInPandas(rows, schema)
-
-
-def shapefile_bytes(rows: pd.DataFrame) -> tuple[bytes, bytes, bytes]:
-    """.shp, .shx and .dbf of polygons (geometry as WKB); names of at most ten characters. For small exports."""
-    from ..operators.spatial import rings_of
-
-    if long := [c for c in rows.columns if len(c.encode()) > 10]:
-        raise ValueError(f"names of more than 10 characters: {', '.join(long)}")
-    shp, shx, at, boxes = b"", b"", 50, []
-    for i, wkb in enumerate(rows["geometry"]):
-        rings = rings_of(wkb)
-        xy = np.concatenate(rings)
-        box = (*xy.min(0), *xy.max(0))
-        boxes.append(box)
-        starts = np.cumsum([0, *(len(r) for r in rings[:-1])])
-        body = struct.pack("<i4dii", 5, *box, len(rings), len(xy)) + starts.astype("<i4").tobytes() + xy.astype("<f8").tobytes()
-        shp += struct.pack(">ii", i + 1, len(body) // 2) + body
-        shx += struct.pack(">ii", at, len(body) // 2)
-        at += 4 + len(body) // 2
-    b = np.array(boxes) if boxes else np.zeros((1, 4))
-    head = lambda n: struct.pack(">7i", 9994, 0, 0, 0, 0, 0, (100 + n) // 2) + struct.pack("<ii8d", 1000, 5, *b[:, :2].min(0), *b[:, 2:].max(0), 0, 0, 0, 0)
-    names = [c for c in rows.columns if c != "geometry"]
-    cells = {c: ["" if pd.isna(v) else str(v) for v in rows[c]] for c in names}
-    wide = {c: min(254, max([1, *(len(v.encode()) for v in cells[c])])) for c in names}
-    size = 1 + sum(wide.values())
-    dbf = struct.pack("<4BIHH20x", 3, 126, 1, 1, len(rows), 33 + 32 * len(names), size)
-    dbf += b"".join(c.encode().ljust(11, b"\0") + b"C" + b"\0" * 4 + bytes([wide[c], 0]) + b"\0" * 14 for c in names) + b"\r"
-    dbf += b"".join(b" " + b"".join(cells[c][i].encode()[: wide[c]].ljust(wide[c]) for c in names) for i in range(len(rows))) + b"\x1a"
-    return head(len(shp)) + shp, head(len(shx)) + shx, dbf
-
 
 def read_ledger(spark: SparkSession, path: str, columns: Iterable[str] = ()) -> DataFrame:
     """A CSV with a header; every column is text, so an id such as 12.0 or 007 stays as it is."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.indices import with_indices
@@ -19,7 +20,7 @@ def ingest(pixels: DataFrame, history: str, stats: str, checkpoint: str) -> Stre
         spark = rows.sparkSession
         rows.withColumn("batch", F.lit(number)).write.option("partitionOverwriteMode", "dynamic").partitionBy("batch", "month").mode("overwrite").parquet(history)
         touched = [r["month"] for r in rows.select("month").distinct().collect()]  # a row for each month
-        all_rows = spark.read.schema(rows.schema.add("batch", "int")).parquet(history).drop("batch").where(f"month in ({', '.join(map(str, touched)) or 'null'})")
+        all_rows = spark.read.schema(T.StructType([*rows.schema, T.StructField("batch", T.LongType())])).parquet(history).drop("batch").where(f"month in ({', '.join(map(str, touched)) or 'null'})")
         write_months(zonal_stats(with_indices(all_rows)), stats)
 
     return pixels.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
