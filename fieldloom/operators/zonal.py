@@ -87,15 +87,10 @@ def composite(scenes: DataFrame, bands: Iterable[str] = INDICES) -> DataFrame:
 
 
 def spine(df: DataFrame, months: Iterable[int]) -> DataFrame:
-    """Each parcel in each month; months that a parcel lacks are null. df has one row at most for a parcel and month; one aggregation."""
-    months = list(months)
-    rest = [c for c in df.columns if c not in ("parcel_id", "month")]
-    if not rest:
-        return df.select("parcel_id").distinct().withColumn("month", F.explode(F.array(*map(F.lit, months))))
-    cell = F.struct(*rest)
-    by_month = df.groupBy("parcel_id").agg(*(F.max(F.when(F.col("month") == m, cell)).alias(f"m{i}") for i, m in enumerate(months)))
-    every = by_month.select("parcel_id", F.explode(F.array(*(F.struct(F.lit(m).alias("month"), F.col(f"m{i}").alias("cell")) for i, m in enumerate(months)))).alias("c"))
-    return every.select("parcel_id", "c.month", *(F.col("c.cell")[c].alias(c) for c in rest))
+    """Each parcel in each month; months that a parcel lacks are null. A join with the parcels' ids: columns that nobody asks for are
+    still left out of df, which packing its rows by parcel would prevent (measured: twice the time for `m24_w04_quality`)."""
+    keys = df.select("parcel_id").distinct().withColumn("month", F.explode(F.array(*map(F.lit, months))))
+    return keys.join(df, ["parcel_id", "month"], "left")
 
 
 def keep_first(df: DataFrame, keys: Iterable[str], order: Iterable[str]) -> DataFrame:
