@@ -144,9 +144,11 @@ def fit_best(points: DataFrame, key: str, vector: str, ks: range = range(3, 9),
         return max([best[k], *fit_all(rows, key, vector, [(k, s) for s in range(starts, refit)], seed, **more)] if refit > starts else [best[k]], key=lambda m: m.bound)
 
 
-def assign(points: DataFrame, vector: str, mixture: Mixture) -> DataFrame:
-    """Adds cluster and confidence, the responsibility of the likeliest component to four places. Components are in order of their
-    means, so that equal fits have equal numbers."""
+def assign(points: DataFrame, vector: str, mixture: Mixture | None) -> DataFrame:
+    """Adds cluster and confidence, the responsibility of the likeliest component to four places; nulls without a mixture. Components
+    are in order of their means, so that equal fits have equal numbers."""
+    if mixture is None:
+        return points.withColumns({"cluster": F.lit(None).cast("int"), "confidence": F.lit(None).cast("double")})
     order = np.lexsort(np.round(mixture.means, 6).T[::-1])
     same = Mixture(mixture.weights[order], mixture.means[order], mixture.covariances[order])
     r = F.col("runs")[0]["r"]

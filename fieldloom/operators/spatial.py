@@ -89,23 +89,6 @@ def contains(rings: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarra
     return inside
 
 
-def is_valid(geometry: pd.Series) -> pd.Series:
-    """Whether a WKB polygon is not empty and its rings are closed, of four points or more and of some area."""
-    def ok(wkb: bytes | None) -> bool:
-        try:
-            rings = rings_of(wkb) if wkb else []
-        except (ValueError, struct.error):
-            return False
-        area = lambda r: abs(np.dot(r[:-1, 0], r[1:, 1]) - np.dot(r[1:, 0], r[:-1, 1])) / 2
-        return bool(rings) and all(len(r) >= 4 and (r[0] == r[-1]).all() and np.isfinite(r).all() and area(r) > 0 for r in rings)
-
-    return geometry.map(ok, na_action=None).astype(bool)
-
-
-def valid_geometry(df: DataFrame, geometry: str = "geometry") -> DataFrame:
-    return df.where(F.pandas_udf(is_valid, "boolean")(geometry))
-
-
 def zonal_join(pixels: DataFrame, parcels: DataFrame, cell: float = CELL) -> DataFrame:
     """Pixels (px, py, ...) with the parcels (parcel_id, geometry, box) whose polygon holds their centre."""
     def inside(x: pd.Series, y: pd.Series, wkb: pd.Series) -> pd.Series:

@@ -227,9 +227,13 @@ def train(panel: DataFrame, params: Training = Training(), key: str = "parcel_id
 
 
 # --- scan -------------------------------------------------------------------------------------------------------------
-def scan(panel: DataFrame, model: Trained, zeroed: tuple[int, int] = (43, 46), low_quality: float = 0.5, key: str = "parcel_id") -> DataFrame:
+def scan(panel: DataFrame, model: Trained | None, zeroed: tuple[int, int] = (43, 46), low_quality: float = 0.5, key: str = "parcel_id") -> DataFrame:
     """(key, mse, mean_quality, low_quality_months): the error of reconstructing a whole panel whose features in `zeroed` (first, end)
-    are 0 in the input and still count in the error, weighted by quality."""
+    are 0 in the input and still count in the error, weighted by quality. Without a model mse is null."""
+    if model is None:
+        q = F.transform("q", lambda v: clip_quality(v))
+        mean = F.aggregate(q, F.lit(0.0), lambda s, v: s + v) / F.nullif(F.size("q"), F.lit(0))
+        return panel.select(key, F.lit(None).cast("double").alias("mse"), mean.alias("mean_quality"), F.size(F.filter(q, lambda v: v < low_quality)).cast("long").alias("low_quality_months"))
     sent = panel.sparkSession.sparkContext.broadcast(model)
 
     def scored(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

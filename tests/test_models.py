@@ -205,7 +205,7 @@ def test_mixture_finds_the_blobs(spark):
 
 def test_mixture_odd_tables(spark):
     _, df = blobs(spark)
-    assert mixtures.fit_best(df.where("false"), "id", "v") is None
+    assert mixtures.fit_best(df.where("false"), "id", "v") is None and mixtures.assign(df, "v", None).where("cluster is null").count() == 240
     same = df.withColumn("v", F.array(F.lit(1.0), F.lit(2.0)))  # no spread at all: the ridge holds
     m = mixtures.fit_best(same, "id", "v", range(3, 4), starts=1, refit=1)
     assert np.allclose(m.means, [1, 2]) and np.isclose(m.weights.sum(), 1) and mixtures.assign(same, "v", m).select("cluster").distinct().count() == 1
@@ -307,5 +307,6 @@ def test_training_and_saved_models(spark, tmp_path):
 def test_training_of_nothing(spark):
     *_, df = some_panel(spark)
     assert training.train(df.where("false")) is None
+    assert [tuple(r)[1:] for r in training.scan(df.where("parcel_id = 'p0'").withColumn("q", F.array(F.lit(0.2), F.lit(1.0), F.lit(None).cast("double"))), None).collect()] == [(None, pytest.approx(2.2 / 3), 1)]
     one = training.train(df.limit(1), training.Training(epochs=2))
     assert training.scan(df.where("false"), one).count() == 0 and len(one.losses) == 2
