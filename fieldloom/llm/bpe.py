@@ -2,14 +2,14 @@
 
 The ranks of a public tokenizer file merge byte pairs, lowest rank first. `encode` cuts texts by the tokenizer's pattern
 (in the JVM: Java's classes are written out where the public library's differ) and works through the documents of a
-partition in blocks of about `BLOCK` pieces. The distinct words that are no token as a whole are encoded once in a
-task: `fold` merges over the array of a word's bytes with Spark's higher-order functions and looks new pairs up in a rank map
-that comes with the plan as one literal. The block's documents are then put together from its words' ids. Nothing is
-shuffled, collected or broadcast, memory depends on the block and on `REMEMBERED` words alone, and a lost task repeats its own blocks only.
+partition batch by batch. The distinct words that are no token as a whole are encoded once in a task, a batch's new ones
+together: `Merges` holds them as rows of an array, and a round merges in each row the leftmost of its pairs of least rank and
+looks up the two pairs beside it, so a task runs as many rounds as its longest word has merges. The documents are then put
+together from their words' ids. Nothing is shuffled or collected, the pairs' ranks are broadcast, memory depends on a batch
+and on `REMEMBERED` words alone, and a lost task repeats its own documents only.
 
-A map's lookup is a scan, so the rank map is an array of small maps, and a pair's checksum says which one. A fold costs
-the square of a word's length, so words above `LONG` bytes (runs without a break, not words of a language) are merged
-over a heap instead; ids are the same.
+Words are grouped by length, so that short rows aren't padded to long ones; words above `LONG` bytes (runs without a break,
+not words of a language) are merged over a heap instead; ids are the same.
 
 Null and empty texts have no ids. Special tokens are ordinary text. Rows are encoded one by one, so repeated rows, null
 ids and ties are no matter, and an empty table stays empty. Columns besides the text pass through, whatever their names.
@@ -21,25 +21,17 @@ from __future__ import annotations
 
 import base64
 import heapq
-import zlib
 from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Pieces of one block of documents, beyond its last one, and the longest word that is folded.
+#: Pieces that are put together at once, beyond the last document's, and the longest word that is merged in rows.
 BLOCK, LONG = 2_000_000, 1_024
-#: Small maps that the literal rank map is made of.
-BUCKETS = 32_768
-#: Bits of a pair's place beside its rank.
-PLACE = 16
-#: A byte that UTF-8 never holds.
-END = b"\xff"
 #: Words that a task remembers before it starts anew.
 REMEMBERED = 1_000_000
 #: The characters of the Unicode property White_Space, in Java's notation.
@@ -83,53 +75,97 @@ def merged(word: bytes, table: dict[bytes, int]) -> list[int]:
     return [table[p] for p in parts if p]
 
 
-def let(name: str, value: str, body: str) -> str:
-    """SQL: body, in which `name` is the value, computed once."""
-    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+class Merges:
+    """The ranks of all pairs of tokens that merge, sorted by pair."""
+
+    def __init__(self, table: dict[bytes, int]):
+        self.none = max(table.values()) + 1  # no token, and above every rank
+        self.bytes = np.array([table[bytes([b])] for b in range(256)], np.int64)
+        pairs = {table[p[:i]] * self.none + table[p[i:]]: rank for p, rank in table.items() for i in range(1, len(p)) if p[:i] in table and p[i:] in table}
+        keys = np.fromiter(pairs, np.int64, len(pairs))
+        order = np.argsort(keys)
+        self.keys, self.values = np.append(keys[order], -1), np.append(np.fromiter(pairs.values(), np.int64, len(pairs))[order], self.none)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair, `none` without one."""
+        key = np.where((left < self.none) & (right < self.none), left * self.none + right, -2)
+        at = np.searchsorted(self.keys[:-1], key)
+        return np.where(self.keys[at] == key, self.values[at], self.none)
+
+    def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each word, all ids in order)."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        counts, found = np.zeros(len(words), np.int64), []
+        text, ends = self.bytes[np.frombuffer(b"".join(words), np.uint8)], np.cumsum(sizes)
+        group = np.ceil(np.log2(np.maximum(sizes, 4)) * 2)
+        for g in np.unique(group):
+            of = np.flatnonzero(group == g)
+            counts[of], ids = self._rows(text, ends[of] - sizes[of], sizes[of])
+            found.append((of, ids))
+        out, starts = np.zeros(counts.sum(), np.int32), np.cumsum(counts) - counts
+        for of, ids in found:
+            n = counts[of]
+            out[np.repeat(starts[of] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
+        return counts, out
+
+    def _rows(self, text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n, width = len(sizes), int(sizes.max()) + 2  # a place without a token on both sides
+        part = np.full((n, width), self.none)
+        inside = np.arange(width - 2) < sizes[:, None]
+        part[:, 1:-1][inside] = text[(starts[:, None] + np.arange(width - 2))[inside]]
+        keys = np.full((n, width), self.none)
+        keys[:, :-1] = self.rank(part[:, :-1], part[:, 1:])
+        after, before = (np.tile(np.arange(width) + step, (n, 1)) for step in (1, -1))
+        rows = np.arange(n)
+        while len(rows):
+            at = keys[rows].argmin(1)
+            best = keys[rows, at]
+            going = best < self.none
+            rows, at, best = rows[going], at[going], best[going]
+            gone = after[rows, at]
+            to, back = after[rows, gone], before[rows, at]
+            part[rows, at], part[rows, gone], keys[rows, gone] = best, self.none, self.none
+            after[rows, at], before[rows, to] = to, at
+            keys[rows, at], keys[rows, back] = self.rank(best, part[rows, to]), self.rank(part[rows, back], best)
+        left = part < self.none
+        return left.sum(1), part[left]
+
+
+#: Words that are merged together, by their bytes with padding.
+TOGETHER = 1 << 20
+
+
+def merged_all(words: list[bytes], merges: Merges, table: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of ids of each word, all ids in order) of words that are no token as a whole, or are."""
+    counts, ids, lo, held = [], [], 0, 0
+    for i, w in enumerate(words):
+        held += min(len(w), LONG)
+        if held < TOGETHER and i + 1 < len(words):
+            continue
+        some = words[lo : i + 1]
+        whole = {k: [table[w]] if w in table else merged(w, table) for k, w in enumerate(some) if w in table or len(w) > LONG or not w}
+        n, flat = merges.ids([w for k, w in enumerate(some) if k not in whole])
+        if whole:
+            rest = iter(np.split(flat, np.cumsum(n)[:-1]))
+            each = [np.array(whole[k], np.int32) if k in whole else next(rest) for k in range(len(some))]
+            n, flat = np.fromiter(map(len, each), np.int64, len(each)), np.concatenate(each)
+        counts.append(n)
+        ids.append(flat.astype(np.int32))
+        lo, held = i + 1, 0
+    return np.concatenate([np.zeros(0, np.int64), *counts]), np.concatenate([np.zeros(0, np.int32), *ids])
 
 
-def with_rank_map(table: dict[bytes, int], body: str) -> Column:
-    """body (SQL) with `ranks`, the ranks as an array of maps from bytes to rank. The map is made
-    of one literal, once a row; a piece's checksum says in which of the small maps it is."""
-    rows: list[list[str]] = [[] for _ in range(BUCKETS)]
-    for piece, rank in table.items():
-        if END in piece[:-1] or END in piece[1:]:
-            continue  # no part of any text
-        rows[zlib.crc32(piece) % BUCKETS].append(f"{piece.hex()}:{rank}")
-    literal = ";".join(",".join(r) for r in rows)
-    cells = "map_from_arrays(transform(cells, c -> unhex(substring_index(c, ':', 1))), transform(cells, c -> try_cast(substring_index(c, ':', -1) as int)))"
-    maps = f"transform(split(text, ';'), b -> {let('cells', "split(b, ',')", cells)})"
-    return F.expr(let("text", f"'{literal}'", let("ranks", maps, body)))
-
-
-def fold(word: str) -> str:
-    """SQL for the ids of a word (binary UTF-8) over `ranks`: a fold over the array of its bytes. The state holds the parts
-    and the rank of each pair of neighbours, above the pair's place by PLACE bits once places are added; the least wins, and
-    only the two pairs beside a merge are looked up. A byte `END` on both sides, which joins nothing, spares cases.
-
-    Values are bound by `aggregate` over an array of one: `transform` copies what it makes, and `array_position` leaves its
-    loop by an exception."""
-    rank = lambda piece: f"element_at(get(ranks, cast(crc32({piece}) % {BUCKETS} as int)), {piece})"
-    key = f"shiftleft(cast({rank('p')} as bigint), {PLACE})"
-    bind = lambda value, state, name, inner, body: f"aggregate(array({value}), {state}, ({inner}, {name}) -> {body})"
-    most = 1 << PLACE
-    beside = "array(concat(get(v.parts, at - 1), m), concat(m, get(v.parts, at + 2)))"
-    parts = f"concat(slice(v.parts, 1, at), array(m), slice(v.parts, at + 3, {most}))"
-    keys = f"concat(slice(v.keys, 1, at - 1), transform({beside}, p -> {key}), slice(v.keys, at + 3, {most}))"
-    joined = bind("concat(get(u.parts, at), get(u.parts, at + 1))", "u", "m", "v", f"named_struct('parts', {parts}, 'keys', {keys})")
-    found = f"if(best is null, t, {bind(f'cast(best & {most - 1} as int)', 't', 'at', 'u', joined)})"
-    step = bind("array_min(transform(s.keys, (k, i) -> k | i))", "s", "best", "t", found)
-    cut = lambda n: f"transform(sequence(1, length(e) - {n - 1}), i -> substring(e, i, {n}))"
-    start = f"named_struct('parts', {cut(1)}, 'keys', transform({cut(2)}, p -> {key}))"
-    ids = f"s -> transform(slice(s.parts, 2, size(s.parts) - 2), p -> {rank('p')})"
-    merges = let("e", f"concat(X'{END.hex()}', w, X'{END.hex()}')", f"aggregate(sequence(2, length(w)), {start}, (s, i) -> {step}, {ids})")
-    whole = let("whole", rank("w"), f"if(whole is not null or length(w) < 2, array(whole), {merges})")
-    return let("w", word, f"if(length(w) = 0, array(), {whole})")
+def encode_words(words: DataFrame, table: dict[bytes, int], word_col: str = "piece", out: str = "ids") -> DataFrame:
+    """Adds the ids of each word."""
+    shared = words.sparkSession.sparkContext.broadcast((table, Merges(table)))  # the vocabulary
 
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, merges = shared.value
+        for b in batches:
+            n, ids = merged_all([w if isinstance(w, bytes) else w.encode() for w in b.column(word_col).to_pylist()], merges, tokens)
+            yield pa.RecordBatch.from_arrays([*b.columns, _lists(np.append(0, np.cumsum(n)), pa.array(ids))], [*b.schema.names, out])
 
-def encode_words(words: DataFrame, table: dict[bytes, int], word_col: str = "piece", out: str = "ids") -> DataFrame:
-    """Adds the ids of each word, by the fold."""
-    return words.withColumn(out, with_rank_map(table, fold(f"cast(`{word_col}` as binary)")))
+    return words.mapInArrow(added, T.StructType([*words.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
 
 
 class _Slots(dict):
@@ -154,65 +190,47 @@ def _lists(offsets: np.ndarray, values: pa.Array) -> pa.ListArray:
 def encode(df: DataFrame, table: dict[bytes, int], pattern: str, text_col: str = "text", out: str = "ids", block: int = BLOCK) -> DataFrame:
     """df's columns besides the text, and array<int> of token ids, as the public library's ordinary encoding gives them."""
     others = [f for f in df.schema.fields if f.name not in (text_col, out)]
-    doc = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(others)] + [T.StructField("partial", T.ArrayType(T.IntegerType()))])
+    fields = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(others)]
     cut = df.select(*(F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(others)), pieces(F.col(f"`{text_col}`"), pattern).alias("pieces"))
-    shared = df.sparkSession.sparkContext.broadcast(table)  # the vocabulary
+    shared = df.sparkSession.sparkContext.broadcast((table, Merges(table)))  # the vocabulary
 
-    def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranked, merges = shared.value
         tokens = {}
-        for piece, rank in shared.value.items():
+        for piece, rank in ranked.items():
             try:
                 tokens[piece.decode()] = rank
             except UnicodeDecodeError:
                 continue
-        slots, told, docs, held = _Slots(tokens), 0, [], 0
+        slots, ends, known = _Slots(tokens), np.zeros(1, np.int64), np.zeros(0, np.int32)  # ends and ids of the task's words so far
 
-        def row() -> pa.RecordBatch:
-            every, new = pa.concat_arrays(docs), slots.words[told:]
-            short = [w if len(w) <= LONG // 4 or len(w.encode()) <= LONG else None for w in new]
-            long = [merged(w.encode(), shared.value) if s is None else None for w, s in zip(new, short, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array([told], pa.int32()), _lists([0, len(every)], every), pa.array([short], pa.list_(pa.string())), pa.array([long], pa.list_(pa.list_(pa.int32())))], ["told", "docs", "words", "long"])
-
-        for b in batches:
-            lists = b.column("pieces")
+        def together(b: pa.RecordBatch) -> pa.RecordBatch:
+            nonlocal slots, ends, known
+            if len(slots.words) > REMEMBERED:
+                slots, ends, known = _Slots(tokens), ends[:1], known[:0]
+            lists, told = b.column("pieces"), len(slots.words)
             flat = lists.flatten().dictionary_encode()
             slot = np.fromiter(map(slots.__getitem__, flat.dictionary.to_pylist()), np.int32, len(flat.dictionary))
-            ends = np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
-            partial = _lists(ends, pa.array(slot[flat.indices.to_numpy()] if len(flat) else slot))
-            docs.append(pa.StructArray.from_arrays([*(b.column(f"c{i}") for i in range(len(others))), partial], [f.name for f in doc.fields]))
-            held += len(flat)
-            if held >= block:
-                yield row()
-                told, docs, held = len(slots.words), [], 0
-                if told > REMEMBERED:
-                    slots, told = _Slots(tokens), 0
-        if docs:
-            yield row()
-
-    def resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, known = np.zeros(1, np.int64), np.zeros(0, np.int32)  # ends and ids of the task's words so far
+            counts, ids = merged_all([w.encode() for w in slots.words[told:]], merges, ranked)
+            ends, known = np.append(ends, ends[-1] + np.cumsum(counts)), np.append(known, ids)
+            word = np.maximum(-1 - slot, 0)
+            own = slot < 0
+            n = np.where(own, np.diff(ends)[word], 1) if len(ends) > 1 else np.ones(len(slot), np.int64)
+            first = np.where(own, ends[word], len(known) + np.arange(len(slot)))
+            pool, at = np.append(known, slot), flat.indices.to_numpy()
+            n, first = (n[at], first[at]) if len(at) else (np.zeros(0, np.int64),) * 2
+            to = np.append(0, np.cumsum(n))
+            done = pool[np.repeat(first - to[:-1], n) + np.arange(to[-1])]
+            docs = to[np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))]
+            return pa.RecordBatch.from_arrays([*b.columns[:-1], _lists(docs, pa.array(done, pa.int32()))], [*b.schema.names[:-1], "ids"])
+
         for b in batches:
-            for k in range(b.num_rows):
-                docs, words = b.column("docs").slice(k, 1).flatten(), b.column("ids").slice(k, 1).flatten()
-                if not b.column("told")[k].as_py():
-                    of, known = of[:1], known[:0]
-                of = np.append(of, of[-1] + np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False)))
-                known = np.append(known, words.flatten().to_numpy())
-                partial = docs.field(len(others))
-                ends = np.append(0, np.cumsum(partial.value_lengths().to_numpy(zero_copy_only=False)))
-                flat = partial.flatten().to_numpy()
-                word = np.maximum(-1 - flat.astype(np.int64), 0)
-                n = np.where(flat < 0, np.diff(of)[word], 1) if len(of) > 1 else np.ones(len(flat), np.int64)
-                to = np.append(0, np.cumsum(n))
-                first = np.where(flat < 0, of[word], len(known) + np.arange(len(flat)))
-                ids = np.concatenate([known, flat]).astype(np.int32)[np.repeat(first - to[:-1], n) + np.arange(to[-1])]
-                rows = pa.RecordBatch.from_arrays([*(docs.field(i) for i in range(len(others))), _lists(to[ends], pa.array(ids))], [*(f"c{i}" for i in range(len(others))), "ids"])
-                for lo in range(0, len(docs), 1024):
-                    yield rows.slice(lo, 1024)
-
-    blocks = cut.mapInArrow(blocked, T.StructType([T.StructField("told", T.IntegerType()), T.StructField("docs", T.ArrayType(doc)), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("long", T.ArrayType(T.ArrayType(T.IntegerType())))]))
-    folded = with_rank_map(table, f"transform(words, (s, k) -> if(s is null, long[k], {fold('cast(s as binary)')}))")
-    put = blocks.select("told", "docs", folded.alias("ids")).mapInArrow(resolved, T.StructType([*doc.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+            run = np.cumsum(b.column("pieces").value_lengths().to_numpy(zero_copy_only=False)) // block
+            cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(cuts, cuts[1:]):
+                yield together(b.slice(lo, hi - lo))
+
+    put = cut.mapInArrow(encoded, T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
     return put.select(*(F.col(f"c{i}").alias(f.name) for i, f in enumerate(others)), F.col("ids").alias(out))
 
 

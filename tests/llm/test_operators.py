@@ -338,6 +338,18 @@ def test_bpe(spark):
         assert list(r["ids"]) == own.encode_ordinary(t) and bytes(r["decoded"]) == t.encode()
 
 
+def test_merges_in_rows():
+    """Words of all lengths at once, in rows of an array; ids equal the heap's."""
+    table = bpe.ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    rng = random.Random(7)
+    letters = "etaoinshrdlu éß漢 -"
+    some = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 70))).encode() for _ in range(500)] + [b"a" * 1_024, b"a" * 1_025, b"", b"the", b"\x00"]
+    counts, ids = bpe.merged_all(some, bpe.Merges(table), table)
+    want = [bpe.merged(w, table) for w in some]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert not len(bpe.merged_all([], bpe.Merges(table), table)[1])
+
+
 def test_fold_equals_merges(spark):
     table = bpe.ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     pieces = [" the", "x", "zqzqzq", " unbelievably", "ééé", "漢", "thtionnding", "aaaaaaa"]
