@@ -1,26 +1,28 @@
 """Boosted trees for several classes: softmax gradients, histograms of gradients summed by Spark, and Shapley values of the trees.
 
-One level of a round's trees, for all classes at once, is one aggregate by (class, node, feature, bin) over the rows. Only these
-sums, whose number depends on the parameters alone, and the trees reach the driver. Gradients are summed as whole numbers of a fixed
+One level of a round's trees, for all classes at once, is one pass over the rows' bins that counts by (class, node, feature, bin) in
+arrays, which tasks sum. Only these sums, whose number depends on the parameters alone, and the trees reach the driver. Gradients are summed as whole numbers of a fixed
 fraction, so sums and trees don't depend on the order of rows or on partitions. Margins are stored every few rounds.
 
 A row without a value for a feature goes the way that gained more in training. Attributions are the exact Shapley values of each
-tree under its own covers: each leaf is a row of a path table (class, value, bounds and share of cover by feature), joined by class,
-and sums over paths and features give a row's values. They sum to the margin less the mean under the covers.
+tree under its own covers: each leaf is a row of a path table (class, value, bounds and share of cover by feature), and sums over the
+paths of a row's class give its values. They sum to the margin less the mean under the covers.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.shared import scratch, stored
+from ..functions.shared import scratch, stored, summed
 
 
 @dataclass(frozen=True)
@@ -58,31 +60,6 @@ def _literal(values: np.ndarray, kind: str) -> str:
     return f"cast(split('{','.join(map(repr, values.ravel().tolist()))}', ',') as array<{kind}>)"
 
 
-def _with_trees(df: DataFrame, t: Trees, *more: str) -> DataFrame:
-    return df.selectExpr("*", f"{_literal(t.split, 'int')} as _split", f"{_literal(t.cut, 'double')} as _cut", f"{_literal(t.missing_right.astype(int), 'int')} as _miss", f"{_literal(t.value, 'double')} as _value", *more)
-
-
-def _walk(base: str, steps: int) -> str:
-    """SQL: the node that a row reaches in `steps` steps, in the tree whose nodes begin at base."""
-    if not steps:
-        return "1"
-    at = f"{base} + n"
-    v = f"get(x, get(_split, {at}))"
-    right = f"if(get(_split, {at}) < 0, 0, if({v} is null, get(_miss, {at}), if({v} < get(_cut, {at}), 0, 1)))"
-    return f"aggregate(array_repeat(0, {steps}), 1, (n, step) -> 2 * n + {right})"
-
-
-def _margins(shape: tuple[int, int, int], before: str) -> str:
-    """SQL: array of the classes' margins, added to those before."""
-    rounds, classes, size = shape
-    if not rounds:
-        return before
-    depth = size.bit_length() - 1
-    base = f"(r * {classes} + k) * {size}"
-    leaf = f"get(_value, {base} + {_walk(base, depth)} - {size})"
-    return f"transform(sequence(0, {classes - 1}), k -> aggregate(sequence(0, {rounds - 1}), get({before}, k), (s, r) -> s + {leaf}))"
-
-
 def vector(features: Sequence[str]) -> Column:
     """array<double>; null where a feature is null or not a number."""
     return F.array(*(F.when(~F.isnan(F.col(f"`{f}`").cast("double")), F.col(f"`{f}`").cast("double")) for f in features))
@@ -140,7 +117,7 @@ def _fit(rows: DataFrame, features: tuple[str, ...], label: str, weight: str, cl
     width = max((len(c) for c in cuts), default=0) + 2
     bins = F.array(*(_bin(F.col("x")[i], c) for i, c in enumerate(cuts)))
     parts = -(-data.count() // ROWS)
-    data = stored(data.withColumn("bins", bins).withColumn("m", F.array_repeat(F.lit(0.0), classes)).repartition(max(1, parts)))
+    data = stored(data.select("y", "w", bins.alias("bins"), F.array_repeat(F.lit(0.0), classes).alias("m")).repartition(max(1, parts)))
     made: list[tuple[np.ndarray, ...]] = []
     done = 0
 
@@ -150,21 +127,29 @@ def _fit(rows: DataFrame, features: tuple[str, ...], label: str, weight: str, cl
             return Trees(features, empty.astype(int), empty, empty.astype(bool), empty, np.zeros((0, classes, 2 * size)))
         return Trees(features, *(np.stack([t[i] for t in part]) for i in range(5)))
 
-    def with_margins(df: DataFrame) -> DataFrame:
-        new = trees(made[done:])
-        return _with_trees(df, new).selectExpr("x", "y", "w", "bins", f"{_margins(new.shape, 'm')} as m") if len(new.split) else df
+    def added() -> DataFrame:
+        """The rows with the margins of the trees that they lack."""
+        new = tuple(made[done:])
+
+        def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                m = _moved(b, new, n, classes)
+                ends = pa.array(np.arange(len(m) + 1) * classes, pa.int32())
+                yield b.set_column(b.schema.get_field_index("m"), "m", pa.ListArray.from_arrays(ends, pa.array(m.ravel())))
+
+        return data.mapInArrow(moved, data.schema)
 
     for r in range(p.rounds):
         if r - done == p.store_every:
-            data, done = stored(with_margins(data)), r
-        now = tuple(np.full((classes, size), v) for v in (-1, 0.0, False, 0.0)) + (np.zeros((classes, 2 * size)),)
-        split, cut, miss, value, cover = now
+            data, done = stored(added()), r
+        now = tuple(np.full((classes, size), v) for v in (-1, 0.0, False, 0.0)) + (np.zeros((classes, 2 * size)), np.zeros((classes, size), int))
+        split, cut, miss, value, cover, bound = now
         sums = np.zeros((classes, 2 * size, 2))
         open_ = {(k, 1) for k in range(classes)}
         for level in range(p.depth):
             if not open_:
                 break
-            g, h = _histograms(with_margins(data), trees([now]), level, sorted(open_), classes, n, width)
+            g, h = _histograms(data, tuple(made[done:]), now, level, sorted(open_), classes, n, width)
             grown = set()
             for i, (k, node) in enumerate(sorted(open_)):
                 if level == 0:
@@ -172,7 +157,7 @@ def _fit(rows: DataFrame, features: tuple[str, ...], label: str, weight: str, cl
                 if (found := _best(g[i], h[i], p)) is None:
                     continue
                 f, b, right, parts = found
-                split[k, node], cut[k, node], miss[k, node] = f, cuts[f][b - 2], right
+                split[k, node], cut[k, node], miss[k, node], bound[k, node] = f, cuts[f][b - 2], right, b
                 sums[k, 2 * node], sums[k, 2 * node + 1] = parts
                 grown |= {(k, 2 * node), (k, 2 * node + 1)}
             open_ = grown
@@ -190,24 +175,57 @@ def _fit(rows: DataFrame, features: tuple[str, ...], label: str, weight: str, cl
     return trees(made)
 
 
-def _histograms(data: DataFrame, now: Trees, level: int, nodes: list[tuple[int, int]], classes: int, n_features: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+def _bins(b: pa.RecordBatch, n_features: int) -> np.ndarray:
+    return b.column("bins").flatten().to_numpy().reshape(-1, n_features)
+
+
+def _reached(bins: np.ndarray, tree: tuple[np.ndarray, ...], k: int, steps: int) -> np.ndarray:
+    """The node that each row reaches in `steps` steps of class k's tree, by bins: those of a cut and above begin at its bound."""
+    split, _, miss, _, _, bound = (part[k] for part in tree)
+    node = np.ones(len(bins), np.int64)
+    for _ in range(steps):
+        f = split[node].astype(int)
+        at = bins[np.arange(len(bins)), np.maximum(f, 0)]
+        node = 2 * node + ((f >= 0) & np.where(at == 0, miss[node].astype(bool), at >= bound[node]))
+    return node
+
+
+def _moved(b: pa.RecordBatch, new: Sequence[tuple[np.ndarray, ...]], n_features: int, classes: int) -> np.ndarray:
+    """(rows, classes): margins with those of new trees."""
+    m, bins = b.column("m").flatten().to_numpy().reshape(-1, classes).copy(), _bins(b, n_features)
+    for tree in new:
+        size = tree[0].shape[1]
+        for k in range(classes):
+            m[:, k] += tree[3][k][_reached(bins, tree, k, size.bit_length() - 1) - size]
+    return m
+
+
+def _histograms(data: DataFrame, new: tuple, now: tuple[np.ndarray, ...], level: int, nodes: list[tuple[int, int]], classes: int, n_features: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Sums of gradients and hessians (nodes, features, bins) as whole numbers."""
-    size = now.shape[2]
-    slot = np.full((classes, size), -1)
+    slot = np.full((classes, now[0].shape[1]), -1)
     for i, (k, node) in enumerate(nodes):
         slot[k, node] = i
-    scale = float(1 << _BITS)
-    chance = "get(e, k) / total"
-    cell = f"""named_struct('slot', get(_slot, k * {size} + {_walk(f'k * {size}', level)}),
-      'g', cast(rint(({chance} - if(y = k, 1, 0)) * w * {scale}) as bigint),
-      'h', cast(rint(greatest(2 * {chance} * (1 - {chance}), 1e-16) * w * {scale}) as bigint))"""
-    soft = data.selectExpr("x", "y", "w", "bins", "transform(m, z -> exp(z - array_max(m))) as e").selectExpr("*", "aggregate(e, 0D, (s, z) -> s + z) as total")
-    each = _with_trees(soft, now, f"{_literal(slot, 'int')} as _slot").selectExpr(f"explode(transform(sequence(0, {classes - 1}), k -> {cell})) as c", "bins")
-    cells = each.where("c.slot >= 0").selectExpr("c.slot", "c.g", "c.h", "posexplode(bins) as (f, b)")
-    found = cells.groupBy("slot", "f", "b").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()  # by node, feature and bin
-    g, h = np.zeros((2, len(nodes), n_features, width), np.int64)
-    at = tuple(found.column(c).to_numpy() for c in ("slot", "f", "b"))
-    g[at], h[at] = found.column("g").to_numpy(), found.column("h").to_numpy()
+    scale, low, cells = float(1 << _BITS), 20, len(nodes) * n_features * width
+
+    def counted(b: pa.RecordBatch) -> np.ndarray:
+        m, bins, y, w = _moved(b, new, n_features, classes), _bins(b, n_features), b.column("y").to_numpy(), b.column("w").to_numpy()
+        e = np.exp(m - m.max(1, keepdims=True))
+        chance = e / e.sum(1, keepdims=True)
+        out = np.zeros((2, cells), np.int64)
+        for k in range(classes):
+            own = slot[k, _reached(bins, now, k, level)]
+            at = ((own[:, None] * n_features + np.arange(n_features)) * width + bins)[own >= 0].ravel()
+            p = chance[:, k]
+            for i, v in enumerate(((p - (y == k)) * w, np.maximum(2 * p * (1 - p), 1e-16) * w)):
+                whole = np.repeat(np.rint(v * scale).astype(np.int64)[own >= 0], n_features)
+                # Sums of doubles, exact since both halves stay short.
+                for part, shift in ((whole >> low, low), (whole & (1 << low) - 1, 0)):
+                    out[i] += np.bincount(at, part, cells).astype(np.int64) << shift
+        return out.ravel()
+
+    found = summed(data, counted, np.int64)
+    shape = (2, len(nodes), n_features, width)
+    g, h = np.zeros(shape, np.int64) if found is None else found.reshape(shape)
     return g, h
 
 
@@ -215,9 +233,26 @@ def _histograms(data: DataFrame, now: Trees, level: int, nodes: list[tuple[int,
 def chances(rows: DataFrame, trees: Trees) -> DataFrame:
     """Adds m (array of margins) and p0, p1, ...: their softmax."""
     classes = trees.shape[1]
-    at = _with_trees(rows.withColumn("x", vector(trees.features)), trees)
-    zero = f"array_repeat(0D, {classes})"
-    out = at.withColumn("m", F.expr(_margins(trees.shape, zero))).drop("x", "_split", "_cut", "_miss", "_value")
+    depth = trees.shape[2].bit_length() - 1
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            m, every = np.zeros((len(x), classes)), np.arange(len(x))
+            for split, cut, miss, value in zip(trees.split, trees.cut, trees.missing_right, trees.value, strict=True):
+                for k in range(classes):
+                    node = np.ones(len(x), np.int64)
+                    for _ in range(depth):
+                        f = split[k][node].astype(int)
+                        v = x[every, np.maximum(f, 0)]
+                        node = 2 * node + ((f >= 0) & np.where(np.isnan(v), miss[k][node].astype(bool), v >= cut[k][node]))
+                    m[:, k] += value[k][node - len(value[k])]
+            ends = pa.array(np.arange(len(m) + 1) * classes, pa.int32())
+            yield b.set_column(b.schema.get_field_index("_x"), "m", pa.ListArray.from_arrays(ends, pa.array(m.ravel())))
+
+    kept = [f for f in rows.schema.fields if f.name != "m"]
+    with_x = rows.select(*(F.col(f"`{f.name}`") for f in kept), vector(trees.features).alias("_x"))
+    out = with_x.mapInArrow(scored, T.StructType([*kept, T.StructField("m", T.ArrayType(T.DoubleType()))]))
     soft = F.transform("m", lambda z: F.exp(z - F.array_max("m")))
     total = F.aggregate(soft, F.lit(0.0), lambda s, z: s + z)
     return out.withColumns({f"p{k}": soft[k] / total for k in range(classes)})
@@ -247,12 +282,6 @@ def paths(trees: Trees) -> list[tuple]:
     return out
 
 
-def path_table(spark: SparkSession, trees: Trees) -> DataFrame:
-    depth = trees.shape[2].bit_length() - 1
-    cells = ", ".join(f"f{i} int, lo{i} double, hi{i} double, miss{i} boolean, z{i} double" for i in range(depth))
-    return spark.createDataFrame(paths(trees), f"of_class int, value double, {cells}")
-
-
 def base_values(trees: Trees) -> list[float]:
     """Each class's mean margin under the covers."""
     depth, out = trees.shape[2].bit_length() - 1, [0.0] * trees.shape[1]
@@ -261,29 +290,47 @@ def base_values(trees: Trees) -> list[float]:
     return out
 
 
+#: Rows of a class whose paths are held at once.
+ATTRIBUTED = 256
+
+
 def attributions(rows: DataFrame, trees: Trees, keys: Sequence[str], class_col: str = "class") -> DataFrame:
-    """(keys, class_col, phi: array<double> by feature): Shapley values of the margin of each row's class. The path table, which the
-    parameters bound, is broadcast; keys tell rows apart, and a row's terms are summed before they are shuffled."""
-    depth = trees.shape[2].bit_length() - 1
-    table = F.broadcast(path_table(rows.sparkSession, trees))
-    own = rows.select(*keys, F.col(class_col).alias("_class"), vector(trees.features).alias("x"))
-    on = own.join(table, F.col("_class") == F.col("of_class"))
-    here = {f"o{i}": F.expr(f"case when f{i} < 0 then 1D when get(x, f{i}) is null then if(miss{i}, 1D, 0D) when get(x, f{i}) >= lo{i} and get(x, f{i}) < hi{i} then 1D else 0D end") for i in range(depth)}
-    terms = []
-    for i in range(depth):
-        others = [j for j in range(depth) if j != i]
-        parts = []
-        for n in range(depth):
-            share = math.factorial(n) * math.factorial(depth - n - 1) / math.factorial(depth)
-            for inside in itertools.combinations(others, n):
-                parts.append(" * ".join([f"{share!r}D", *(f"o{j}" if j in inside else f"z{j}" for j in others)]))
-        terms.append(f"named_struct('f', f{i}, 'v', value * (o{i} - z{i}) * ({' + '.join(parts)}))")
-    cells = on.withColumns(here).select(*keys, "_class", F.inline(F.expr(f"array({', '.join(terms)})"))).where("f >= 0")
-    sums = cells.groupBy(*keys, "_class", "f").agg(F.sum("v").alias("v"))
-    by_row = sums.groupBy(*keys, "_class").agg(F.map_from_entries(F.collect_list(F.struct("f", "v"))).alias("_m"))
-    full = own.select(*keys, "_class").join(by_row, [*keys, "_class"], "left")
-    phi = F.transform(F.sequence(F.lit(0), F.lit(len(trees.features) - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0)))
-    return full.select(*keys, F.col("_class").alias(class_col), phi.alias("phi"))
+    """(keys, class_col, phi: array<double> by feature): Shapley values of the margin of each row's class, row by row; the path table,
+    which the parameters bound, goes to the tasks."""
+    n, depth = len(trees.features), trees.shape[2].bit_length() - 1
+    table = paths(trees)
+    by_class = {k: np.array([r[1:] for r in table if r[0] == k], float) for k in range(trees.shape[1])}
+    terms = [[(math.factorial(len(inside)) * math.factorial(depth - len(inside) - 1) / math.factorial(depth), inside) for size in range(depth) for inside in itertools.combinations([j for j in range(depth) if j != i], size)] for i in range(depth)]
+
+    def values(x: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        value, (f, lo, hi, miss, z) = cells[:, 0], (cells[:, 1 + c :: 5] for c in range(5))
+        v = x[:, np.maximum(f.astype(int), 0)]
+        here = np.where(f < 0, 1.0, np.where(np.isnan(v), miss, (v >= lo) & (v < hi)))
+        phi = np.zeros(x.shape)
+        for i in range(depth):
+            share = 0.0
+            for part, inside in terms[i]:
+                product = np.full(here.shape[:2], part)
+                for j in range(depth):
+                    if j != i:
+                        product = product * (here[:, :, j] if j in inside else z[:, j])
+                share = share + product
+            phi += value * (here[:, :, i] - z[:, i]) * share @ (f[:, i][:, None] == np.arange(n))
+        return phi
+
+    def attributed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            of, phi = np.array([-1 if k is None else k for k in b.column(class_col).to_pylist()], int), np.zeros(x.shape)
+            for k, cells in by_class.items():
+                own = np.flatnonzero(of == k)
+                for lo in range(0, len(own) if len(cells) else 0, ATTRIBUTED):
+                    phi[own[lo : lo + ATTRIBUTED]] = values(x[own[lo : lo + ATTRIBUTED]], cells)
+            ends = pa.array(np.arange(len(x) + 1) * n, pa.int32())
+            yield b.set_column(b.schema.get_field_index("_x"), "phi", pa.ListArray.from_arrays(ends, pa.array(phi.ravel())))
+
+    own = rows.select(*keys, F.col(class_col), vector(trees.features).alias("_x"))
+    return own.mapInArrow(attributed, T.StructType([*own.schema.fields[:-1], T.StructField("phi", T.ArrayType(T.DoubleType()))]))
 
 
 def top_two(df: DataFrame, features: Sequence[str], phi: str = "phi") -> DataFrame:

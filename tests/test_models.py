@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fieldloom.functions import shared
 from fieldloom.operators import boosting, mixtures, training
 from fieldloom.sources import models
 
@@ -310,3 +311,13 @@ def test_training_of_nothing(spark):
     assert [tuple(r)[1:] for r in training.scan(df.where("parcel_id = 'p0'").withColumn("q", F.array(F.lit(0.2), F.lit(1.0), F.lit(None).cast("double"))), None).collect()] == [(None, pytest.approx(2.2 / 3), 1)]
     one = training.train(df.limit(1), training.Training(epochs=2))
     assert training.scan(df.where("false"), one).count() == 0 and len(one.losses) == 2
+
+
+# --- sums of arrays
+def test_summed(spark):
+    """Whole numbers stay exact, over fewer and more tasks than SUMS; None without rows."""
+    df = spark.range(1_000).select(F.col("id"))
+    one = lambda b: np.array([sum((1 << 44) + v for v in b.column("id").to_pylist()), b.num_rows])
+    for n in (3, shared.SUMS + 5):
+        assert shared.summed(df.repartition(n), one, np.int64).tolist() == [1_000 * (1 << 44) + 499_500, 1_000]
+    assert shared.summed(df.where("false"), one, np.int64) is None
