@@ -13,10 +13,11 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.shared import scratch, stored
+from ..functions.shared import scratch, stored, summed
 
 #: Steps that move centres alone before covariances are fitted.
 HARD = 5
@@ -50,13 +51,20 @@ def _literal(values: Iterable[float], kind: str = "double") -> Column:
     return F.split(F.lit(",".join(map(repr, map(float, values) if kind == "double" else map(int, values)))), ",").cast(f"array<{kind}>")
 
 
-def with_responsibilities(df: DataFrame, vector: str, runs: Sequence[Mixture], hard: bool = False) -> DataFrame:
-    """Adds runs: array<struct<q, lse, r>>, for each run the log density of the point and the responsibility of each component; if
-    hard, 1 for the nearest centre and 0 for the others."""
+def _affine(runs: Sequence[Mixture], hard: bool) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """For each run: matrices (k, d, d) and shifts (k, d) that make its components standard normal ones, and log levels (k)."""
     d = runs[0].means.shape[1]
     white = [np.broadcast_to(np.eye(d), (m.k, d, d)) if hard else m.whitening() for m in runs]
     shift = [np.einsum("ki,kij->kj", m.means, p) for m, p in zip(runs, white, strict=True)]
     level = [np.zeros(m.k) if hard else np.log(np.maximum(m.weights, 1e-300)) + np.log(np.diagonal(p, axis1=1, axis2=2)).sum(1) - d / 2 * math.log(2 * math.pi) for m, p in zip(runs, white, strict=True)]
+    return white, shift, level
+
+
+def with_responsibilities(df: DataFrame, vector: str, runs: Sequence[Mixture], hard: bool = False) -> DataFrame:
+    """Adds runs: array<struct<q, lse, r>>, for each run the log density of the point and the responsibility of each component; if
+    hard, 1 for the nearest centre and 0 for the others."""
+    d = runs[0].means.shape[1]
+    white, shift, level = _affine(runs, hard)
     first = np.concatenate(([0], np.cumsum([m.k for m in runs])))
     tables = {"_p": np.concatenate(white).ravel(), "_b": np.concatenate(shift).ravel(), "_l": np.concatenate(level)}
     cell = f"aggregate(sequence(0, {d - 1}), -get(_b, c * {d} + j), (u, i) -> u + get(`{vector}`, i) * get(_p, (c * {d} + i) * {d} + j))"
@@ -69,23 +77,44 @@ def with_responsibilities(df: DataFrame, vector: str, runs: Sequence[Mixture], h
     return out.withColumn("runs", F.expr(f"transform(sequence(0, {len(runs) - 1}), q -> {run})")).drop("_p", "_b", "_l", "_first")
 
 
+#: Points whose densities under all components are held at once.
+POINTS = 2_048
+
+
 def sums(df: DataFrame, vector: str, runs: Sequence[Mixture], hard: bool = False) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, float]]:
-    """For each run: soft counts (k), sums (k, d), sums of outer products (k, d, d), and the sum of log densities."""
+    """For each run: soft counts (k), sums (k, d), sums of outer products (k, d, d), and the sum of log densities. Batches of points
+    are arrays, and a task sends one sum."""
     d = runs[0].means.shape[1]
-    x = [F.col("x")[i] for i in range(d)]
-    pairs = [(i, j) for i in range(d) for j in range(i + 1)]
-    each = with_responsibilities(df.select(F.col(vector).alias("x")), "x", runs, hard).select("x", F.inline("runs")).select("x", "q", "lse", F.posexplode("r").alias("c", "w"))
-    found = each.groupBy("q", "c").agg(
-        F.sum("w").alias("n"), F.sum(F.when(F.col("c") == 0, F.col("lse"))).alias("lse"), *(F.sum(F.col("w") * v).alias(f"m{i}") for i, v in enumerate(x)), *(F.sum(F.col("w") * x[i] * x[j]).alias(f"s{i}_{j}") for i, j in pairs)
-    ).collect()  # a row for each component
-    out = [(np.zeros(m.k), np.zeros((m.k, d)), np.zeros((m.k, d, d)), [0.0]) for m in runs]
-    for r in found:
-        n, mean, outer, lse = out[r["q"]]
-        n[r["c"]], mean[r["c"]] = r["n"], [r[f"m{i}"] for i in range(d)]
-        for i, j in pairs:
-            outer[r["c"], i, j] = outer[r["c"], j, i] = r[f"s{i}_{j}"]
-        lse[0] += r["lse"] or 0.0
-    return [(n, mean, outer, lse[0]) for n, mean, outer, lse in out]
+    white, shift, level = map(np.concatenate, _affine(runs, hard))
+    sizes = np.array([m.k for m in runs])
+    first, run = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(runs)), sizes)
+    matrix = white.transpose(1, 0, 2).reshape(d, -1)
+
+    def part(b: pa.RecordBatch) -> np.ndarray:
+        every = np.asarray(b.column("x").flatten(), float).reshape(-1, d)
+        total = 0.0
+        for lo in range(0, len(every), POINTS):
+            x = every[lo : lo + POINTS]
+            z = level - 0.5 * (((x @ matrix).reshape(len(x), -1, d) - shift) ** 2).sum(2)
+            top = np.maximum.reduceat(z, first, axis=1)
+            lse = top + np.log(np.add.reduceat(np.exp(z - top[:, run]), first, axis=1))
+            if hard:  # the first of the nearest
+                r = np.zeros_like(z)
+                for q, k in enumerate(sizes):
+                    r[np.arange(len(x)), first[q] + z[:, first[q] : first[q] + k].argmax(1)] = 1.0
+            else:
+                r = np.exp(z - lse[:, run])
+            square = (x[:, :, None] * x[:, None, :]).reshape(len(x), -1)
+            total = total + np.concatenate([r.sum(0), (r.T @ x).ravel(), (r.T @ square).ravel(), lse.sum(0)])
+        return total
+
+    n = int(sizes.sum())
+    found = summed(df.select(F.col(vector).cast("array<double>").alias("x")), part)
+    if found is None:
+        found = np.zeros(n * (1 + d + d * d) + len(runs))
+    count, mean, outer, lse = np.split(found, np.cumsum([n, n * d, n * d * d]))
+    mean, outer = mean.reshape(n, d), outer.reshape(n, d, d)
+    return [(count[i : i + k], mean[i : i + k], outer[i : i + k], float(v)) for i, k, v in zip(first, sizes, lse, strict=True)]
 
 
 def updated(before: Mixture, n: np.ndarray, mean: np.ndarray, outer: np.ndarray, ridge: float, least: float = 1e-9) -> Mixture:
