@@ -22,12 +22,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip_quality
-from ..functions.shared import scratch, stored
+from ..functions.shared import scratch, stored, summed
 from .scoring import forget_rate
 
-#: Tasks that sum the gradients of all others before the driver does.
-SUMS = 16
-
 
 @dataclass(frozen=True)
 class Training:
@@ -173,36 +170,22 @@ def _epoch(table: DataFrame, a: Net, b: Net, months: int, features: int, p: Trai
     """Means over batches of gradients and losses."""
     forget = forget_rate(epoch, p.noise_rate, p.gradual)
     sent = table.sparkSession.sparkContext.broadcast((a, b))
-    schema = "n long, a binary, b binary, loss_a double, loss_b double"
-    row = lambda n, ga, gb, la, lb: pa.RecordBatch.from_pydict({"n": [n], "a": [ga.tobytes()], "b": [gb.tobytes()], "loss_a": [la], "loss_b": [lb]})
 
-    def stepped(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def stepped(part: pa.RecordBatch) -> np.ndarray:
         net_a, net_b = sent.value
-        total = None
-        for part in it:
-            for x, q, hidden in zip(part.column("x").to_pylist(), part.column("q").to_pylist(), part.column("hidden").to_pylist(), strict=True):
-                x = np.frombuffer(x, "<f4").reshape(-1, months * features).astype(float)
-                weight = _weights(hidden, np.frombuffer(q, "<f4").reshape(-1, months).astype(float), features)
-                now = (1, *exchange(net_a, net_b, x, weight, forget))
-                total = now if total is None else tuple(s + v for s, v in zip(total, now, strict=True))
-        if total is not None:
-            yield row(*total)
-
-    def added(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for part in it:
-            for r in part.to_pylist():
-                now = (r["n"], np.frombuffer(r["a"]), np.frombuffer(r["b"]), r["loss_a"], r["loss_b"])
-                total = now if total is None else tuple(s + v for s, v in zip(total, now, strict=True))
-        if total is not None:
-            yield row(*total)
+        total = 0.0
+        for x, q, hidden in zip(part.column("x").to_pylist(), part.column("q").to_pylist(), part.column("hidden").to_pylist(), strict=True):
+            x = np.frombuffer(x, "<f4").reshape(-1, months * features).astype(float)
+            weight = _weights(hidden, np.frombuffer(q, "<f4").reshape(-1, months).astype(float), features)
+            grad_a, grad_b, loss_a, loss_b = exchange(net_a, net_b, x, weight, forget)
+            total = total + np.concatenate([[1.0, loss_a, loss_b], grad_a, grad_b])
+        return total
 
     hide = F.transform("ids", lambda i: hidden_months(i, months, p.mask_ratio, p.seed, epoch))
-    sums = table.select("x", "q", hide.alias("hidden")).mapInArrow(stepped, schema).repartition(SUMS).mapInArrow(added, schema)
-    found = sums.collect()  # at most SUMS rows of the nets' size
+    sums = summed(table.select("x", "q", hide.alias("hidden")), stepped)
     sent.unpersist()
-    n = sum(r["n"] for r in found)
-    return sum(np.frombuffer(r["a"]) for r in found) / n, sum(np.frombuffer(r["b"]) for r in found) / n, sum(r["loss_a"] for r in found) / n, sum(r["loss_b"] for r in found) / n
+    grad_a, grad_b = np.split(sums[3:] / sums[0], 2)
+    return grad_a, grad_b, float(sums[1] / sums[0]), float(sums[2] / sums[0])
 
 
 def train(panel: DataFrame, params: Training = Training(), key: str = "parcel_id") -> Trained | None:
