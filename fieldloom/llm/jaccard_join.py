@@ -9,8 +9,9 @@ stand last and don't make candidates of all of these.
 
 * Documents with equal sets are linked at once. Documents with equal prefixes and sizes collapse into one group.
 * Groups that share a prefix n-gram and fit in size and position are candidates: all that comes before the first n-gram
-  that two sets share is in one of them only, so the two positions bound their difference from below. First each
-  n-gram's pivot group meets all of its groups; each document is verified with the most alike of those it met, then with
+  that two sets share is in one of them only, so the two positions bound their difference from below. An n-gram's groups
+  are in runs of sizes: between neighbours in a run, none is too large for the other. First each run's pivot, the group
+  that has the n-gram foremost and so can link with most, meets all of its groups; each document is verified with the most alike of those it met, then with
   the others whose classes still differ. After that only pairs of one n-gram or one group whose classes differ are left, so
   a group of thousands of near copies costs a multiple of its size, and not its square. The classes are exact either way:
   every pair that can link either shares a class already or is looked at.
@@ -226,14 +227,16 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     copies = stored(light.groupBy("set1", "set2", "n", "group").agg(F.min("row").alias("row"), F.first("parity").alias("parity")))
     equal = light.join(copies.select("set1", "set2", "n", F.col("row").alias("a")), ["set1", "set2", "n"]).select("a", F.col("row").alias("b")).where("a != b")
     firsts = copies.select("row", "n", "group", "parity")
-    heads = stored(firsts.groupBy("group").agg(F.min("row").alias("row")))
-    prefixes = stored(signs.select("row", "n", "prefix").join(heads, "row").select("group", "n", "prefix"))
-    grams = prefixes.select("group", "n", F.posexplode("prefix").alias("pos", "gram"))
-    # N-grams that several groups share; the least group of each is its pivot.
-    by_gram = W.partitionBy("gram")
+    heads = stored(firsts.groupBy("group").agg(F.min("row").alias("row"), (F.count("*") == 1).alias("alone")))
+    prefixes = stored(signs.select("row", "n", "prefix").join(heads, "row").select("group", "n", "alone", "prefix"))
+    grams = prefixes.select("group", "n", "alone", F.posexplode("prefix").alias("pos", "gram"))
+    # N-grams that several groups share, by runs of sizes; the group of each run that has it foremost is its pivot.
+    by_size, by_run = W.partitionBy("gram").orderBy("n"), W.partitionBy("gram", "run")
+    gap = F.coalesce(F.lag("n").over(by_size) * 100 < F.col("n") * percent, F.lit(False))
+    runs = grams.withColumn("gap", gap.cast("int")).withColumn("run", F.sum("gap").over(by_size.rowsBetween(W.unboundedPreceding, 0)).cast("int"))
     shared = stored(
-        grams.withColumns({"p": F.min(F.struct("group", "n", "pos")).over(by_gram), "last": F.max("group").over(by_gram)})
-        .where("p.group != last").select("gram", "group", "n", "pos", F.col("p.group").alias("pivot"), F.col("p.n").alias("n_p"), F.col("p.pos").alias("pos_p"))
+        runs.withColumns({"p": F.min(F.struct("pos", "group", "n", "alone")).over(by_run), "many": F.count("*").over(by_run)})
+        .where("many > 1").select("gram", "run", "group", "n", "pos", "many", F.col("p.group").alias("pivot"), F.col("p.n").alias("n_p"), F.col("p.pos").alias("pos_p"), F.col("p.alone").alias("alone"))
     )
     met = shared.where("group != pivot").withColumnsRenamed({"n": "n_g", "pos": "pos_g"}).where(_near("g", "p", percent)).select("group", "pivot").distinct()
     first_of = heads.select(F.col("group").alias("pivot"), F.col("row").alias("a"))
@@ -253,11 +256,13 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     placed = stored(firsts.join(so_far, firsts["row"] == so_far["node"], "left").select("row", "n", "group", "parity", F.coalesce("label", "row").alias("class")))
     # The parity of a group's members of one class, if they all have the same.
     alike_in = placed.groupBy("group", "class").agg(F.min("parity").alias("parity"), F.max("parity").alias("other")).select("group", "class", F.when(F.col("parity") == F.col("other"), F.col("parity")).alias("parity"))
-    kinds = shared.join(alike_in, "group").select("gram", "group", "n", "pos", "class", "parity")
-    mixed = kinds.groupBy("gram").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("gram")
-    kinds = stored(kinds.join(mixed, "gram"))
-    x, y = (kinds.select("gram", *(F.col(c).alias(f"{c}_{s}") for c in ("group", "n", "pos", "class", "parity"))) for s in "xy")
-    apart = x.join(y, "gram").where((F.col("class_x") < F.col("class_y")) & (F.col("group_x") != F.col("group_y")) & _near("x", "y", percent) & _even("x", "y", percent)).select("group_x", "class_x", "group_y", "class_y").distinct()
+    # A pivot that is one row has met all of its run.
+    unmet = shared.where((F.col("many") > 2) & (F.col("group") != F.col("pivot")) | ~F.col("alone"))
+    kinds = unmet.join(alike_in, "group").select("gram", "run", "group", "n", "pos", "class", "parity")
+    mixed = kinds.groupBy("gram", "run").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("gram", "run")
+    kinds = stored(kinds.join(mixed, ["gram", "run"]))
+    x, y = (kinds.select("gram", "run", *(F.col(c).alias(f"{c}_{s}") for c in ("group", "n", "pos", "class", "parity"))) for s in "xy")
+    apart = x.join(y, ["gram", "run"]).where((F.col("class_x") < F.col("class_y")) & (F.col("group_x") != F.col("group_y")) & _near("x", "y", percent) & _even("x", "y", percent)).select("group_x", "class_x", "group_y", "class_y").distinct()
     # Members of one group need no shared n-gram. Sets of one size that aren't equal differ in two n-grams at least.
     own = alike_in.join(placed.where(F.col("n") * (100 - percent) >= 100 + percent).select("group", "n").distinct(), "group")
     split = own.groupBy("group").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("group")

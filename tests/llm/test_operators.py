@@ -308,6 +308,23 @@ def test_jaccard_within_group(spark):
     assert got == jaccard_classes(texts, 1, 90) and {got[i][1] for i in range(6)} == {0, 3}
 
 
+def test_jaccard_near_copies_meet_few(spark, monkeypatch):
+    """Near copies of one text, some of them cut up too much to be met by the others: pairs are a multiple of the copies."""
+    rng, met = random.Random(5), []
+    base = words(rng, 150, 3_000).split()
+    texts = []
+    for k in range(160):
+        copy = base[:]
+        for at in rng.sample(range(len(copy)), k % 5):
+            copy[at] = f"e{k}_{at}"
+        texts.append(" ".join(copy))
+    real = jaccard_join._alike
+    monkeypatch.setattr(jaccard_join, "_alike", lambda pairs, *rest: met.append(pairs.count()) or real(pairs, *rest))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.classes(docs(spark, texts), words=3, percent=90).collect()}
+    assert got == jaccard_classes(texts, 3, 90)
+    assert len(met) == 2 and met[1] <= len(texts) and sum(met) <= 16 * len(texts), met
+
+
 def test_jaccard_odd_rows(spark):
     rows = [(None, "a b c d e f", 1), (None, "a b c d e f", 2), (5, "a b c d e f", 3), (5, "a b c d e f", 4), (6, None, 5), (None, "x y z", 6), (None, "x y z", 7)]
     df = spark.createDataFrame(rows, "id long, row string, place int")
