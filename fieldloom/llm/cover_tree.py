@@ -3,7 +3,7 @@
 Rows go to the nearest of at most `centers` centres, a greedy covering of a bounded sample; that is the top of the
 candidates' tree, and it only decides which rows lie together: every row is indexed. Rows of one centre are cut by hash
 into blocks of about `block_rows`, so a centre that draws a third of all rows becomes many blocks. Queries are blocked
-the same way. Each task holds one block of queries and meets candidate blocks one after the other. Both sides have a
+the same way, but centres of few queries share a block: each block of queries reads all candidates once. Each task holds one block of queries and meets candidate blocks one after the other. Both sides have a
 cover tree: a node is a centre, its covering radius and children of smaller radius. A pair of nodes is left out when
 
     q.c + |q| r_c + |c| r_q + r_q r_c
@@ -37,6 +37,8 @@ from .common import stored
 CENTERS, SAMPLE_ROWS = 48, 4_096
 BLOCK_ROWS, QUERY_ROWS, LEAF, TASK_ROWS = 4_096, 256, 64, 65_536
 SHRINK = 0.7
+#: Parts of a node after which parts of fewer than four rows, on average, end the covering.
+PROBED = 8
 
 
 def _matrix(cells: pd.Series, dim: int, kind: type = np.int64) -> np.ndarray:
@@ -72,7 +74,8 @@ def grow(points: np.ndarray, rows: np.ndarray | None = None, leaf: int = LEAF) -
         near = ((own[left] - own[left[0]]) ** 2).sum(1) <= (SHRINK * radius) ** 2
         parts.append(rows[left[near]])
         left = left[~near]
-        if len(parts) > len(rows) // 4:  # points too far from each other to cover: a larger leaf
+        # Points too far from each other to cover: a larger leaf. Later parts are seldom larger, so the first ones tell.
+        if len(parts) >= PROBED and len(rows) - len(left) < 4 * len(parts) or len(parts) > len(rows) // 4:
             return node
     if len(parts) > 1:
         node.children = [grow(points, p, leaf) for p in parts]
@@ -111,7 +114,12 @@ class Search:
         score = self.points[rows] @ points.T
         self.scored += score.size
         score[self.ids[rows][:, None] == ids[None]] = self.none
-        rows, score = rows[keep := (score >= self.score[rows, -1:]).any(1)], score[keep]
+        worst = self.score[rows, -1:]
+        if score.shape[1] > self.k:
+            worst = np.maximum(worst, np.partition(score, -self.k, axis=1)[:, -self.k, None])
+        better = score >= worst
+        keep, some = better.any(1), better.any(0)
+        rows, score, ids = rows[keep], score[keep][:, some], ids[some]
         score = np.concatenate([self.score[rows], score], 1)
         found = np.concatenate([self.found[rows], np.broadcast_to(ids, (len(rows), len(ids)))], 1)
         best = np.lexsort((found, -score), axis=-1)[:, : self.k]
@@ -139,8 +147,8 @@ def vectors(df: DataFrame, id_col: str, vector_col: str, scale: int = 1024) -> D
     return df.where(usable).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
 
 
-def _blocks(rows: DataFrame, top: np.ndarray, dim: int, size: int, kind: type) -> DataFrame:
-    """(block, ids, points, n): rows of one centre and hash part, packed."""
+def _blocks(rows: DataFrame, top: np.ndarray, dim: int, size: int, kind: type, together: bool = False) -> DataFrame:
+    """(block, ids, points): rows of one centre and hash part, packed; together: centres that fill no block share one."""
     shared = rows.sparkSession.sparkContext.broadcast(top)
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -151,15 +159,22 @@ def _blocks(rows: DataFrame, top: np.ndarray, dim: int, size: int, kind: type) -
             yield pd.DataFrame({"vec_id": b["vec_id"], "v": b["v"], "center": near})
 
     near = stored(rows.mapInPandas(placed, "vec_id long, v array<long>, center int"))
-    parts = near.groupBy("center").agg(F.ceil(F.count("*") / size).alias("parts"))  # at most one row for each centre
-    cut = near.join(F.broadcast(parts), "center").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")))
+    parts, base, room = [], 0, size  # at most one row for each centre
+    for r in near.groupBy("center").count().orderBy("center").collect():
+        if not together or r["count"] > room:
+            base, room = base + 1, size
+        n = -(-r["count"] // size)
+        parts.append((r["center"], base, n))
+        base, room = base + n - 1, 0 if n > 1 else room - r["count"]
+    split = rows.sparkSession.createDataFrame(parts, "center int, base int, parts int")
+    cut = near.join(F.broadcast(split), "center").withColumn("part", (F.col("base") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).cast("int"))
 
     def packed(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("vec_id")
         m = _matrix(b["v"], dim, kind)
-        return pd.DataFrame({"block": [f"{b['center'].iat[0]}.{b['part'].iat[0]}"], "ids": [b["vec_id"].to_numpy(np.int64).tobytes()], "points": [m.tobytes()], "center": [b["center"].iat[0]]})
+        return pd.DataFrame({"block": [b["part"].iat[0]], "ids": [b["vec_id"].to_numpy(np.int64).tobytes()], "points": [m.tobytes()]})
 
-    return cut.groupBy("center", "part").applyInPandas(packed, "block string, ids binary, points binary, center int")
+    return cut.groupBy("part").applyInPandas(packed, "block int, ids binary, points binary")
 
 
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, centers: int = CENTERS, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS, task_rows: int = TASK_ROWS) -> DataFrame:
@@ -177,7 +192,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, centers: int =
     sample = candidates.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).toPandas()
     top = _top_level(_matrix(sample["v"], dim).astype(np.float64), centers)
     packed = stored(_blocks(candidates, top, dim, block_rows, kind))
-    groups = _blocks(queries.groupBy("vec_id").agg(F.min("v").alias("v")), top, dim, query_rows, kind)
+    groups = _blocks(queries.groupBy("vec_id").agg(F.min("v").alias("v")), top, dim, query_rows, kind, together=True)
     asked_blocks = stored(groups.select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("points").alias("q_points")))
     # Each candidate block meets each query block once, in one of `lanes` tasks of that query block.
     names = asked_blocks.groupBy().agg(F.collect_list("q_block").alias("q_blocks"))  # one name for each block of queries

@@ -169,6 +169,27 @@ def test_cover_tree_prunes():
         assert (((points[node.rows] - node.center) ** 2).sum(1) <= node.radius**2 + 1e-6).all()
 
 
+def test_cover_tree_of_far_points_gives_up_early(monkeypatch):
+    """Points that no few balls cover make a leaf after few passes over them, and not after one for each fourth row."""
+    points, passes = np.random.default_rng(6).normal(size=(2_000, 64)), []
+
+    class Watched(np.ndarray):
+        def __sub__(self, other):
+            passes.append(len(self))
+            return np.asarray(self) - np.asarray(other)
+
+    assert cover_tree.grow(points.view(Watched)).leaves() and len(passes) <= 2 * cover_tree.PROBED
+
+
+def test_cover_tree_queries_share_blocks(spark):
+    rng = np.random.default_rng(7)
+    v = rng.integers(-1_000, 1_000, (600, 8))
+    df = spark.createDataFrame([(i, [int(x) for x in row]) for i, row in enumerate(v)], "vec_id long, v array<long>")
+    top = v[:40].astype(float)
+    sizes = lambda **how: [len(r["ids"]) // 8 for r in cover_tree._blocks(df, top, 8, 100, np.int32, **how).collect()]
+    assert len(sizes()) == 40 and len(sizes(together=True)) <= 12 and sum(sizes(together=True)) == 600
+
+
 # --- 4 mixing
 def test_targets_stop_at_the_cap():
     got = mixing.targets([("b", 100), (None, 10), ("a", 10), ("c", 0)])
