@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, stored
+from .common import bytes_of, release, scratch, stored
 
 LENGTH, ANCHOR, HOT = 200, 80, 256
 #: Bytes that go into one suffix array, besides a last group.
@@ -88,16 +88,30 @@ def anchors(data: np.ndarray, length: int, size: int) -> tuple[np.ndarray, np.nd
 
 
 def suffix_ranks(text: np.ndarray, most: int) -> list[tuple[int, np.ndarray]]:
-    """(size, ranks of the first `size` symbols of each suffix): single symbols, then four, doubling while size is at most
-    `most`. Symbols are 0 to 510; past the end is lowest."""
+    """(size, ranks of the first `size` symbols of each suffix): single symbols, then seven (four, if most is less), doubling
+    while size is at most `most`. Symbols are 0 to 510; past the end is lowest. A rank is one more than the number of
+    lower suffixes, so suffixes that are alone in their rank keep it, and only the others are sorted again."""
     n = len(text)
     ahead = lambda a, k: np.concatenate([a[k:], np.zeros(min(k, n), np.int64)])
     symbols = text.astype(np.int64) + 1
-    levels, size, key = [(1, symbols)], 4, ((symbols << 9 | ahead(symbols, 1)) << 9 | ahead(symbols, 2)) << 9 | ahead(symbols, 3)
+    levels, size, key = [(1, symbols)], 7 if most >= 7 else 4, symbols
+    for k in range(1, size):
+        key = key << 9 | ahead(symbols, k)
+    at, before = np.arange(n), np.ones(n, np.int64)
     while size <= most:
-        rank = np.unique(key, return_inverse=True)[1].astype(np.int64) + 1
+        order = np.argsort(key)
+        at, before, key = at[order], before[order], key[order]
+        new = np.append(True, (key[1:] != key[:-1]) | (before[1:] != before[:-1]))[: len(key)]
+        group = np.append(True, before[1:] != before[:-1])[: len(key)]
+        first = lambda starts: np.flatnonzero(starts)[np.cumsum(starts) - 1]
+        rank = levels[-1][1].copy() if len(levels) > 1 else np.zeros(n, np.int64)
+        rank[at] = before + first(new) - first(group)
         levels.append((size, rank))
-        key, size = rank << 32 | ahead(rank, size), size * 2
+        tied = ~new
+        tied[:-1] |= ~new[1:]
+        at = at[tied]
+        before = rank[at]
+        key, size = before << 32 | ahead(rank, size)[at], size * 2
     return levels
 
 
@@ -204,9 +218,12 @@ def repeats(docs: DataFrame, length: int = LENGTH, keep: str = "none", anchor: i
             join = lambda xs: pa.array(np.concatenate([*xs, np.zeros(0, np.int64)]))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), join(at), join(prints), pa.array(contexts, pa.int64())], ["id", "row", "at", "print", "context"])
 
-    found = docs.mapInArrow(anchored, "id long, row long, at long, print long, context long")
+    # Anchors are read twice, to find what recurs and to keep it.
+    with scratch() as once:
+        found = stored(docs.mapInArrow(anchored, "id long, row long, at long, print long, context long"))
     again = found.groupBy("print").agg(F.min(F.struct("row", "at")).alias("a"), F.max(F.struct("row", "at")).alias("b")).where("a != b").select("print")
     shared = stored(found.join(again, "print"))
+    release(docs.sparkSession, once)
     # A print and a context hash together tell contexts apart.
     kinds = stored(shared.groupBy("print", "context").agg(F.min(F.struct("id", "row", "at")).alias("first"), F.max(F.struct("id", "row", "at")).alias("last")))
     twice = kinds.where("first != last").select("print", "context", "first")

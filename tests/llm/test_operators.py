@@ -122,6 +122,36 @@ def test_longest_factors():
     assert previous.tolist() == [factor(i, range(i)) for i in starts] and following.tolist() == [factor(i, range(i + 1, len(text))) for i in starts]
 
 
+def test_suffix_ranks_sort_what_is_tied(monkeypatch):
+    rng, sorted_ = np.random.default_rng(3), []
+    text = np.concatenate([rng.integers(0, 200, 4_000), np.tile(rng.integers(0, 200, 150), 3), [0] * 60])
+    real = np.argsort
+    monkeypatch.setattr(suffix_dedup.np, "argsort", lambda key: sorted_.append(len(key)) or real(key))
+    levels = suffix_dedup.suffix_ranks(text, 200)
+    assert [size for size, _ in levels] == [1, 7, 14, 28, 56, 112]
+    for size, rank in levels[1:]:
+        strings = [text[i : i + size].tolist() for i in range(len(text))]
+        number = {}
+        for k, x in enumerate(sorted(strings)):
+            number.setdefault(tuple(x), k + 1)
+        assert rank.tolist() == [number[tuple(x)] for x in strings]
+    assert sorted_[0] == len(text) and max(sorted_[1:]) < 600
+
+
+def test_suffix_anchors_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+    df = docs(spark, [("a passage of words that recur " * 12) + str(i) for i in range(6)])
+    rows = df.selectExpr("doc_id as id", "xxhash64(doc_id) as row", "cast(text as binary) as text")
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    suffix_dedup.repeats(rows.mapInArrow(counted, rows.schema))
+    assert made.value == 12  # for the anchors and for the contexts
+
+
 def test_op2(spark):
     texts = dict(duckdb.sql(f"select doc_id, text from '{SF}/documents.parquet'").fetchall())
     ids = list(texts)
