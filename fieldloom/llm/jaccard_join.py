@@ -25,6 +25,7 @@ A null id is the greatest. An empty table gives an empty result. Other columns p
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,14 +37,17 @@ from pyspark.sql import functions as F
 
 from .common import bytes_of, stored
 from .components import components
-from .suffix_tree_lm import tokens
 
 #: Places of the table of counts. What falls together by chance varies by the root of its sum, so n-grams of very many
 #: documents stand out at any size of the corpus.
 COUNTERS = 1 << 20
 #: Places of a set's parity: two sets differ in as many hashes at least as their parities do in places.
 PARITY = 256
-_CACHED = 500_000
+#: Bytes of texts whose words are hashed at once, in whole texts; words above so many bytes are hashed one by one.
+_BLOCK, _LONG = 1 << 19, 64
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: What keeps the first bytes of eight, by their number.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -52,40 +56,77 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _CACHED:
-            self.clear()
-        self[word] = found = xxhash.xxh3_64_intdigest(word)
-        return found
+def _blocks(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """Runs of whole texts of about _BLOCK bytes; a longer text is in the last place of its run."""
+    lo, size = 0, 0
+    for hi, text in enumerate(texts, 1):
+        size += len(text)
+        if size >= _BLOCK or hi == len(texts):
+            yield texts[lo:hi]
+            lo, size = hi, 0
+
+
+def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the texts' words, and where each text's words start and the last one's end. Words are those of bytes' own
+    lower() and split(), which know ASCII alone."""
+    run = b" ".join([b"", *texts, b" " * 8]).lower()
+    raw = np.frombuffer(run, np.uint8)
+    space = (raw == 32) | (raw - np.uint8(9) < 5)
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    start, size = edges[::2], edges[1::2] - edges[::2]
+    eight = np.ndarray(len(run) - 7, "<u8", run, strides=(1,))
+    out = _mix(size.astype(np.uint64) * _STEP + (eight[start] & _FIRST[np.minimum(size, 8)]))
+    left, done = np.flatnonzero((size > 8) & (size <= _LONG)), 8
+    while len(left):
+        out[left] = _mix(out[left] * _STEP + (eight[start[left] + done] & _FIRST[np.minimum(size[left] - done, 8)]))
+        done += 8
+        left = left[size[left] > done]
+    for i in np.flatnonzero(size > _LONG):
+        out[i] = xxhash.xxh3_64_intdigest(run[start[i] : start[i] + size[i]])
+    return out, np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in texts)]))
 
 
 class Shingler:
     """Sets of hashed word n-grams. counts: of documents, by hash modulo their number."""
 
     def __init__(self, n: int, counts: np.ndarray | None = None):
-        self.n, self.counts, self.known = n, counts, _Words()
-
-    def __call__(self, text: bytes) -> np.ndarray:
-        """Distinct hashes in order of hash."""
-        words = tokens(text)
-        if not words:
-            return np.zeros(0, np.uint64)
-        h = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
-        n = self.n if len(words) >= self.n else len(words)
-        many = len(words) - n + 1
-        out = np.full(many, n, np.uint64)
-        for i in range(n):
-            out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + many])
-        return np.unique(out)
-
-    def ordered(self, hashes: np.ndarray, first: int) -> np.ndarray:
-        """The `first` rarest hashes, by count, then by hash."""
-        count = self.counts[hashes % np.uint64(len(self.counts))]
-        if first < len(hashes):
-            near = np.flatnonzero(count <= np.partition(count, first - 1)[first - 1])
-            hashes, count = hashes[near], count[near]
-        return hashes[np.argsort(count, kind="stable")[:first]]
+        self.n, self.counts = n, counts
+
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Each text's distinct hashes in order of hash, and where each text's start and the last one's end."""
+        n, (words, at) = self.n, _word_hashes(texts)
+        lo, many = at[:-1], np.diff(at)
+
+        def grams(k: int, places: slice | np.ndarray) -> np.ndarray:
+            out = np.full(1, k, np.uint64)
+            for i in range(k):
+                out = _mix(out * _STEP + ahead[i:][places])
+            return out
+
+        ahead = np.append(words, np.zeros(n, np.uint64))
+        out, whole = grams(n, slice(0, len(words))), np.ones(len(words), bool)
+        for k in range(1, n):  # the last words of a text start no n-gram; k words alone are one
+            whole[(lo + many)[many >= k] - k] = False
+        for k in range(1, n):
+            short = lo[many == k]
+            out[short], whole[short] = grams(k, short), True
+        out, ends = out[whole], np.append(0, np.cumsum(np.where(many >= n, many - n + 1, np.minimum(many, 1))))
+        for a, b in itertools.pairwise(ends.tolist()):
+            out[a:b].sort()
+        new = np.append(True, out[1:] != out[:-1])[: len(out)]
+        new[ends[:-1][many > 0]] = True
+        return out[new], np.append(0, np.cumsum(new))[ends]
+
+    def ordered(self, hashes: np.ndarray, at: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text's hashes the `first` rarest, by count, then by hash, and where they start and end."""
+        # The place in the low half keeps the order of hashes: texts' hashes are sorted.
+        rank = self.counts[hashes % np.uint64(len(self.counts))].astype(np.uint64) << np.uint64(32) | np.arange(len(hashes), dtype=np.uint64)
+        parts = [np.zeros(0, np.uint64)]
+        for a, b, k in zip(at[:-1].tolist(), at[1:].tolist(), first.tolist(), strict=True):
+            part = rank[a:b]
+            part.sort()
+            parts.append(part[:k])
+        return hashes[np.concatenate(parts) & np.uint64(0xFFFFFFFF)], np.append(0, np.cumsum(first))
 
 
 def _counts(rows: DataFrame, n: int, counters: int) -> np.ndarray:
@@ -95,8 +136,8 @@ def _counts(rows: DataFrame, n: int, counters: int) -> np.ndarray:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, found = Shingler(n), np.zeros(counters, np.int32)
         for b in batches:
-            places = np.concatenate([np.zeros(0, np.uint64), *map(make, b.column("text").to_pylist())]) % np.uint64(counters)
-            np.add.at(found, places.astype(np.int64), 1)
+            for texts in _blocks(b.column("text").to_pylist()):
+                np.add.at(found, (make(texts)[0] % np.uint64(counters)).astype(np.int64), 1)
         for lo in range(0, counters, 64 * cell):
             part = found[lo : lo + 64 * cell].reshape(-1, cell)
             some = np.flatnonzero(part.any(1))
@@ -123,25 +164,30 @@ def _key(*columns: str) -> Column:
     return F.unhex(F.concat(half(*columns), half(F.lit(1), *columns)))
 
 
+def _lists(values: np.ndarray, at: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values.view(np.int64)))
+
+
 def _signatures(rows: DataFrame, shingler, percent: int, part: int) -> DataFrame:
     """(row, n, set1, set2, prefix, sketch, parity) of (row, text binary). Parity: for each of PARITY places, whether an odd
     number of the set's hashes fall there."""
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = shingler.value
         for b in batches:
-            n, keys, prefixes, sketches, parities = [], [], [], [], []
-            for text in b.column("text").to_pylist():
-                h = make(text)
-                n.append(len(h))
-                digest = xxhash.xxh3_128_intdigest(h.tobytes())
-                keys.append((digest >> 64) - (1 << 63))
-                keys.append((digest & (1 << 64) - 1) - (1 << 63))
-                first = len(h) - (percent * len(h) + 99) // 100 + 1 if len(h) else 0
-                prefixes.append(make.ordered(h, first) if first else h)
-                sketches.append(h[h % np.uint64(part) == 0])
-                parities.append(np.packbits(np.bincount((h >> np.uint64(32)) % np.uint64(PARITY), minlength=PARITY) & 1).view(np.uint64))
-            lists = lambda xs: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in xs])), pa.int32()), pa.array(np.concatenate([*xs, np.zeros(0, np.uint64)]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(n, pa.int64()), pa.array(keys[::2], pa.int64()), pa.array(keys[1::2], pa.int64()), lists(prefixes), lists(sketches), lists(parities)], ["row", "n", "set1", "set2", "prefix", "sketch", "parity"])
+            done = 0
+            for texts in _blocks(b.column("text").to_pylist()):
+                h, at = make(texts)
+                n, text = np.diff(at), np.repeat(np.arange(len(texts)), np.diff(at))
+                digests = [xxhash.xxh3_128_digest(h[lo:hi].data) for lo, hi in itertools.pairwise(at.tolist())]
+                keys = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
+                prefixes = make.ordered(h, at, np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0))
+                own = h % np.uint64(part) == 0
+                sketches = h[own], np.append(0, np.cumsum(own))[at]
+                odd = np.bincount(text * PARITY + ((h >> np.uint64(32)) % np.uint64(PARITY)).astype(np.int64), minlength=len(texts) * PARITY) & 1
+                parities = np.packbits(odd.astype(bool)).view(np.uint64), np.arange(len(texts) + 1) * (PARITY // 64)
+                rows_ = b.column("row").slice(done, len(texts))
+                done += len(texts)
+                yield pa.RecordBatch.from_arrays([rows_, pa.array(n, pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), _lists(*prefixes), _lists(*sketches), _lists(*parities)], ["row", "n", "set1", "set2", "prefix", "sketch", "parity"])
 
     return rows.mapInArrow(signed, "row binary, n long, set1 long, set2 long, prefix array<long>, sketch array<long>, parity array<long>")
 
@@ -166,9 +212,10 @@ def _sets(rows: DataFrame, wanted: DataFrame, shingler) -> DataFrame:
         for b in batches:
             at = b.column("place").to_numpy()
             b = b.filter(pa.array((known.value[at // 32] >> (at % 32).astype(np.uint32) & 1) == 1))
-            sets = [shingler.value(t).view(np.int64) for t in b.column("text").to_pylist()]
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in sets])), pa.int32()), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([b.column("row"), lists], ["row", "hashes"])
+            done = 0
+            for texts in _blocks(b.column("text").to_pylist()):
+                yield pa.RecordBatch.from_arrays([b.column("row").slice(done, len(texts)), _lists(*shingler.value(texts))], ["row", "hashes"])
+                done += len(texts)
 
     return rows.withColumn("place", place).mapInArrow(made, "row binary, hashes array<long>")
 

@@ -5,6 +5,7 @@ import itertools
 import math
 import os
 import random
+import sys
 import zlib
 from collections import Counter
 
@@ -350,6 +351,43 @@ def test_jaccard(spark, n, percent):
     assert kept == {i for i, (_, c) in want.items() if i == c}
 
 
+@pytest.mark.parametrize("n", [1, 3, 5])
+def test_shingler_blocks(n):
+    """Sets, prefixes and blocks of many texts at once, with words around the lengths that are hashed apart and odd bytes."""
+    rng = random.Random(n)
+    texts = [b"", b" \n\t", b"One", b"one", b"one two", b"a b c", b"\x00", b"\x00\x00", b"\x00 \x00\x00", "É é \x1c ü".encode(), b"a " * 9_000, b"w" * 700_000]
+    texts += [bytes([c]) * k for c in b"xy" for k in (7, 8, 9, 16, 17, 63, 64, 65, 72, 73)]
+    texts += [bytes(rng.choice(b"aB \n\x00\x85") for _ in range(rng.randrange(60))) for _ in range(400)]
+    rng.shuffle(texts)
+    make = jaccard_join.Shingler(n, np.array([rng.randrange(9) for _ in range(64)], np.int32))
+    blocks = [*jaccard_join._blocks(texts)]
+    assert [t for b in blocks for t in b] == texts and len(blocks) > 1
+    seen = {}
+    for block in blocks:
+        h, at = make(block)
+        first, ends = make.ordered(h, at, (np.diff(at) + 1) // 2)
+        for k, t in enumerate(block):
+            w, own = t.lower().split(), h[at[k] : at[k + 1]].tolist()
+            want = frozenset(zip(*(w[i:] for i in range(n)))) if len(w) >= n else frozenset([tuple(w)] if w else [])  # noqa: B905
+            assert own == sorted(set(own)) and len(own) == len(want) and seen.setdefault(want, own) == own
+            assert first[ends[k] : ends[k + 1]].tolist() == sorted(own, key=lambda x: (make.counts[x % 64], x))[: (len(own) + 1) // 2]
+    assert len({tuple(x) for x in seen.values()}) == len(seen)
+
+
+def test_shingler_calls_are_few():
+    """A text costs a few calls, however many new words it has: words aren't looked up one by one."""
+    rng, calls = random.Random(7), []
+    texts = [words(rng, 400, 10**6).encode() for _ in range(200)]
+    make = jaccard_join.Shingler(3)
+    sys.setprofile(lambda _, event, what: calls.append(event) if event.endswith("call") else None)
+    try:
+        for block in jaccard_join._blocks(texts):
+            make(block)
+    finally:
+        sys.setprofile(None)
+    assert len(calls) <= 20 * len(texts), len(calls)
+
+
 def test_jaccard_within_group(spark):
     """Equal prefixes of n-grams that no other group has, equal sizes, and two kinds of bodies: one misses the head."""
     rare, common = [f"r{i}" for i in range(7)], [f"c{i}" for i in range(68)]
