@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
@@ -147,6 +148,16 @@ def test_impact_search_empty(spark):
     assert [tuple(r)[:3] for r in impact_index.search(some, items).collect()] == [(1, 1, 1)]
 
 
+def test_op12(spark):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    df = queries.QUERIES["op12_impact_search"](spark, SF)
+    names = sorted(df.columns)
+    want = con.sql(f"select {', '.join(names)} from ({queries.ORACLES['op12_impact_search']})").fetchall()
+    assert want and sorted(map(tuple, df.select(*names).collect())) == sorted(want)
+
+
 def test_slices_add_with_carry():
     rng = np.random.default_rng(1)
     n = rng.integers(1, 60, 40)
